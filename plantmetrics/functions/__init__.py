@@ -14,6 +14,7 @@ from plantmetrics.functions.numeric import (
     clip,
     percent,
     round_even,
+    round_exact,
     round_to,
     safe_div,
     truncate,
@@ -30,6 +31,7 @@ __all__ = [
     "parse_period",
     "percent",
     "round_even",
+    "round_exact",
     "round_to",
     "safe_div",
     "season_flag",

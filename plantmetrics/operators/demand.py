@@ -40,7 +40,7 @@ def spine(log: DataFrame, freq: str = "W") -> DataFrame:
         steps = F.sequence(week_end(F.col("a")), week_end(F.col("b")), F.expr("interval 7 days"))
         return span.select(F.explode(steps).alias("date"))
     steps = F.sequence(month_start(F.col("a")), month_start(F.col("b")), F.expr("interval 1 month"))
-    return span.select(F.last_day(F.explode(steps)).alias("date"))
+    return span.select(F.explode(steps).alias("m")).select(F.last_day("m").alias("date"))
 
 
 def demand_total(log: DataFrame, freq: str = "W", series: str = "all") -> DataFrame:

@@ -7,7 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantmetrics.functions import at_least, round_even, round_to, truncate
+from plantmetrics.functions import at_least, round_even, round_exact, round_to, truncate
 from plantmetrics.operators.quality import ordinal
 
 # Fixed values.
@@ -28,7 +28,7 @@ def service_factor(level: float = 0.95) -> float:
 
 def safety_stock(level: float = 0.95) -> Column:
     sigma = F.col("consumption_rate_daily") * DEMAND_STD_SHARE
-    return round_to(service_factor(level) * sigma * F.sqrt(F.col("lead_time_days") / 7), 1)
+    return round_exact(service_factor(level) * sigma * F.sqrt(F.col("lead_time_days") / 7), 1)
 
 
 def order_quantity() -> Column:
@@ -44,7 +44,7 @@ def reorder_point() -> Column:
 
 def days_of_stock() -> Column:
     rate = F.col("consumption_rate_daily")
-    return F.when(rate > 0, round_to(F.try_divide("current_stock", rate), 1)).otherwise(NO_DEMAND_DAYS)
+    return F.when(rate > 0, round_exact(F.try_divide("current_stock", rate), 1)).otherwise(NO_DEMAND_DAYS)
 
 
 def stock_status(days: Column, lead: Column) -> Column:
@@ -95,11 +95,11 @@ def stockout_risk(inventory: DataFrame, days_ahead: int = 30) -> DataFrame:
             "material_id",
             "material_name",
             "current_stock",
-            round_to(F.col("_days"), 1).alias("days_until_stockout"),
+            round_exact(F.col("_days"), 1).alias("days_until_stockout"),
             "lead_time_days",
             risk_level(F.col("_days"), lead).alias("risk_level"),
             truncate(round_even(F.col("_need"))).alias("recommended_order_qty"),
-            round_to(F.col("_need") * F.col("unit_price_eur"), 2).alias("estimated_cost"),
+            round_exact(F.col("_need") * F.col("unit_price_eur"), 2).alias("estimated_cost"),
         )
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plantmetrics.functions import round_to
 from plantmetrics.operators import inventory as inv
 from plantmetrics.plans.catalog import query
-from plantmetrics.plans.oracle import big, r
+from plantmetrics.plans.oracle import big, r, rx
 from plantmetrics.sources.readers import with_demand_std
 
 INVENTORY_COLUMNS = [
@@ -19,11 +19,11 @@ ORDER_COLUMNS = [
     "expected_delivery", "actual_delivery", "delay_days", "quality_score",
 ]
 
-SS = r("1.645 * (consumption_rate_daily * CAST(0.3 AS DOUBLE)) * sqrt(CAST(lead_time_days AS DOUBLE) / 7)", 1)
+SS = rx("1.645 * (consumption_rate_daily * CAST(0.3 AS DOUBLE)) * sqrt(CAST(lead_time_days AS DOUBLE) / 7)", 1)
 EOQ = """round_even(sqrt(2 * (consumption_rate_daily * 365) * 50 / (CASE WHEN unit_price_eur * CAST(0.2 AS DOUBLE) > 0
          THEN unit_price_eur * CAST(0.2 AS DOUBLE) ELSE 0.01 END)), 0)"""
 DAYS = f"""CASE WHEN consumption_rate_daily > 0
-           THEN {r("CAST(current_stock AS DOUBLE) / consumption_rate_daily", 1)} ELSE 999.0 END"""
+           THEN {rx("CAST(current_stock AS DOUBLE) / consumption_rate_daily", 1)} ELSE 999.0 END"""
 OPTIMISED = f"""
     SELECT *, CASE WHEN days_of_stock < lead_time_days THEN 'critical' WHEN days_of_stock < 2 * lead_time_days THEN 'low'
                    WHEN days_of_stock > 4 * lead_time_days THEN 'overstocked' ELSE 'ok' END AS status
@@ -33,9 +33,9 @@ OPTIMISED = f"""
                  consumption_rate_daily FROM inventory)"""
 NEED = f"greatest({EOQ}, consumption_rate_daily * lead_time_days + {SS} - current_stock)"
 RISKS = f"""
-    SELECT material_id, material_name, current_stock, {r("days", 1)} AS days_until_stockout, lead_time_days,
+    SELECT material_id, material_name, current_stock, {rx("days", 1)} AS days_until_stockout, lead_time_days,
            CASE WHEN days < lead_time_days THEN 'high' WHEN days < 2 * lead_time_days THEN 'medium' ELSE 'low' END AS risk_level,
-           {big("round_even(need, 0)")} AS recommended_order_qty, {r("need * unit_price_eur", 2)} AS estimated_cost
+           {big("round_even(need, 0)")} AS recommended_order_qty, {rx("need * unit_price_eur", 2)} AS estimated_cost
     FROM (SELECT *, CAST(current_stock AS DOUBLE) / consumption_rate_daily AS days, {NEED} AS need
           FROM inventory WHERE consumption_rate_daily > 0) WHERE days <= 30"""
 VIEWS = {"optimised_stock": OPTIMISED, "stock_risks": RISKS}

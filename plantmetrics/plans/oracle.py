@@ -23,6 +23,16 @@ def r(expr: str, digits: int) -> str:
     return f"CAST(round(CAST(({expr}) AS DECIMAL(38,{digits + 4})), {digits}) AS DOUBLE)"
 
 
+def rx(expr: str, digits: int) -> str:
+    """Rounding with ties judged on the exact binary value, to even."""
+    scaled = f"(CAST(floor((abs(x) - floor(abs(x))) * CAST({2**60} AS DOUBLE)) AS HUGEINT) * {10**digits})"
+    low = f"(CAST(floor(abs(x)) AS HUGEINT) * {10**digits} + {scaled} // {2**60})"
+    left = f"({scaled} % {2**60})"
+    up = f"(CASE WHEN {left} > {2**59} OR ({left} = {2**59} AND {low} % 2 = 1) THEN 1 ELSE 0 END)"
+    value = f"sign(x) * CAST({low} + {up} AS DOUBLE) / CAST({10**digits} AS DOUBLE)"
+    return f"list_transform([CAST(({expr}) AS DOUBLE)], lambda x: {value})[1]"
+
+
 def div(n: str, d: str, default: str = "0.0") -> str:
     return f"(CASE WHEN ({d}) > 0 THEN CAST({n} AS DOUBLE) / ({d}) ELSE {default} END)"
 

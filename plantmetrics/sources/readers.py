@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plantmetrics import schemas
 from plantmetrics.functions.text import words, zfill
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "csv") -> DataFrame:
     """A table with a fixed schema; a CSV row that does not fit it fails the read."""
     reader = spark.read.schema(schema)
     if fmt == "csv":
@@ -81,8 +80,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """Catalogue of written reports: file, brand, period, size and time of writing."""
-    schema = T.StructType.fromDDL("brand string, period string")
-    reports = spark.read.schema(schema).json(path, recursiveFileLookup=True, pathGlobFilter="*.json")
+    reports = spark.read.schema("brand string, period string").json(path, recursiveFileLookup=True, pathGlobFilter="*.json")
     return reports.select(
         F.col("_metadata.file_name").alias("file_name"),
         F.coalesce("brand", F.lit("unknown")).alias("brand"),
