@@ -49,18 +49,20 @@ def round_to(value: Column, digits: int) -> Column:
 def round_exact(value: Column, digits: int) -> Column:
     """Rounding that judges ties on the exact binary value, ties to even (2.675 -> 2.67, 2.25 -> 2.2).
 
-    The fraction is scaled by a power of two to a whole number, so the comparison with one half is exact.
-    For row-level formulas; sums and means use ``round_to``, which absorbs the noise of their order.
+    The fraction is scaled by a power of two, which is exact, and split into a whole number and a rest, so
+    the comparison with one half is exact too. Up to four digits. For row-level formulas; sums and means use
+    ``round_to``, which absorbs the noise of their order.
     """
+    bits = 52 if digits <= 3 else 48
     size = F.abs(value.cast("double"))
     whole = F.floor(size)
-    fraction = F.floor((size - whole) * float(2**60)).cast("bigint").cast(T.DecimalType(20, 0))
-    scaled = fraction * F.lit(10**digits).cast(T.DecimalType(8, 0))
-    unit = F.lit(2**60).cast(T.DecimalType(20, 0))
-    left = (scaled % unit).cast("bigint")
-    low = whole.cast("bigint") * 10**digits + F.floor((scaled - scaled % unit) / unit).cast("bigint")
-    up = (left > 2**59) | ((left == 2**59) & (low % 2 == 1))
-    return F.signum(value) * (low + up.cast("bigint")).cast("double") / float(10**digits)
+    fraction = (size - whole) * float(2**bits)
+    steps = F.floor(fraction) * 10**digits
+    rest = (fraction - F.floor(fraction)) * float(10**digits)
+    low = whole * 10**digits + F.shiftright(steps, bits)
+    gap = F.lit(2 ** (bits - 1)) - steps.bitwiseAND(F.lit(2**bits - 1))
+    up = (rest > gap) | ((rest == gap) & (low.bitwiseAND(F.lit(1)) == 1))
+    return F.signum(value) * (low + F.when(up, 1).otherwise(0)).cast("double") / float(10**digits)
 
 
 def round_even(value: Column) -> Column:

@@ -1,4 +1,4 @@
-from plantmetrics.plans import demand, inventory, oee, passports, quality, reports, trade  # noqa: F401  (imports register the queries)
+from plantmetrics.plans import demand, finance, inventory, oee, passports, planning, quality, reports, trade  # noqa: F401  (imports register the queries)
 from plantmetrics.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
