@@ -14,8 +14,8 @@ PREFIX_LABEL = r"^[a-z]+:\s*"
 MATERIAL = r"(?i)([a-z ]+?)\s+(\d+)%"
 VERSION_SUFFIX = r"\s+v\d+$"
 TITLE_LABELS = ["Naziv:", "Document:", "Title:"]
-BOILERPLATE = (
-    r"(?i)^(STANDARDNA|Dokument:|Naziv:|Revizija:|Datum|Pripremio:|Odobrio:|Klasifikacija:|SADRŽAJ|"
+BOILERPLATE_HEADS = (
+    r"^(STANDARDNA|Dokument:|Naziv:|Revizija:|Datum|Pripremio:|Odobrio:|Klasifikacija:|SADRŽAJ|"
     r"PLAN ODRŽAVANJA|PRIRUČNIK|SPECIFIKACIJA|Document:|Title:|1\.\s|2\.\s|3\.\s)"
 )
 QUESTION_STOP_WORDS = [
@@ -137,10 +137,14 @@ def _trimmed_longer(parts: Column, length: int) -> Column:
 
 def content_sections(parts: Column) -> Column:
     """Sections without boilerplate heads and longer than 80; all of them when none is left."""
-    kept = F.filter(parts, lambda p: ~p.rlike(BOILERPLATE) & (F.length(p) > 80))
+    kept = F.filter(parts, is_content)
     return F.when(F.size(kept) > 0, kept).otherwise(parts)
 
 
+def is_content(part: Column) -> Column:
+    return ~part.rlike("(?iu)" + BOILERPLATE_HEADS) & (F.length(part) > 80)
+
+
 def question_words(question: Column) -> Column:
     stop = F.array(*[F.lit(w) for w in QUESTION_STOP_WORDS])
     return F.array_except(words(F.lower(question)), stop)
