@@ -111,17 +111,18 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def ngrams(text: Column, stop_words: list[str] | None = None) -> Column:
-    """Terms and pairs of neighbouring terms; stop words go before the pairs are built."""
-    single = terms(text)
-    if stop_words:
-        single = F.filter(single, lambda t: ~t.isin(stop_words))
+def without(items: Column, stop_words: list[str]) -> Column:
+    return F.filter(items, lambda t: ~t.isin(stop_words))
+
+
+def with_pairs(single: Column) -> Column:
+    """The terms, then each pair of neighbours; hand in a column, since it is read several times."""
     pairs = F.zip_with(
         F.slice(single, 1, F.greatest(F.size(single) - 1, F.lit(0))),
         F.slice(single, 2, F.greatest(F.size(single), F.lit(1))),
         lambda a, b: F.concat_ws(" ", a, b),
     )
-    return F.concat(single, F.filter(pairs, lambda p: p.contains(" ")))
+    return F.concat(single, pairs)
 
 
 def sections(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,11 +16,13 @@ from plantmetrics.functions.text import (
     chunk_id,
     content_sections,
     excerpt,
-    ngrams,
     overlap,
     sections,
+    terms,
     title,
     trim_at_blank,
+    with_pairs,
+    without,
     words,
 )
 
@@ -47,21 +49,26 @@ def document_numbers(docs: DataFrame, prefix: int = 3) -> DataFrame:
 
 
 def chunk_documents(docs: DataFrame, size: int = CHUNK_WORDS, overlap_words: int = CHUNK_OVERLAP) -> DataFrame:
-    """Windows of ``size`` words with overlap; the last one ends with the text."""
+    """Windows of ``size`` words with overlap; the last one ends with the text.
+
+    Documents that bring a ``document_no`` are chunked where they are; otherwise numbers are joined in.
+    """
     step = max(size - overlap_words, 1)
-    numbered = docs.select("file_name", "text").join(document_numbers(docs), "file_name")
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size("w") - size) / step), F.lit(0)).cast("int"))
-    parts = (
-        numbered.withColumn("w", words(F.col("text")))
-        .where(F.size("w") > 0)
-        .select(
-            "file_name",
-            "document_no",
-            title(F.col("text"), F.col("file_name")).alias("document_title"),
-            "w",
-            F.explode(starts).alias("n"),
-        )
+    if "document_no" in docs.columns:
+        numbered = docs.select("file_name", "text", "document_no")
+    else:
+        numbered = docs.select("file_name", "text").join(document_numbers(docs), "file_name")
+    last = F.greatest(F.ceil((F.size("w") - size) / step), F.lit(0)).cast("int")
+    # no filter on the word count: it would be pushed below the join and split every text twice
+    starts = F.when(F.size("w") > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    # the title is taken before the explode, once per document
+    titled = numbered.select(
+        "file_name",
+        "document_no",
+        title(F.col("text"), F.col("file_name")).alias("document_title"),
+        words(F.col("text")).alias("w"),
     )
+    parts = titled.select("file_name", "document_no", "document_title", "w", F.explode(starts).alias("n"))
     piece = F.slice("w", F.col("n") * step + 1, size)
     return parts.select(
         chunk_id(F.col("document_no"), F.col("n") + 1).alias("chunk_id"),
@@ -79,12 +86,16 @@ def document_stats(chunks: DataFrame) -> DataFrame:
 
 
 def term_rows(frame: DataFrame, key: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
-    return frame.select(key, F.explode(ngrams(F.col(text), stop_words)).alias("term"))
+    """Terms and pairs of neighbouring terms, one row each; stop words go before the pairs are built."""
+    single = terms(F.col(text))
+    if stop_words:
+        single = without(single, stop_words)
+    return frame.select(key, single.alias("t")).select(key, F.explode(with_pairs(F.col("t"))).alias("term"))
 
 
-def vocabulary(terms: DataFrame, n: int = MAX_TERMS) -> DataFrame:
+def vocabulary(rows: DataFrame, n: int = MAX_TERMS) -> DataFrame:
     """The n terms with the highest corpus count, ties by term, with a column number; n rows at most."""
-    counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("corpus_count"))
+    counts = rows.groupBy("term").agg(F.count(F.lit(1)).alias("corpus_count"))
     top = counts.orderBy(F.desc("corpus_count"), "term").limit(n)
     order = W.orderBy(F.desc("corpus_count"), "term")
     return top.withColumn("term_no", F.row_number().over(order) - 1)
@@ -99,9 +110,9 @@ def inverse_frequencies(tf: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def term_frequencies(terms: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
+def term_frequencies(rows: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
     """Counts per (key, term) for terms of the vocabulary, which is broadcast: it has at most n rows."""
-    kept = terms.join(F.broadcast(vocab.select("term", "term_no")), "term")
+    kept = rows.join(F.broadcast(vocab.select("term", "term_no")), "term")
     return kept.groupBy(key, "term", "term_no").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -114,10 +125,16 @@ def weights(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     return raw.select(key, "term", "term_no", (F.col("raw") / norm).alias("weight"))
 
 
-def build_index(chunks: DataFrame, max_terms: int = MAX_TERMS) -> tuple[DataFrame, DataFrame]:
-    """(postings, idf): chunk_id, term, term_no, weight; and the term table."""
-    terms = term_rows(chunks, "chunk_id", "text")
-    tf = term_frequencies(terms, "chunk_id", vocabulary(terms, max_terms))
+def build_index(
+    chunks: DataFrame, max_terms: int = MAX_TERMS, store: Callable[[DataFrame], DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(postings, idf): chunk_id, term, term_no, weight; and the term table.
+
+    ``store`` may write the term counts, which both results read, to a table of their own.
+    """
+    rows = term_rows(chunks, "chunk_id", "text")
+    tf = term_frequencies(rows, "chunk_id", vocabulary(rows, max_terms))
+    tf = store(tf) if store else tf
     idf = inverse_frequencies(tf, chunks)
     return weights(tf, idf, "chunk_id"), idf
 

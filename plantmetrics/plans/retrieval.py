@@ -9,6 +9,7 @@ from plantmetrics.functions import text as tx
 from plantmetrics.operators import retrieval
 from plantmetrics.plans.catalog import query
 from plantmetrics.plans.oracle import WS, r
+from plantmetrics.session import materialise, spread
 from plantmetrics.sources.readers import corpus, query_log_summary
 
 LABELS = " OR ".join(f"starts_with(x, '{label}')" for label in tx.TITLE_LABELS)
@@ -52,12 +53,18 @@ VIEWS = {
 
 
 def chunks(t):
-    return retrieval.chunk_documents(t.corpus)
+    return retrieval.chunk_documents(spread(t.corpus))
+
+
+def index(t):
+    """Chunks, postings and idf; chunks and term counts are written once and read by every branch."""
+    pieces = spread(materialise(chunks(t), "chunks"))
+    postings, idf = retrieval.build_index(pieces, store=lambda tf: materialise(tf, "term-counts"))
+    return pieces, postings, idf
 
 
 def hits(t):
-    pieces = chunks(t)
-    postings, idf = retrieval.build_index(pieces)
+    pieces, postings, idf = index(t)
     return pieces, retrieval.search(t.questions, postings, idf)
 
 
@@ -109,7 +116,7 @@ def vocab_topn(t):
     VIEWS,
 )
 def tfidf_weights(t):
-    postings, _ = retrieval.build_index(chunks(t))
+    _, postings, _ = index(t)
     return postings.select("chunk_id", "term", round_to(F.col("weight"), 6).alias("weight"))
 
 
