@@ -42,7 +42,9 @@ def read_hs_classifications(spark: SparkSession, path: str, fmt: str = "csv") ->
 
 
 def read_query_log(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, schemas.QUERY_LOG)
+    """The log; questions may hold line breaks and quotes."""
+    reader = spark.read.schema(schemas.QUERY_LOG).options(header=True, mode="FAILFAST", multiLine=True, escape='"')
+    return reader.csv(path)
 
 
 def with_demand_std(inventory: DataFrame, share: float = 0.30) -> DataFrame:
