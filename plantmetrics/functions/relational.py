@@ -16,44 +16,45 @@ def attach_row(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
 
 
 def running_offsets(
-    df: DataFrame, group: Sequence[str], bucket: str, measure: Column, name: str
+    df: DataFrame, group: Sequence[str], bucket: Sequence[str], measure: Column, name: str
 ) -> DataFrame:
     """Per (group, bucket): the total of ``measure`` over all earlier buckets of the group.
 
     Rows are aggregated before the window, so it sees one row per bucket whatever the row count.
     """
-    totals = df.groupBy(*group, bucket).agg(measure.alias("_in_bucket"))
-    before = W.partitionBy(*group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    return totals.select(*group, bucket, F.coalesce(F.sum("_in_bucket").over(before), F.lit(0)).alias(name))
+    totals = df.groupBy(*group, *bucket).agg(measure.alias("_in_bucket"))
+    before = W.partitionBy(*group).orderBy(*bucket).rowsBetween(W.unboundedPreceding, -1)
+    return totals.select(*group, *bucket, F.coalesce(F.sum("_in_bucket").over(before), F.lit(0)).alias(name))
 
 
 def with_row_index(
-    df: DataFrame, group: Sequence[str], bucket: str, order: Sequence[str], name: str = "row_idx"
+    df: DataFrame, group: Sequence[str], bucket: Sequence[str], order: Sequence[str], name: str = "row_idx"
 ) -> DataFrame:
-    """0-based position of each row in its group, ordered by (bucket, *order).
+    """0-based position of each row in its group, ordered by (*bucket, *order).
 
     The group may be of any size: positions are counted inside a bucket (a day, say) and moved by the
-    number of rows in the earlier buckets, so no task sorts a whole group.
+    number of rows in the earlier buckets, so no task sorts a whole group. The leading order columns make
+    the bucket; more of them give smaller buckets.
     """
     offsets = running_offsets(df, group, bucket, F.count(F.lit(1)), "_offset")
-    inside = W.partitionBy(*group, bucket).orderBy(*order)
+    inside = W.partitionBy(*group, *bucket).orderBy(*order)
     return (
         df.withColumn("_in", F.row_number().over(inside) - 1)
-        .join(offsets, [*group, bucket])
+        .join(offsets, [*group, *bucket])
         .withColumn(name, F.col("_offset") + F.col("_in"))
         .drop("_offset", "_in")
     )
 
 
 def with_running_sum(
-    df: DataFrame, group: Sequence[str], bucket: str, order: Sequence[Column | str], value: str, name: str
+    df: DataFrame, group: Sequence[str], bucket: Sequence[str], order: Sequence[Column | str], value: str, name: str
 ) -> DataFrame:
-    """Running total of ``value`` up to and including the row, in (bucket, *order) order; see with_row_index."""
+    """Running total of ``value`` up to and including the row, in (*bucket, *order) order; see with_row_index."""
     offsets = running_offsets(df, group, bucket, F.sum(value), "_offset")
-    inside = W.partitionBy(*group, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(*group, *bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return (
         df.withColumn("_in", F.sum(value).over(inside))
-        .join(offsets, [*group, bucket])
+        .join(offsets, [*group, *bucket])
         .withColumn(name, F.col("_offset") + F.col("_in"))
         .drop("_offset", "_in")
     )
@@ -62,7 +63,7 @@ def with_running_sum(
 def with_trailing(
     df: DataFrame,
     group: Sequence[str],
-    bucket: str,
+    bucket: Sequence[str],
     order: Sequence[str],
     value: str,
     rows: int,
@@ -74,30 +75,29 @@ def with_trailing(
     of them, come along as an array built from per-bucket tails, so a hot group is still spread.
     """
     need = rows - 1
-    newest = W.partitionBy(*group, bucket).orderBy(*[F.desc(c) for c in order])
+    keys = [*group, *bucket]
+    newest = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
     tails = (
-        df.select(*group, bucket, *[c for c in order if c not in (*group, bucket)], F.col(value).alias("_v"))
+        df.select(*keys, *order, F.col(value).alias("_v"))
         .withColumn("_rn", F.row_number().over(newest))
         .where(F.col("_rn") <= need)
-        .groupBy(*group, bucket)
+        .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct((-F.col("_rn")).alias("p"), F.col("_v").alias("v")))).alias("_t"))
-        .select(*group, bucket, F.transform("_t", lambda s: s["v"]).alias("_t"))
+        .select(*keys, F.transform("_t", lambda s: s["v"]).alias("_t"))
     )
-    earlier = W.partitionBy(*group).orderBy(bucket).rowsBetween(-need, -1)
+    earlier = W.partitionBy(*group).orderBy(*bucket).rowsBetween(-need, -1)
     carried = tails.withColumn("_all", F.flatten(F.collect_list("_t").over(earlier))).select(
-        *group, bucket, F.slice("_all", F.greatest(F.size("_all") - need + 1, F.lit(1)), need).alias("_carry")
+        *keys, F.slice("_all", F.greatest(F.size("_all") - need + 1, F.lit(1)), need).alias("_carry")
     )
-    inside = W.partitionBy(*group, bucket).orderBy(*order)
-    here = inside.rowsBetween(-need, 0)
+    here = W.partitionBy(*keys).orderBy(*order).rowsBetween(-need, 0)
+    missing = F.lit(rows) - F.col("_n")
     from_carry = F.slice(
-        "_carry",
-        F.greatest(F.size("_carry") - (F.lit(rows) - F.col("_n")) + 1, F.lit(1)),
-        F.greatest(F.lit(rows) - F.col("_n"), F.lit(0)),
+        "_carry", F.greatest(F.size("_carry") - missing + 1, F.lit(1)), F.greatest(missing, F.lit(0))
     )
     return (
         df.withColumn("_sum", F.sum(F.col(value).cast("double")).over(here))
         .withColumn("_n", F.count(value).over(here).cast("int"))
-        .join(carried, [*group, bucket])
+        .join(carried, keys)
         .withColumn("_extra", F.when(F.col("_n") < rows, from_carry).otherwise(F.slice("_carry", 1, 0)))
         .withColumn(
             name,
@@ -106,8 +106,3 @@ def with_trailing(
         )
         .drop("_sum", "_n", "_carry", "_extra")
     )
-
-
-def first_rows(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
-    """Top-k in a written order; Spark keeps k rows per task and merges them."""
-    return df.orderBy(*order).limit(k)

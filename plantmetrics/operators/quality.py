@@ -183,7 +183,7 @@ def fixed_sample(df: DataFrame, n: int, key: list[str], seed: int = 42, replace:
     if not replace:
         return hashed.orderBy("_h", *key).limit(n).drop("_h")
     placed = with_row_index(
-        hashed.withColumn("_b", F.shiftright("_h", 52)), [], "_b", ["_h", *key], "_position"
+        hashed.withColumn("_b", F.shiftright("_h", 52)), [], ["_b"], ["_h", *key], "_position"
     )
     size = df.agg(F.count(F.lit(1))).scalar()
     draws = df.sparkSession.range(n).select(

@@ -39,12 +39,13 @@ ANSWER_FORMAT = "Na osnovu dokumenta [%s]: %s (Izvori: %s)"
 
 TILE_CHUNKS = 2048
 BLOCK_QUESTIONS = 512
+TILES_PER_SHELF = 16
 
 
 def document_numbers(docs: DataFrame, prefix: int = 3) -> DataFrame:
     """1-based place of each file in name order; counted per name prefix, so names are never sorted in one task."""
     names = docs.select("file_name").withColumn("_p", F.substring("file_name", 1, prefix))
-    placed = with_row_index(names, [], "_p", ["file_name"], "document_no")
+    placed = with_row_index(names, [], ["_p"], ["file_name"], "document_no")
     return placed.select("file_name", (F.col("document_no") + 1).alias("document_no"))
 
 
@@ -178,8 +179,13 @@ def search(questions: DataFrame, postings: DataFrame, idf: DataFrame, k: int = 5
     n_tiles = _groups(postings.select("chunk_id").distinct(), TILE_CHUNKS)
     blocks = _packed(q, "question_id", "block", n_blocks)
     tiles = _packed(postings, "chunk_id", "tile", n_tiles)
-    # every tile meets every block: block numbers are written into the tile rows, then joined by number
-    paired = tiles.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1))).join(blocks, "block")
+    # every tile meets every block: tiles list the block numbers, blocks list the shelves of tiles, and the
+    # two meet by (block, shelf), so no single key holds all tiles
+    shelves = F.sequence(F.lit(0).cast("bigint"), F.floor((n_tiles - 1) / TILES_PER_SHELF))
+    shelved = tiles.withColumn("shelf", F.floor(F.col("tile") / TILES_PER_SHELF)).withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1))
+    )
+    paired = shelved.join(blocks.withColumn("shelf", F.explode(shelves)), ["block", "shelf"])
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -100,12 +100,12 @@ def risk_level(t):
     VIEWS,
 )
 def sort_risks(t):
-    """Sorted by days left; the position is counted per day bucket, so the sort is not a single task."""
+    """Sorted by days left; the position is counted per value, so the sort is not a single task."""
     from plantmetrics.functions.relational import with_row_index
 
     risks = inv.stockout_risk(t.inventory).select("material_id", "days_until_stockout")
     placed = with_row_index(
-        risks.withColumn("_day", F.floor("days_until_stockout")), [], "_day", ["days_until_stockout", "material_id"]
+        risks, [], ["days_until_stockout"], ["material_id"]
     )
     return placed.select((F.col("row_idx") + 1).alias("position"), "material_id", "days_until_stockout").orderBy(
         "days_until_stockout", "material_id"

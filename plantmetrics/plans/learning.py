@@ -16,6 +16,7 @@ from plantmetrics.plans.catalog import query
 from plantmetrics.plans.oracle import div, r
 from plantmetrics.plans.sinks import folder
 from plantmetrics.session import materialise, spread
+from plantmetrics.sources.readers import read_images
 
 TREES, ROUNDS = 20, 10
 KEYS = ["k1", "k2", "k3", "k4"]
@@ -335,11 +336,23 @@ def split_by_label(t):
     return named[0].unionByName(named[1])
 
 
+@query("scan_images")
+def scan_images(t):
+    """The vectors as grey PNG files in the shared folder, read back through the image source."""
+    path = folder(t, "images")
+    images.write_grey_pngs(pixels(t), path)
+    return read_images(t.spark, path).select("file_name", "label", "height", "width", "channels")
+
+
 @query("image_features")
 def image_features(t):
+    return images.image_features(pixels(t))
+
+
+def pixels(t):
     """Vectors read as 8 by 8 images of one channel."""
     level = F.transform("embedding", lambda x: F.least(F.greatest((x + 0.5) * 255, F.lit(0.0)), F.lit(255.0)).cast("int"))
-    pixels = t.table("embeddings").select(
+    return t.table("embeddings").select(
         F.concat(F.when(F.col("label") % 2 == 1, "defect_").otherwise("ok_"), F.col("vec_id").cast("string")).alias("file_name"),
         (F.col("label") % 2).cast("int").alias("label"),
         F.lit(8).alias("height"),
@@ -347,4 +360,3 @@ def image_features(t):
         F.lit(1).alias("channels"),
         F.unhex(F.array_join(F.transform(level, lambda v: F.lpad(F.hex(v), 2, "0")), "")).alias("data"),
     )
-    return images.image_features(pixels)

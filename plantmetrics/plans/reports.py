@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from plantmetrics import lookups
-from plantmetrics.functions import round_to
+from plantmetrics.functions import half_open_quarter, round_to
 from plantmetrics.operators import kpi, reports
 from plantmetrics.plans.catalog import query
 from plantmetrics.plans.oracle import big, div, pct, r, rx
@@ -100,23 +100,29 @@ VIEWS["sustained"] = f"""
     LEFT JOIN def_brand USING (brand) LEFT JOIN prod_brand USING (brand)"""
 
 
+def quarter(t):
+    """(log, defects, orders) of the period, bounded at the scan."""
+    start, end = half_open_quarter(PERIOD)
+    return t.production_between(start, end), t.defects_between(start, end), t.purchases_between(start, end)
+
+
 def scores(t):
-    log = t.production_between(dt.date(1997, 10, 1), dt.date(1998, 1, 1))
-    return reports.scorecard(log, t.defect_log, t.products_dpp, t.purchase_orders, PERIOD)
+    log, defects, orders = quarter(t)
+    return reports.scorecard(log, defects, t.products_dpp, orders, PERIOD)
 
 
 def performance(t):
-    log = t.production_between(dt.date(1997, 10, 1), dt.date(1998, 1, 1))
-    return reports.performance_report(log, t.defect_log, t.inventory, t.purchase_orders, PERIOD, CATEGORY)
+    log, defects, orders = quarter(t)
+    return reports.performance_report(log, defects, t.inventory, orders, PERIOD, CATEGORY)
 
 
 def sustainability(t):
-    log = t.production_between(dt.date(1997, 10, 1), dt.date(1998, 1, 1))
-    return reports.sustainability_report(log, t.defect_log, t.products_dpp, PERIOD)
+    log, defects, _ = quarter(t)
+    return reports.sustainability_report(log, defects, t.products_dpp, PERIOD)
 
 
 def quarter_log(t):
-    return t.production_between(dt.date(1997, 10, 1), dt.date(1998, 1, 1))
+    return quarter(t)[0]
 
 
 LOG = ["date", "line_id", "brand", "actual_qty", "k1", "k2", "k3", "k4"]
@@ -240,7 +246,7 @@ def model_output(t):
     VIEWS,
 )
 def top_defects(t):
-    return reports.top_defects(reports.in_quarter(t.defect_log, PERIOD))
+    return reports.top_defects(quarter(t)[1])
 
 
 @query(
@@ -249,7 +255,7 @@ def top_defects(t):
     VIEWS,
 )
 def otd_lead_time(t):
-    return reports.on_time(reports.in_quarter(t.purchase_orders, PERIOD))
+    return reports.on_time(quarter(t)[2])
 
 
 @query(

@@ -51,6 +51,12 @@ def pick(values: list[str], position: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (position + 1).cast("int"))
 
 
+def stored_between(df: DataFrame, column: str, start: dt.date, end: dt.date) -> DataFrame:
+    """Rows of [start, end); the bound sits on the stored column, so Parquet row groups are skipped."""
+    low, high = (F.lit(d.isoformat()).cast("timestamp_ntz") for d in (start, end))
+    return df.where((F.col(column) >= low) & (F.col(column) < high))
+
+
 def _int(column: Column) -> Column:
     return column.cast("int")
 
@@ -71,10 +77,7 @@ class Star:
         return self._production(self.table("lineitem"))
 
     def production_between(self, start: dt.date, end: dt.date) -> DataFrame:
-        """Rows of [start, end); the bound sits on the stored column, so row groups are skipped."""
-        shipped = F.col("l_shipdate")
-        bound = [F.lit(d.isoformat()).cast("timestamp_ntz") for d in (start, end)]
-        return self._production(self.table("lineitem").where((shipped >= bound[0]) & (shipped < bound[1])))
+        return self._production(stored_between(self.table("lineitem"), "l_shipdate", start, end))
 
     def _production(self, items: DataFrame) -> DataFrame:
         q = items.withColumn("_actual", F.floor(F.col("l_quantity") * 10 * (1 - F.col("l_discount"))))
@@ -101,7 +104,13 @@ class Star:
     # -- quality ------------------------------------------------------------------------------------
     @cached_property
     def defect_log(self) -> DataFrame:
-        returned = self.table("lineitem").where(F.col("l_returnflag") == "R")
+        return self._defects(self.table("lineitem"))
+
+    def defects_between(self, start: dt.date, end: dt.date) -> DataFrame:
+        return self._defects(stored_between(self.table("lineitem"), "l_shipdate", start, end))
+
+    def _defects(self, items: DataFrame) -> DataFrame:
+        returned = items.where(F.col("l_returnflag") == "R")
         orders = self.table("orders").select("o_orderkey", "o_orderpriority")
         parts = self.table("part").select("p_partkey", "p_type")
         rows = returned.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
@@ -153,12 +162,18 @@ class Star:
 
     @cached_property
     def purchase_orders(self) -> DataFrame:
+        return self._purchases(self.table("orders"))
+
+    def purchases_between(self, start: dt.date, end: dt.date) -> DataFrame:
+        return self._purchases(stored_between(self.table("orders"), "o_orderdate", start, end))
+
+    def _purchases(self, orders: DataFrame) -> DataFrame:
         order, cust = F.col("o_orderkey"), F.col("o_custkey")
         day = F.col("o_orderdate").cast("date")
         ordered = 10 + order % 300
         delay = F.when(order % 4 == 0, cust % 15).otherwise(0)
         expected = F.date_add(day, _int(20 + cust % 30))
-        return self.table("orders").select(
+        return orders.select(
             F.concat(F.lit("PO-"), order.cast("string")).alias("po_number"),
             day.alias("date"),
             F.concat(F.lit("S"), (cust % 20).cast("string")).alias("supplier"),
