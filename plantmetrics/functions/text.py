@@ -81,7 +81,7 @@ def chunk_id(document_no: Column, chunk_no: Column) -> Column:
 
 def title(text: Column, file_name: Column) -> Column:
     """Value of the first title label within the first 20 lines, else the file name made readable."""
-    lines = F.transform(F.slice(F.split(text, r"\r\n|\r|\n"), 1, 20), F.trim)
+    lines = F.transform(F.slice(F.split(text, r"\r\n|\r|\n", 21), 1, 20), F.trim)
     labelled = F.filter(lines, lambda line: _starts_with_any(line, TITLE_LABELS))
     value = F.trim(F.regexp_replace(F.get(labelled, F.lit(0)), "^[^:]*:", ""))
     readable = F.replace(F.regexp_replace(file_name, r"\.txt$", ""), F.lit("_"), F.lit(" "))
