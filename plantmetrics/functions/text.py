@@ -30,6 +30,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, WHITESPACE), lambda w: w != "")
 
 
+def strip(text: Column) -> Column:
+    """Without blanks of any kind at both ends (``trim`` takes spaces only)."""
+    return F.regexp_replace(text, f"^{WHITESPACE}|{WHITESPACE}$", "")
+
+
 def zfill(code: Column, width: int) -> Column:
     """Pad with zeros on the left; longer codes are kept whole (``lpad`` would cut them)."""
     return F.when(F.length(code) < width, F.lpad(code, width, "0")).otherwise(code)
@@ -45,7 +50,7 @@ def model_name(name: Column) -> Column:
 
 def parse_materials(composition: Column) -> Column:
     """Array of (name, pct) in text order; a repeated name keeps its last share, unparsable text counts 100."""
-    clean = F.regexp_replace(F.trim(composition), PREFIX_LABEL, "")
+    clean = F.regexp_replace(strip(composition), PREFIX_LABEL, "")
     names = F.regexp_extract_all(clean, F.lit(MATERIAL), F.lit(1))
     shares = F.regexp_extract_all(clean, F.lit(MATERIAL), F.lit(2))
     parsed = F.zip_with(
@@ -81,9 +86,9 @@ def chunk_id(document_no: Column, chunk_no: Column) -> Column:
 
 def title(text: Column, file_name: Column) -> Column:
     """Value of the first title label within the first 20 lines, else the file name made readable."""
-    lines = F.transform(F.slice(F.split(text, r"\r\n|\r|\n", 21), 1, 20), F.trim)
+    lines = F.transform(F.slice(F.split(text, r"\r\n|\r|\n", 21), 1, 20), strip)
     labelled = F.filter(lines, lambda line: _starts_with_any(line, TITLE_LABELS))
-    value = F.trim(F.regexp_replace(F.get(labelled, F.lit(0)), "^[^:]*:", ""))
+    value = strip(F.regexp_replace(F.get(labelled, F.lit(0)), "^[^:]*:", ""))
     readable = F.replace(F.regexp_replace(file_name, r"\.txt$", ""), F.lit("_"), F.lit(" "))
     return F.coalesce(value, readable)
 
@@ -133,7 +138,7 @@ def sections(text: Column) -> Column:
 
 
 def _trimmed_longer(parts: Column, length: int) -> Column:
-    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: F.length(p) > length)
+    return F.filter(F.transform(parts, strip), lambda p: F.length(p) > length)
 
 
 def content_sections(parts: Column) -> Column:

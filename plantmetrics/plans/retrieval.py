@@ -13,9 +13,15 @@ from plantmetrics.session import materialise, spread
 from plantmetrics.sources.readers import corpus, query_log_summary
 
 LABELS = " OR ".join(f"starts_with(x, '{label}')" for label in tx.TITLE_LABELS)
-TITLE = rf"""coalesce(trim(regexp_replace(
-    list_filter(list_transform((regexp_split_to_array(text, '\r\n|\r|\n'))[1:20], lambda x: trim(x)), lambda x: {LABELS})[1],
-    '^[^:]*:', '')), replace(regexp_replace(file_name, '\.txt$', ''), '_', ' '))"""
+
+
+def strip(text: str) -> str:
+    return f"regexp_replace({text}, '^{WS}|{WS}$', '', 'g')"
+
+
+FIRST_LABELLED = rf"""list_filter(list_transform((regexp_split_to_array(text, '\r\n|\r|\n'))[1:20], lambda x: {strip("x")}), lambda x: {LABELS})[1]"""
+VALUE = f"regexp_replace({FIRST_LABELLED}, '^[^:]*:', '')"
+TITLE = rf"""coalesce({strip(VALUE)}, replace(regexp_replace(file_name, '\.txt$', ''), '_', ' '))"""
 
 
 def split_words(text: str) -> str:
