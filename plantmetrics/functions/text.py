@@ -116,10 +116,6 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def without(items: Column, stop_words: list[str]) -> Column:
-    return F.filter(items, lambda t: ~t.isin(stop_words))
-
-
 def with_pairs(single: Column) -> Column:
     """The terms, then each pair of neighbours; hand in a column, since it is read several times."""
     pairs = F.zip_with(

@@ -22,7 +22,6 @@ from plantmetrics.functions.text import (
     title,
     trim_at_blank,
     with_pairs,
-    without,
     words,
 )
 
@@ -39,6 +38,7 @@ ANSWER_FORMAT = "Na osnovu dokumenta [%s]: %s (Izvori: %s)"
 
 TILE_CHUNKS = 2048
 BLOCK_QUESTIONS = 512
+FREQUENT_LIMIT = 50_000
 TILES_PER_SHELF = 16
 
 
@@ -86,73 +86,117 @@ def document_stats(chunks: DataFrame) -> DataFrame:
     )
 
 
-def term_rows(frame: DataFrame, key: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
-    """Terms and pairs of neighbouring terms, one row each; stop words go before the pairs are built."""
-    single = terms(F.col(text))
-    if stop_words:
-        single = without(single, stop_words)
-    return frame.select(key, single.alias("t")).select(key, F.explode(with_pairs(F.col("t"))).alias("term"))
+def term_rows(frame: DataFrame, key: str, text: str) -> DataFrame:
+    """Terms and pairs of neighbouring terms, one row each."""
+    return frame.select(key, terms(F.col(text)).alias("t")).select(key, F.explode(with_pairs(F.col("t"))).alias("term"))
 
 
-def vocabulary(rows: DataFrame, n: int = MAX_TERMS) -> DataFrame:
-    """The n terms with the highest corpus count, ties by term, with a column number; n rows at most."""
-    counts = rows.groupBy("term").agg(F.count(F.lit(1)).alias("corpus_count"))
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("corpus_count"))
+
+
+def vocabulary(
+    frame: DataFrame, text: str, n: int = MAX_TERMS, store: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """The n terms with the highest corpus count, ties by term, with a column number; n rows at most.
+
+    A pair is never more frequent than its parts. So once n single terms reach a count, pairs with a rarer
+    part cannot be among the n, and only pairs of frequent terms are counted: the exchange is bounded by
+    the square of their number, not by the distinct pairs of the corpus. Where too many terms tie at the
+    limit (a tiny or flat corpus), all pairs are counted.
+    """
+    single = frame.select(terms(F.col(text)).alias("t"))
+    counts = _counted(single.select(F.explode("t").alias("term")))
+    counts = store(counts) if store else counts
     top = counts.orderBy(F.desc("corpus_count"), "term").limit(n)
-    order = W.orderBy(F.desc("corpus_count"), "term")
-    return top.withColumn("term_no", F.row_number().over(order) - 1)
+    bar = top.agg(F.when(F.count(F.lit(1)) == n, F.min("corpus_count")).otherwise(0)).scalar()
+    frequent = counts.where(F.col("corpus_count") >= bar)
+    if frequent.limit(FREQUENT_LIMIT + 1).count() <= FREQUENT_LIMIT:
+        names = frequent.select("term")
+        neighbours = F.zip_with(
+            F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))),
+            F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))),
+            lambda x, y: F.struct(x.alias("a"), y.alias("b")),
+        )
+        pairs = (
+            single.select(F.inline(neighbours))
+            .join(F.broadcast(names.withColumnRenamed("term", "a")), "a", "left_semi")
+            .join(F.broadcast(names.withColumnRenamed("term", "b")), "b", "left_semi")
+            .select(F.concat_ws(" ", "a", "b").alias("term"))
+        )
+        counts = top.unionByName(_counted(pairs))
+    else:
+        counts = _counted(term_rows(frame.withColumn("_k", F.lit(0)), "_k", text))
+    best = counts.orderBy(F.desc("corpus_count"), "term").limit(n)
+    return best.withColumn("term_no", F.row_number().over(W.orderBy(F.desc("corpus_count"), "term")) - 1)
+
+
+def term_vectors(frame: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
+    """One row per key: ``v``, the (term_no, tf) pairs of the vocabulary's terms in term order.
+
+    The texts move once, by key; terms are then counted and packed where they are. The vocabulary has at
+    most n rows, so it is broadcast.
+    """
+    rows = term_rows(frame.select(key, text).repartition(key), key, text)
+    kept = rows.join(F.broadcast(vocab.select("term", "term_no")), "term")
+    counted = kept.groupBy(key, "term_no").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    return counted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term_no", "tf"))).alias("v"))
 
 
-def inverse_frequencies(tf: DataFrame, documents: DataFrame) -> DataFrame:
-    """idf = ln((1 + n) / (1 + df)) + 1 per term."""
+def inverse_frequencies(vectors: DataFrame, vocab: DataFrame, documents: DataFrame) -> DataFrame:
+    """idf = ln((1 + n) / (1 + df)) + 1 per term of the vocabulary."""
     n = documents.agg(F.count(F.lit(1)).alias("n"))
-    df = tf.groupBy("term", "term_no").agg(F.count(F.lit(1)).alias("df"))
-    return attach_row(df, n, "_d").select(
+    df = vectors.select(F.explode("v.term_no").alias("term_no")).groupBy("term_no").agg(F.count(F.lit(1)).alias("df"))
+    named = vocab.select("term", "term_no").join(df, "term_no")
+    return attach_row(named, n, "_d").select(
         "term", "term_no", "df", (F.log((1 + F.col("_d.n")) / (1 + F.col("df"))) + 1).alias("idf")
     )
 
 
-def term_frequencies(rows: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
-    """Counts per (key, term) for terms of the vocabulary, which is broadcast: it has at most n rows."""
-    kept = rows.join(F.broadcast(vocab.select("term", "term_no")), "term")
-    return kept.groupBy(key, "term", "term_no").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def weights(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """(1 + ln tf) * idf, scaled to length 1 per key."""
-    raw = tf.join(F.broadcast(idf.select("term", "idf")), "term").withColumn(
-        "raw", (1 + F.log("tf")) * F.col("idf")
+def weigh(vectors: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    """(1 + ln tf) * idf scaled to length 1: key, cols, vals. Works inside the row, on the idf list of n numbers."""
+    listed = idf.agg(F.array_sort(F.collect_list(F.struct("term_no", "idf"))).alias("l"))
+    table = listed.select(F.transform("l", lambda x: x["idf"]).alias("idf"))
+    raw = F.transform("v", lambda x: (1 + F.log(x["tf"])) * F.get("_i.idf", x["term_no"]))
+    framed = attach_row(vectors, table, "_i").select(key, "v", raw.alias("raw"))
+    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda total, x: total + x * x))
+    return framed.withColumn("norm", norm).select(
+        key,
+        F.transform("v", lambda x: x["term_no"]).alias("cols"),
+        F.transform("raw", lambda x: x / F.col("norm")).alias("vals"),
     )
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(key)))
-    return raw.select(key, "term", "term_no", (F.col("raw") / norm).alias("weight"))
 
 
 def build_index(
     chunks: DataFrame, max_terms: int = MAX_TERMS, store: Callable[[DataFrame], DataFrame] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(postings, idf): chunk_id, term, term_no, weight; and the term table.
+    """(vectors, idf): chunk_id, cols, vals; and the term table.
 
-    ``store`` may write the term counts, which both results read, to a table of their own.
+    ``store`` may write what is read several times (term counts, vocabulary, vectors) to tables.
     """
-    rows = term_rows(chunks, "chunk_id", "text")
-    tf = term_frequencies(rows, "chunk_id", vocabulary(rows, max_terms))
-    tf = store(tf) if store else tf
-    idf = inverse_frequencies(tf, chunks)
-    return weights(tf, idf, "chunk_id"), idf
+    keep = store or (lambda frame: frame)
+    vocab = keep(vocabulary(chunks, "text", max_terms, store))
+    counted = keep(term_vectors(chunks, "chunk_id", "text", vocab))
+    idf = inverse_frequencies(counted, vocab, chunks)
+    return weigh(counted, idf, "chunk_id"), idf
+
 
+def postings(vectors: DataFrame, idf: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """The vectors in long form: key, term, weight."""
+    cells = vectors.select(key, F.inline(F.arrays_zip("cols", "vals"))).withColumnRenamed("cols", "term_no")
+    named = cells.join(F.broadcast(idf.select("term", "term_no")), "term_no")
+    return named.select(key, "term", F.col("vals").alias("weight"))
 
-def question_weights(questions: DataFrame, idf: DataFrame) -> DataFrame:
+
+def question_vectors(questions: DataFrame, idf: DataFrame) -> DataFrame:
     """Question vectors in the terms of the index."""
-    tf = term_frequencies(term_rows(questions, "question_id", "question"), "question_id", idf)
-    return weights(tf, idf, "question_id")
+    return weigh(term_vectors(questions, "question_id", "question", idf), idf, "question_id")
 
 
 def _packed(vectors: DataFrame, key: str, group: str, groups: Column) -> DataFrame:
     """Sparse vectors collected into groups of a bounded number of keys."""
-    rows = vectors.groupBy(key).agg(
-        F.collect_list("term_no").alias("cols"), F.collect_list("weight").alias("vals")
-    )
     return (
-        rows.withColumn(group, F.pmod(F.xxhash64(key), groups))
+        vectors.withColumn(group, F.pmod(F.xxhash64(key), groups))
         .groupBy(group)
         .agg(F.collect_list(F.struct(F.col(key).alias("id"), "cols", "vals")).alias(f"{group}_rows"))
     )
@@ -165,7 +209,7 @@ def _matrix(rows: list, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([row["id"] for row in rows], dtype=object), matrix
 
 
-def search(questions: DataFrame, postings: DataFrame, idf: DataFrame, k: int = 5, max_terms: int = MAX_TERMS) -> DataFrame:
+def search(questions: DataFrame, vectors: DataFrame, idf: DataFrame, k: int = 5, max_terms: int = MAX_TERMS) -> DataFrame:
     """The k chunks with the highest cosine per question: question_id, rank, chunk_id, score.
 
     Chunks are packed into tiles and questions into blocks, both of a bounded number of vectors. Each
@@ -174,11 +218,10 @@ def search(questions: DataFrame, postings: DataFrame, idf: DataFrame, k: int = 5
     to six digits before ranking; ties go to the lower chunk id. A question without any known term keeps
     one row with score 0.
     """
-    q = question_weights(questions, idf)
     n_blocks = _groups(questions, BLOCK_QUESTIONS)
-    n_tiles = _groups(postings.select("chunk_id").distinct(), TILE_CHUNKS)
-    blocks = _packed(q, "question_id", "block", n_blocks)
-    tiles = _packed(postings, "chunk_id", "tile", n_tiles)
+    n_tiles = _groups(vectors, TILE_CHUNKS)
+    blocks = _packed(question_vectors(questions, idf), "question_id", "block", n_blocks)
+    tiles = _packed(vectors, "chunk_id", "tile", n_tiles)
     # every tile meets every block: tiles list the block numbers, blocks list the shelves of tiles, and the
     # two meet by (block, shelf), so no single key holds all tiles
     shelves = F.sequence(F.lit(0).cast("bigint"), F.floor((n_tiles - 1) / TILES_PER_SHELF))

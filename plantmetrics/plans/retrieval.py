@@ -65,13 +65,13 @@ def chunks(t):
 def index(t):
     """Chunks, postings and idf; chunks and term counts are written once and read by every branch."""
     pieces = spread(materialise(chunks(t), "chunks"))
-    postings, idf = retrieval.build_index(pieces, store=lambda tf: materialise(tf, "term-counts"))
-    return pieces, postings, idf
+    vectors, idf = retrieval.build_index(pieces, store=lambda frame: materialise(frame, "index"))
+    return pieces, vectors, idf
 
 
 def hits(t):
-    pieces, postings, idf = index(t)
-    return pieces, retrieval.search(t.questions, postings, idf)
+    pieces, vectors, idf = index(t)
+    return pieces, retrieval.search(t.questions, vectors, idf)
 
 
 @query("scan_corpus", "SELECT file_name, text, word_count FROM corpus")
@@ -113,7 +113,9 @@ def ngram_terms(t):
 
 @query("vocab_topn", "SELECT term, corpus_count FROM vocab", VIEWS)
 def vocab_topn(t):
-    return retrieval.vocabulary(retrieval.term_rows(chunks(t), "chunk_id", "text")).select("term", "corpus_count")
+    pieces = spread(materialise(chunks(t), "chunks"))
+    found = retrieval.vocabulary(pieces, "text", store=lambda frame: materialise(frame, "term-counts"))
+    return found.select("term", "corpus_count")
 
 
 @query(
@@ -122,8 +124,8 @@ def vocab_topn(t):
     VIEWS,
 )
 def tfidf_weights(t):
-    _, postings, _ = index(t)
-    return postings.select("chunk_id", "term", round_to(F.col("weight"), 6).alias("weight"))
+    _, vectors, idf = index(t)
+    return retrieval.postings(vectors, idf).select("chunk_id", "term", round_to(F.col("weight"), 6).alias("weight"))
 
 
 @query(

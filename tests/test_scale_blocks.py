@@ -93,8 +93,10 @@ def brute_search(chunks, questions, k, max_terms):
     return out
 
 
-def test_search_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("max_terms, frequent_limit", [(80, 50_000), (20, 50_000), (80, 5)])
+def test_search_equals_brute_force(spark, monkeypatch, max_terms, frequent_limit):
     """Many small tiles and blocks, a word in every chunk, equal chunks (ties) and an unknown question."""
+    monkeypatch.setattr(retrieval, "FREQUENT_LIMIT", frequent_limit)
     monkeypatch.setattr(retrieval, "TILE_CHUNKS", 7)
     monkeypatch.setattr(retrieval, "BLOCK_QUESTIONS", 3)
     monkeypatch.setattr(retrieval, "TILES_PER_SHELF", 2)
@@ -106,9 +108,9 @@ def test_search_equals_brute_force(spark, monkeypatch):
     questions = [(f"Q{i}", " ".join(rng.choice(words) for _ in range(4))) for i in range(9)] + [("QC", "common"), ("QX", "zzz yyy")]
     c = spark.createDataFrame(chunks, "chunk_id string, text string")
     q = spark.createDataFrame(questions, "question_id string, question string")
-    postings, idf = retrieval.build_index(c, max_terms=80)
-    hits = retrieval.search(q, postings, idf, k=5, max_terms=80).collect()
-    want = brute_search(chunks, questions, 5, 80)
+    vectors, idf = retrieval.build_index(c, max_terms=max_terms)
+    hits = retrieval.search(q, vectors, idf, k=5, max_terms=max_terms).collect()
+    want = brute_search(chunks, questions, 5, max_terms)
     got = {}
     for r in sorted(hits, key=lambda r: (r.question_id, r["rank"])):
         got.setdefault(r.question_id, []).append((r.chunk_id, r.score))
