@@ -36,10 +36,11 @@ NO_ANSWER = "Nemam dovoljno informacija u dostupnim dokumentima za odgovor na ov
 UNKNOWN_SOURCE = "nepoznat izvor"
 ANSWER_FORMAT = "Na osnovu dokumenta [%s]: %s (Izvori: %s)"
 
-TILE_CHUNKS = 2048
+TILE_CHUNKS = 1024
 BLOCK_QUESTIONS = 512
 FREQUENT_LIMIT = 50_000
-TILES_PER_SHELF = 16
+BROADCAST_FILES = 200_000
+TILES_PER_SHELF = 4
 
 
 def document_numbers(docs: DataFrame, prefix: int = 3) -> DataFrame:
@@ -58,7 +59,11 @@ def chunk_documents(docs: DataFrame, size: int = CHUNK_WORDS, overlap_words: int
     if "document_no" in docs.columns:
         numbered = docs.select("file_name", "text", "document_no")
     else:
-        numbered = docs.select("file_name", "text").join(document_numbers(docs), "file_name")
+        numbers = document_numbers(docs)
+        # a name and a number per file: broadcast up to a checked count, so that no text moves; joined beyond it
+        if docs.count() <= BROADCAST_FILES:
+            numbers = F.broadcast(numbers)
+        numbered = docs.select("file_name", "text").join(numbers, "file_name")
     last = F.greatest(F.ceil((F.size("w") - size) / step), F.lit(0)).cast("int")
     # no filter on the word count: it would be pushed below the join and split every text twice
     starts = F.when(F.size("w") > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
@@ -160,10 +165,10 @@ def weigh(vectors: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     raw = F.transform("v", lambda x: (1 + F.log(x["tf"])) * F.get("_i.idf", x["term_no"]))
     framed = attach_row(vectors, table, "_i").select(key, "v", raw.alias("raw"))
     norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda total, x: total + x * x))
-    return framed.withColumn("norm", norm).select(
-        key,
-        F.transform("v", lambda x: x["term_no"]).alias("cols"),
-        F.transform("raw", lambda x: x / F.col("norm")).alias("vals"),
+    # the norm is handed over as an array: named inside the lambda it would be computed for every element
+    norms = F.array_repeat(norm, F.size("raw"))
+    return framed.select(
+        key, F.col("v.term_no").alias("cols"), F.zip_with("raw", norms, lambda x, n: x / n).alias("vals")
     )
 
 
