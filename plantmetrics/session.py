@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,24 +41,40 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "plantmetric
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it; set only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The folder all executors can reach, as ``spark.checkpoint.dir`` names it.
+
+    Where it is unset, a local session gets a folder of its own, since driver and executors are one process there; on any
+    other master this is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^,]*(,\d+)?\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="plantmetrics-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; everything that is kept between jobs lies in it."""
+    return f"{shared_dir(spark)}/plantmetrics-{spark.sparkContext.applicationId}"
+
+
+def clear_run_folder(spark: SparkSession) -> None:
+    """Remove what this application kept; call it when no frame of an operator is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a frame that several branches read to the shared folder, and read it back.
 
-    The table survives the loss of executors, and readers prune its columns.
+    The table survives the loss of executors, and readers prune its columns. The schema is passed on, so reading back
+    starts no job.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Plan checks: what runs in the JVM, what reaches the scan, what is broadcast."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -17,7 +19,7 @@ def plan(frame) -> str:
 
 @pytest.mark.parametrize(
     "name",
-    sorted(n for n in entry.oracle_sql() if n not in IN_PYTHON | EAGER and not n.startswith("stream_")),
+    sorted(n for n in entry.oracle_sql() if n not in IN_PYTHON | EAGER and not re.match("stream_|op[0-9]+_|pipeline", n)),
 )
 def test_checked_queries_stay_in_the_jvm(spark, name):
     text = plan(entry.queries()[name](spark, SF))
