@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantmetrics.llm import decontamination, line_dedup, mixing, sharding
+from plantmetrics.llm import (
+    decontamination,
+    language_id,
+    line_dedup,
+    mixing,
+    near_dedup,
+    quality,
+    sharding,
+    token_counts,
+    vector_search,
+)
+from plantmetrics.llm.common import in_fold
 from plantmetrics.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +43,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those outside fold 1 of 3."""
+    held_out = in_fold(F.col("doc_id"), 3, 1)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    return language_id.identify(docs, F.col("held_out")).drop("text", "lang")
+
+
+@query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document as the library counts them for word_bpe_49k.json."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from the labels outside fold 2 of 4."""
+    held_out = in_fold(F.col("doc_id"), 4, 2)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_documents(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op5_vector_search")
+def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector."""
+    return vector_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op8_near_dedup")
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose two-word shingles are similar by 0.8 or more."""
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 LINES_SQL = r"""
 WITH docs AS (
   SELECT doc_id, row_number() OVER () AS row_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
