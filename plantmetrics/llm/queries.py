@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from plantmetrics.llm import (
     decontamination,
     language_id,
@@ -16,6 +17,7 @@ from plantmetrics.llm import (
     quality,
     sharding,
     token_counts,
+    toxicity,
     vector_search,
 )
 from plantmetrics.llm.common import in_fold
@@ -69,6 +71,15 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from the labels outside fold 0 of 5."""
+    held_out = in_fold(F.col("doc_id"), 5, 0)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op5_vector_search")
 def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth vector."""
@@ -234,3 +245,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often every document enters a mix that meets tempered shares of source, language and topic."""
     mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
     return mixed.withColumn("rate", F.round("rate", 6))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
