@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plantmetrics.session import materialise
+
 
 def attach_row(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
     """Add a one-row frame to every row of ``df`` as a struct column, through a scalar subquery."""
@@ -46,6 +48,22 @@ def with_row_index(
     )
 
 
+def with_global_index(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """0-based position of each row of the whole frame, which is written in ``order`` over range partitions.
+
+    The partitions are balanced by a sample of the order columns, whatever their values look like; each is numbered on its own
+    and moved by the row counts of the earlier ones.
+    """
+    placed = materialise(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordered")
+    offsets = running_offsets(placed, [], ["_part"], F.count(F.lit(1)), "_offset")
+    inside = W.partitionBy("_part").orderBy(*order)
+    return (
+        placed.join(offsets, "_part")
+        .withColumn(name, F.col("_offset") + F.row_number().over(inside) - 1)
+        .drop("_part", "_offset")
+    )
+
+
 def with_running_sum(
     df: DataFrame, group: Sequence[str], bucket: Sequence[str], order: Sequence[Column | str], value: str, name: str
 ) -> DataFrame:

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame
 
 SIDE = 64
@@ -53,31 +50,3 @@ def image_features(images: DataFrame) -> DataFrame:
             yield pd.DataFrame({"file_name": batch["file_name"], "label": batch["label"], "features": rows})
 
     return images.mapInPandas(extract, "file_name string, label int, features array<double>")
-
-
-def grey_png(height: int, width: int, data: bytes) -> bytes:
-    """One-channel image as PNG bytes."""
-
-    def part(kind: bytes, body: bytes) -> bytes:
-        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-
-    lines = b"".join(b"\0" + data[y * width : (y + 1) * width] for y in range(height))
-    head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
-
-
-def write_grey_pngs(images: DataFrame, path: str) -> int:
-    """One PNG per row, written by the tasks to a folder all of them reach; returns the number of files."""
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        target = path if "://" in path else f"file://{path}"
-        store, base = fs.FileSystem.from_uri(target)
-        store.create_dir(base, recursive=True)
-        for batch in batches:
-            for row in batch.itertuples():
-                with store.open_output_stream(f"{base}/{row.file_name}.png") as out:
-                    out.write(grey_png(row.height, row.width, row.data))
-            yield pd.DataFrame({"files": [len(batch)]})
-
-    written = images.select("file_name", "height", "width", "data").mapInPandas(write, "files long")
-    return written.agg({"files": "sum"}).first()[0]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import (
     IDF,
@@ -19,7 +19,9 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ from plantmetrics.functions.text import TERM
 SEED = 42
 TREES, DEPTH = 100, 10
 BOOST_ROUNDS, BOOST_DEPTH, BOOST_STEP = 200, 5, 0.1
+CLASS_TREES, CLASS_BOOST_DEPTH = 200, 4
+TEXT_DEPTH, TEXT_LEAF = 30, 2  # Spark's deepest tree; a split of three rows leaves two on one side
 DOWNTIME_FEATURES = [
     "line_enc", "brand_enc", "shift", "day_of_week", "month", "operator_count", "rolling_avg_downtime_7d",
 ]
@@ -220,14 +224,14 @@ def fit_and_predict(frame: DataFrame, pipeline: Pipeline) -> tuple[PipelineModel
     return model, model.transform(frame.where(~F.col("is_train")))
 
 
-def defect_classifiers(trees: int = TREES, rounds: int = BOOST_ROUNDS) -> dict[str, object]:
+def defect_classifiers(trees: int = CLASS_TREES, rounds: int = BOOST_ROUNDS) -> dict[str, object]:
     return {
         "random_forest": RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=DEPTH, seed=SEED),
-        "gradient_boosting": GBTClassifier(labelCol="label", maxIter=rounds, maxDepth=3, stepSize=BOOST_STEP, seed=SEED),
+        "gradient_boosting": GBTClassifier(labelCol="label", maxIter=rounds, maxDepth=CLASS_BOOST_DEPTH, stepSize=BOOST_STEP, seed=SEED),
     }
 
 
-def train_defect_classifiers(frame: DataFrame, trees: int = TREES, rounds: int = BOOST_ROUNDS):
+def train_defect_classifiers(frame: DataFrame, trees: int = CLASS_TREES, rounds: int = BOOST_ROUNDS):
     """Models by name and their test metrics; ``frame`` has features (vector), label and is_train."""
     models, rows = {}, None
     for name, estimator in defect_classifiers(trees, rounds).items():
@@ -251,19 +255,38 @@ def vectors(df: DataFrame, array: str, out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.col(array).cast("array<double>")))
 
 
-def text_classifier(text: str, label: str, max_terms: int = 500, trees: int = 200) -> Pipeline:
-    """TF-IDF over terms and pairs, then a forest with class weights."""
+class Sublinear(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Counts n of a vector as 1 + ln n."""
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        counts = vector_to_array(F.col(self.getInputCol()))
+        damped = F.transform(counts, lambda n: F.when(n > 0, 1 + F.log(n)).otherwise(0.0))
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(damped))
+
+
+def text_classifier(text: str, label: str, max_terms: int = 500, trees: int = CLASS_TREES) -> Pipeline:
+    """TF-IDF with damped counts over terms and pairs, then a deep forest with class weights."""
+    damped = Sublinear()
+    damped.set(damped.inputCol, "counts")
+    damped.set(damped.outputCol, "tf")
     stages = [
         StringIndexer(inputCol=label, outputCol="label_no", stringOrderType="alphabetAsc"),
         RegexTokenizer(inputCol=text, outputCol="tokens", pattern=TERM, gaps=False),
         StopWordsRemover(inputCol="tokens", outputCol="kept", stopWords=StopWordsRemover.loadDefaultStopWords("english")),
         NGram(n=2, inputCol="kept", outputCol="pairs"),
         SQLTransformer(statement="SELECT *, concat(kept, pairs) AS terms FROM __THIS__"),
-        CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=max_terms),
+        CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=max_terms),
+        damped,
         IDF(inputCol="tf", outputCol="tfidf"),
         Normalizer(inputCol="tfidf", outputCol="features"),
         RandomForestClassifier(
-            labelCol="label_no", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=DEPTH, seed=SEED
+            labelCol="label_no",
+            featuresCol="features",
+            weightCol="weight",
+            numTrees=trees,
+            maxDepth=TEXT_DEPTH,
+            minInstancesPerNode=TEXT_LEAF,
+            seed=SEED,
         ),
     ]
     return Pipeline(stages=stages)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plantmetrics.functions import round_exact, round_to
-from plantmetrics.functions.relational import attach_row, with_row_index
+from plantmetrics.functions.relational import attach_row, with_global_index
 from plantmetrics.functions.text import (
     chunk_id,
     content_sections,
@@ -36,17 +37,14 @@ NO_ANSWER = "Nemam dovoljno informacija u dostupnim dokumentima za odgovor na ov
 UNKNOWN_SOURCE = "nepoznat izvor"
 ANSWER_FORMAT = "Na osnovu dokumenta [%s]: %s (Izvori: %s)"
 
-TILE_CHUNKS = 1024
+TILE_CHUNKS = 2048
 BLOCK_QUESTIONS = 512
-FREQUENT_LIMIT = 50_000
-BROADCAST_FILES = 200_000
-TILES_PER_SHELF = 4
+MERGE_PARTS = 32
 
 
-def document_numbers(docs: DataFrame, prefix: int = 3) -> DataFrame:
-    """1-based place of each file in name order; counted per name prefix, so names are never sorted in one task."""
-    names = docs.select("file_name").withColumn("_p", F.substring("file_name", 1, prefix))
-    placed = with_row_index(names, [], ["_p"], ["file_name"], "document_no")
+def document_numbers(docs: DataFrame) -> DataFrame:
+    """1-based place of each file in name order; names are sorted in range partitions, whatever they look like."""
+    placed = with_global_index(docs.select("file_name"), ["file_name"], "document_no")
     return placed.select("file_name", (F.col("document_no") + 1).alias("document_no"))
 
 
@@ -59,11 +57,7 @@ def chunk_documents(docs: DataFrame, size: int = CHUNK_WORDS, overlap_words: int
     if "document_no" in docs.columns:
         numbered = docs.select("file_name", "text", "document_no")
     else:
-        numbers = document_numbers(docs)
-        # a name and a number per file: broadcast up to a checked count, so that no text moves; joined beyond it
-        if docs.count() <= BROADCAST_FILES:
-            numbers = F.broadcast(numbers)
-        numbered = docs.select("file_name", "text").join(numbers, "file_name")
+        numbered = docs.select("file_name", "text").join(document_numbers(docs), "file_name")
     last = F.greatest(F.ceil((F.size("w") - size) / step), F.lit(0)).cast("int")
     # no filter on the word count: it would be pushed below the join and split every text twice
     starts = F.when(F.size("w") > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
@@ -100,52 +94,59 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.groupBy("term").agg(F.count(F.lit(1)).alias("corpus_count"))
 
 
-def vocabulary(
-    frame: DataFrame, text: str, n: int = MAX_TERMS, store: Callable[[DataFrame], DataFrame] | None = None
-) -> DataFrame:
+def with_terms(frame: DataFrame, key: str, text: str) -> DataFrame:
+    """key and ``t``, the text's terms in order: what the steps of an index read, so texts are split once."""
+    return frame.select(key, terms(F.col(text)).alias("t"))
+
+
+def vocabulary(termed: DataFrame, n: int = MAX_TERMS, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The n terms with the highest corpus count, ties by term, with a column number; n rows at most.
 
-    A pair is never more frequent than its parts. So once n single terms reach a count, pairs with a rarer
-    part cannot be among the n, and only pairs of frequent terms are counted: the exchange is bounded by
-    the square of their number, not by the distinct pairs of the corpus. Where too many terms tie at the
-    limit (a tiny or flat corpus), all pairs are counted.
+    ``termed`` holds the terms ``t`` of each text. A pair is never more frequent than its parts. So once n single terms reach
+    a count, pairs with a rarer part cannot be among the n, and only pairs of terms that reach it are counted. The two lookups
+    of a pair's parts are plain semi joins; their side is small on natural text, and the optimizer decides how to join.
     """
-    single = frame.select(terms(F.col(text)).alias("t"))
-    counts = _counted(single.select(F.explode("t").alias("term")))
-    counts = store(counts) if store else counts
+    keep = store or (lambda frame: frame)
+    counts = keep(_counted(termed.select(F.explode("t").alias("term"))))
     top = counts.orderBy(F.desc("corpus_count"), "term").limit(n)
     bar = top.agg(F.when(F.count(F.lit(1)) == n, F.min("corpus_count")).otherwise(0)).scalar()
-    frequent = counts.where(F.col("corpus_count") >= bar)
-    if frequent.limit(FREQUENT_LIMIT + 1).count() <= FREQUENT_LIMIT:
-        names = frequent.select("term")
-        neighbours = F.zip_with(
-            F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))),
-            F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))),
-            lambda x, y: F.struct(x.alias("a"), y.alias("b")),
-        )
-        pairs = (
-            single.select(F.inline(neighbours))
-            .join(F.broadcast(names.withColumnRenamed("term", "a")), "a", "left_semi")
-            .join(F.broadcast(names.withColumnRenamed("term", "b")), "b", "left_semi")
-            .select(F.concat_ws(" ", "a", "b").alias("term"))
-        )
-        counts = top.unionByName(_counted(pairs))
-    else:
-        counts = _counted(term_rows(frame.withColumn("_k", F.lit(0)), "_k", text))
-    best = counts.orderBy(F.desc("corpus_count"), "term").limit(n)
+    names = keep(counts.where(F.col("corpus_count") >= bar).select("term"))
+    neighbours = F.zip_with(
+        F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))),
+        F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))),
+        lambda x, y: F.struct(x.alias("a"), y.alias("b")),
+    )
+    pairs = (
+        termed.select(F.inline(neighbours))
+        .join(names.withColumnRenamed("term", "a"), "a", "left_semi")
+        .join(names.withColumnRenamed("term", "b"), "b", "left_semi")
+        .select(F.concat_ws(" ", "a", "b").alias("term"))
+    )
+    best = top.unionByName(_counted(pairs)).orderBy(F.desc("corpus_count"), "term").limit(n)
     return best.withColumn("term_no", F.row_number().over(W.orderBy(F.desc("corpus_count"), "term")) - 1)
 
 
-def term_vectors(frame: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
-    """One row per key: ``v``, the (term_no, tf) pairs of the vocabulary's terms in term order.
+def term_vectors(termed: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
+    """One row per key with a known term: ``v``, the (term_no, tf) pairs of the vocabulary's terms in term order.
 
-    The texts move once, by key; terms are then counted and packed where they are. The vocabulary has at
-    most n rows, so it is broadcast.
+    Every text is one row of ``termed``, so its terms are counted where it is, against the vocabulary of at most n terms.
     """
-    rows = term_rows(frame.select(key, text).repartition(key), key, text)
-    kept = rows.join(F.broadcast(vocab.select("term", "term_no")), "term")
-    counted = kept.groupBy(key, "term_no").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    return counted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term_no", "tf"))).alias("v"))
+    numbers = {row["term"]: row["term_no"] for row in vocab.select("term", "term_no").collect()}
+    shared = termed.sparkSession.sparkContext.broadcast(numbers)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = shared.value.get
+        for batch in batches:
+            rows = []
+            for t in batch["t"]:
+                t = [] if t is None else list(t)
+                found = Counter(map(number, [*t, *map(" ".join, zip(t, t[1:]))]))
+                found.pop(None, None)
+                rows.append([{"term_no": k, "tf": n} for k, n in sorted(found.items())])
+            out = pd.DataFrame({key: batch[key], "v": rows})
+            yield out[out["v"].map(len) > 0]
+
+    return termed.select(key, "t").mapInPandas(count, f"{key} string, v array<struct<term_no: int, tf: int>>")
 
 
 def inverse_frequencies(vectors: DataFrame, vocab: DataFrame, documents: DataFrame) -> DataFrame:
@@ -177,11 +178,13 @@ def build_index(
 ) -> tuple[DataFrame, DataFrame]:
     """(vectors, idf): chunk_id, cols, vals; and the term table.
 
-    ``store`` may write what is read several times (term counts, vocabulary, vectors) to tables.
+    ``store`` may write what is read several times (terms, their counts, vocabulary, vectors) to tables. No text and no term
+    list is shuffled: the exchanges carry counts per term.
     """
     keep = store or (lambda frame: frame)
-    vocab = keep(vocabulary(chunks, "text", max_terms, store))
-    counted = keep(term_vectors(chunks, "chunk_id", "text", vocab))
+    termed = keep(with_terms(chunks, "chunk_id", "text"))
+    vocab = keep(vocabulary(termed, max_terms, store))
+    counted = keep(term_vectors(termed, "chunk_id", vocab))
     idf = inverse_frequencies(counted, vocab, chunks)
     return weigh(counted, idf, "chunk_id"), idf
 
@@ -195,57 +198,74 @@ def postings(vectors: DataFrame, idf: DataFrame, key: str = "chunk_id") -> DataF
 
 def question_vectors(questions: DataFrame, idf: DataFrame) -> DataFrame:
     """Question vectors in the terms of the index."""
-    return weigh(term_vectors(questions, "question_id", "question", idf), idf, "question_id")
+    return weigh(term_vectors(with_terms(questions, "question_id", "question"), "question_id", idf), idf, "question_id")
 
 
-def _packed(vectors: DataFrame, key: str, group: str, groups: Column) -> DataFrame:
-    """Sparse vectors collected into groups of a bounded number of keys."""
-    return (
-        vectors.withColumn(group, F.pmod(F.xxhash64(key), groups))
-        .groupBy(group)
-        .agg(F.collect_list(F.struct(F.col(key).alias("id"), "cols", "vals")).alias(f"{group}_rows"))
-    )
+def _matrix(cols: pd.Series, vals: pd.Series, width: int) -> np.ndarray:
+    matrix = np.zeros((len(cols), width))
+    for i, (c, v) in enumerate(zip(cols, vals)):
+        matrix[i, c] = v
+    return matrix
 
 
-def _matrix(rows: list, width: int) -> tuple[np.ndarray, np.ndarray]:
-    matrix = np.zeros((len(rows), width))
-    for i, row in enumerate(rows):
-        matrix[i, row["cols"]] = row["vals"]
-    return np.array([row["id"] for row in rows], dtype=object), matrix
+def _dense(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return rows["id"].to_numpy(), _matrix(rows["cols"], rows["vals"], width)
 
 
 def search(questions: DataFrame, vectors: DataFrame, idf: DataFrame, k: int = 5, max_terms: int = MAX_TERMS) -> DataFrame:
     """The k chunks with the highest cosine per question: question_id, rank, chunk_id, score.
 
-    Chunks are packed into tiles and questions into blocks, both of a bounded number of vectors. Each
-    (tile, block) pair is one dense product in one task, and only the best k per question leave it, so
-    neither the pairs of a frequent term nor the scores of all chunks are ever shuffled. Scores are rounded
-    to six digits before ranking; ties go to the lower chunk id. A question without any known term keeps
-    one row with score 0.
+    The index is dealt once into tiles of about ``TILE_CHUNKS`` chunks, and the questions go to every tile. A task takes a
+    tile's chunks, which come first in its sorted partition, as one matrix and streams the questions past it in blocks, so
+    only the best k per question and tile leave it; they are merged in two levels. Neither the pairs of a frequent term nor
+    the scores of all chunks are shuffled, and the index is moved once however many questions there are.
+
+    Scores are rounded to six digits before ranking; ties go to the lower chunk id. Chunks without a common term (score 0)
+    are no hits, so a question can have fewer than k; one without any hit keeps one row with score 0.
     """
-    n_blocks = _groups(questions, BLOCK_QUESTIONS)
-    n_tiles = _groups(vectors, TILE_CHUNKS)
-    blocks = _packed(question_vectors(questions, idf), "question_id", "block", n_blocks)
-    tiles = _packed(vectors, "chunk_id", "tile", n_tiles)
-    # every tile meets every block: tiles list the block numbers, blocks list the shelves of tiles, and the
-    # two meet by (block, shelf), so no single key holds all tiles
-    shelves = F.sequence(F.lit(0).cast("bigint"), F.floor((n_tiles - 1) / TILES_PER_SHELF))
-    shelved = tiles.withColumn("shelf", F.floor(F.col("tile") / TILES_PER_SHELF)).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1))
+    n_tiles = vectors.agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_CHUNKS), F.lit(1)).cast("int")).scalar()
+    dealt = vectors.select(
+        F.pmod(F.xxhash64("chunk_id"), n_tiles).cast("int").alias("tile"),
+        F.lit(0).alias("kind"),
+        F.col("chunk_id").alias("id"),
+        "cols",
+        "vals",
     )
-    paired = shelved.join(blocks.withColumn("shelf", F.explode(shelves)), ["block", "shelf"])
+    asked = question_vectors(questions, idf).select(
+        F.explode(F.sequence(F.lit(0), n_tiles - 1)).alias("tile"),
+        F.lit(1).alias("kind"),
+        F.col("question_id").alias("id"),
+        "cols",
+        "vals",
+    )
+    sorted_tiles = dealt.unionByName(asked).repartition("tile").sortWithinPartitions("tile", "kind")
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, parts, chunk_ids, chunk_matrix = None, [], None, None
         for batch in batches:
-            for tile_rows, block_rows in zip(batch["tile_rows"], batch["block_rows"]):
-                chunk_ids, chunk_matrix = _matrix(tile_rows, max_terms)
-                question_ids, question_matrix = _matrix(block_rows, max_terms)
-                scores = np.round(question_matrix @ chunk_matrix.T, 6)
-                yield _top(question_ids, chunk_ids, scores, k)
-
-    local = paired.select("tile_rows", "block_rows").mapInPandas(best, "question_id string, chunk_id string, score double")
-    order = W.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
-    ranked = local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            for (tile, kind), rows in batch.groupby(["tile", "kind"], sort=False):
+                if tile != here:
+                    here, parts, chunk_matrix = tile, [], None
+                if kind == 0:
+                    parts.append(_dense(rows, max_terms))
+                    continue
+                if not parts and chunk_matrix is None:
+                    continue  # a tile without chunks
+                if chunk_matrix is None:
+                    chunk_ids = np.concatenate([p[0] for p in parts])
+                    chunk_matrix, parts = np.vstack([p[1] for p in parts]), []
+                for start in range(0, len(rows), BLOCK_QUESTIONS):
+                    ids, matrix = _dense(rows[start : start + BLOCK_QUESTIONS], max_terms)
+                    found = _top(ids, chunk_ids, np.round(matrix @ chunk_matrix.T, 6), k)
+                    yield found.assign(part=tile % MERGE_PARTS)
+
+    local = sorted_tiles.mapInPandas(best, "question_id string, chunk_id string, score double, part int")
+
+    def first(frame: DataFrame, *keys: str) -> DataFrame:
+        order = W.partitionBy(*keys).orderBy(F.desc("score"), "chunk_id")
+        return frame.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    ranked = first(first(local, "question_id", "part").drop("rank"), "question_id")
     return questions.select("question_id").join(ranked, "question_id", "left").select(
         "question_id",
         F.coalesce("rank", F.lit(1)).alias("rank"),
@@ -254,12 +274,6 @@ def search(questions: DataFrame, vectors: DataFrame, idf: DataFrame, k: int = 5,
     )
 
 
-def _groups(keys: DataFrame, per_group: int) -> Column:
-    return keys.agg(F.ceil(F.count(F.lit(1)) / per_group).cast("bigint").alias("g")).select(
-        F.greatest("g", F.lit(1).cast("bigint"))
-    ).scalar()
-
-
 def _top(question_ids: np.ndarray, chunk_ids: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
     """Rows with one of the k best scores of their question, ties kept; only positive scores."""
     keep = min(k, scores.shape[1])

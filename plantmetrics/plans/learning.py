@@ -1,7 +1,6 @@
-"""Queries on features, splits, metrics and models.
+"""Queries on features, splits, metrics and models, with the operators' own settings.
 
-Model queries use fewer trees and rounds than the operators' defaults, to keep a check of all queries short;
-the data they read is whole.
+Models are fitted when a query's frame is made, so calling a model query starts jobs before any action on its frame.
 """
 
 from __future__ import annotations
@@ -15,10 +14,8 @@ from plantmetrics.plans import demand as demand_plans
 from plantmetrics.plans.catalog import query
 from plantmetrics.plans.oracle import div, r
 from plantmetrics.plans.sinks import folder
-from plantmetrics.session import materialise, spread
-from plantmetrics.sources.readers import read_images
+from plantmetrics.session import materialise
 
-TREES, ROUNDS = 20, 10
 KEYS = ["k1", "k2", "k3", "k4"]
 
 
@@ -161,17 +158,22 @@ def scale_features(t):
     return scaled.select("vec_id", "is_train", vector_to_array("scaled").alias("scaled"))
 
 
+def scaled_vectors(t):
+    scaled = learning.scale(labelled_vectors(t), "features").drop("features")
+    return materialise(scaled.withColumnRenamed("scaled", "features"), "vectors")
+
+
 @query("defect_classifier")
 def defect_classifier(t):
-    frame = materialise(learning.scale(labelled_vectors(t), "features").drop("features").withColumnRenamed("scaled", "features"), "vectors")
-    _, metrics = learning.train_defect_classifiers(frame, TREES, ROUNDS)
+    frame = scaled_vectors(t)
+    _, metrics = learning.train_defect_classifiers(frame)
     return metrics
 
 
 @query("defect_scoring")
 def defect_scoring(t):
-    frame = materialise(labelled_vectors(t), "vectors")
-    models, metrics = learning.train_defect_classifiers(frame, TREES, ROUNDS)
+    frame = scaled_vectors(t)
+    models, metrics = learning.train_defect_classifiers(frame)
     best = learning.best_model(metrics, "f1", lowest=False).first()[0]
     return learning.score_defects(models[best], frame, "vec_id")
 
@@ -180,7 +182,7 @@ def classified_texts(t):
     lines = t.tariff_lines.select("line_no", "product_description", "correct_hs_code")
     split = learning.stratified_split(lines, "correct_hs_code", "line_no")
     frame = materialise(learning.with_class_weight(split, "correct_hs_code"), "texts")
-    model = learning.text_classifier("product_description", "correct_hs_code", trees=TREES).fit(frame.where("is_train"))
+    model = learning.text_classifier("product_description", "correct_hs_code").fit(frame.where("is_train"))
     return model, model.transform(frame.where(~F.col("is_train")))
 
 
@@ -211,7 +213,7 @@ def prepared_log(t):
 
 def downtime(t):
     frame = prepared_log(t)
-    pipeline = learning.forest_regressor(learning.DOWNTIME_FEATURES, "downtime_minutes", TREES)
+    pipeline = learning.forest_regressor(learning.DOWNTIME_FEATURES, "downtime_minutes")
     return learning.fit_and_predict(frame, pipeline)
 
 
@@ -236,7 +238,7 @@ def importance_sorted(t):
 
 @query("defect_rate_model")
 def defect_rate_model(t):
-    pipeline = learning.boosted_regressor(learning.DEFECT_FEATURES, "defect_rate", ROUNDS)
+    pipeline = learning.boosted_regressor(learning.DEFECT_FEATURES, "defect_rate")
     _, predicted = learning.fit_and_predict(prepared_log(t), pipeline)
     return learning.regression_metrics(predicted, "defect_rate", "prediction")
 
@@ -245,7 +247,7 @@ def defect_rate_model(t):
 def sink_models(t):
     """A fitted pipeline is saved, loaded again and used."""
     frame = prepared_log(t)
-    model, _ = learning.fit_and_predict(frame, learning.forest_regressor(learning.DOWNTIME_FEATURES, "downtime_minutes", 5))
+    model, _ = learning.fit_and_predict(frame, learning.forest_regressor(learning.DOWNTIME_FEATURES, "downtime_minutes"))
     path = folder(t, "models")
     model.write().overwrite().save(path)
     loaded = PipelineModel.load(path).transform(frame.where(~F.col("is_train")))
@@ -258,8 +260,8 @@ def split_features(t):
 
 def tree_predictions(t, frame):
     """Test rows with the prediction of each model."""
-    forest = learning.forest_regressor(demand.FEATURES, "demand", TREES)
-    boosted = learning.boosted_regressor(demand.FEATURES, "demand", ROUNDS)
+    forest = learning.forest_regressor(demand.FEATURES, "demand")
+    boosted = learning.boosted_regressor(demand.FEATURES, "demand")
     rows, models = None, {}
     for name, pipeline in (("random_forest", forest), ("gradient_boosting", boosted)):
         models[name], predicted = learning.fit_and_predict(frame, pipeline)
@@ -313,7 +315,7 @@ ANOMALY_FEATURES = ["oee_score", "downtime_minutes", "defect_qty", "actual_qty"]
 def labelled_log(t):
     log = t.production_log.select(*KEYS, "date", "line_id", "brand", "shift", *ANOMALY_FEATURES)
     nodes = anomaly.build_trees(log, ANOMALY_FEATURES, [*KEYS, "date"])
-    scored = materialise(anomaly.score(spread(log), nodes, ANOMALY_FEATURES), "scored")
+    scored = materialise(anomaly.score(log, nodes, ANOMALY_FEATURES), "scored")
     return anomaly.label(scored)
 
 
@@ -336,14 +338,6 @@ def split_by_label(t):
     return named[0].unionByName(named[1])
 
 
-@query("scan_images")
-def scan_images(t):
-    """The vectors as grey PNG files in the shared folder, read back through the image source."""
-    path = folder(t, "images")
-    images.write_grey_pngs(pixels(t), path)
-    return read_images(t.spark, path).select("file_name", "label", "height", "width", "channels")
-
-
 @query("image_features")
 def image_features(t):
     return images.image_features(pixels(t))

@@ -86,7 +86,7 @@ VIEWS: dict[str, str] = {
                CAST(2 + p_size AS INT) AS lead_time_days, p_retailprice AS unit_price_eur,
                CAST(p_partkey % 60 AS INT) AS consumption_rate_daily,
                CAST(640100 + p_partkey % 10 AS VARCHAR) AS hs_code
-        FROM part JOIN supplier ON s_suppkey = p_partkey % 10""",
+        FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier)""",
     "purchase_orders": """
         SELECT 'PO-' || CAST(o_orderkey AS VARCHAR) AS po_number, CAST(o_orderdate AS DATE) AS date,
                'S' || CAST(o_custkey % 20 AS VARCHAR) AS supplier, 'MAT_' || CAST(o_custkey AS VARCHAR) AS material_id,
@@ -122,8 +122,8 @@ VIEWS: dict[str, str] = {
         FROM lineitem""",
     "tariff_lines": f"""
         SELECT p_partkey AS line_no, p_name || ' ' || p_type AS product_description,
-               {pick(star.TARIFF_HS, "p_partkey % 12")} AS correct_hs_code,
-               {pick(star.TARIFF_COUNTRIES, "p_partkey % 25")} AS country_destination
+               {pick(star.TARIFF_HS, f"p_partkey % {len(star.TARIFF_HS)}")} AS correct_hs_code,
+               {pick(star.TARIFF_COUNTRIES, f"p_partkey % {len(star.TARIFF_COUNTRIES)}")} AS country_destination
         FROM part""",
     "corpus": rf"""
         SELECT CAST(doc_id AS VARCHAR) AS file_name, text,

@@ -365,28 +365,77 @@ def brand_comparison(t):
     return frame.withColumn("value", round_to(F.col("value"), 6))
 
 
+def mail_sql(view: str, team: str, report: str, lines: list[tuple[str, str]]) -> str:
+    figures = " || ".join(f"'{name}: ' || CAST({value} AS VARCHAR) || chr(10)" for name, value in lines)
+    return f"""SELECT brand, lower(brand) || '-team@' || lower(brand) || '.com' AS recipient,
+               '{SENDER}: ' || brand || ' {report} report, Q4 1997' AS subject, brand || '_{report}_Q4_1997.json' AS attachment,
+               'To the ' || brand || ' {team} team,' || chr(10) || chr(10) || 'the {report} report for {PERIOD} is attached. Its main figures:'
+               || chr(10) || {figures} || chr(10) || '{SENDER}' AS body FROM {view}"""
+
+
 @query(
     "str_email_draft",
-    f"""SELECT brand, lower(brand) || '-team@' || lower(brand) || '.com' AS recipient,
-               '{SENDER} — ' || brand || ' SMSI Scorecard Q4 1997' AS subject, brand || '_SMSI_Q4_1997.json' AS attachment,
-               'Dear ' || brand || ' Quality Team,' || chr(10) || chr(10) || 'Please find attached the {SENDER} SMSI Scorecard for {PERIOD}.'
-               || chr(10) || chr(10) || 'Highlights:' || chr(10) || '  - SMSI Score: ' || CAST(smsi_score AS VARCHAR) || chr(10)
-               || '  - Overall Grade: ' || overall_grade || chr(10) || '  - Quality Score: ' || CAST(quality_score AS VARCHAR)
-               || ' (defect rate: ' || printf('%.2f', defect_rate * 100) || '%)' || chr(10) || '  - On-Time Delivery: '
-               || CAST(on_time_delivery_pct AS VARCHAR) || '%' || chr(10) || '  - Carbon per pair: ' || CAST(carbon_per_pair_kg AS VARCHAR)
-               || ' kg' || chr(10) || '  - Trend: ' || trend || chr(10) || chr(10) || 'Best regards,' || chr(10) || '{SENDER}' AS body
-        FROM scored""",
+    mail_sql(
+        "scored",
+        "quality",
+        "SMSI",
+        [
+            ("SMSI score", "smsi_score"),
+            ("grade", "overall_grade"),
+            ("quality score", "quality_score"),
+            ("defect rate", "printf('%.2f', defect_rate * 100) || '%'"),
+            ("delivered on time", "on_time_delivery_pct || '%'"),
+            ("carbon per pair", "carbon_per_pair_kg || ' kg'"),
+            ("trend", "trend"),
+        ],
+    ),
     VIEWS,
 )
 def str_email_draft(t):
     return reports.email_draft(scores(t), SENDER)
 
 
-@query("performance_mail")
+@query(
+    "performance_mail",
+    mail_sql(
+        "performed",
+        "operations",
+        "performance",
+        [
+            ("units", "total_units"),
+            ("first pass yield", "printf('%.2f', fpy * 100) || '%'"),
+            ("AQL", "aql_status"),
+            ("delivered on time", "otd_pct || '%'"),
+            ("stock", "stock_days || ' days'"),
+        ],
+    ),
+    VIEWS,
+)
 def performance_mail(t):
     return reports.performance_mail(performance(t), SENDER)
 
 
+@query(
+    "sustainability_mail",
+    mail_sql(
+        "sustained",
+        "sustainability",
+        "sustainability",
+        [
+            ("carbon", "carbon_footprint_total || ' kg'"),
+            ("carbon per unit", "per_unit || ' kg'"),
+            ("recycled content", "recycled_content_pct || '%'"),
+            ("waste", "waste_kg || ' kg'"),
+            ("efficiency", "efficiency || '%'"),
+            ("safety incidents", "safety_incidents"),
+        ],
+    ),
+    VIEWS,
+)
+def sustainability_mail(t):
+    return reports.sustainability_mail(sustainability(t), SENDER)
+
+
 @query(
     "report_calendar",
     """WITH q AS (SELECT brand, year, CAST(unnest([1, 2, 3, 4]) AS INT) AS quarter

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plantmetrics.functions import round_to
@@ -9,7 +11,8 @@ from plantmetrics.functions import text as tx
 from plantmetrics.operators import retrieval
 from plantmetrics.plans.catalog import query
 from plantmetrics.plans.oracle import WS, r
-from plantmetrics.session import materialise, spread
+from plantmetrics.session import materialise, run_folder
+from plantmetrics.sources import sinks
 from plantmetrics.sources.readers import corpus, query_log_summary
 
 LABELS = " OR ".join(f"starts_with(x, '{label}')" for label in tx.TITLE_LABELS)
@@ -59,14 +62,23 @@ VIEWS = {
 
 
 def chunks(t):
-    return retrieval.chunk_documents(spread(t.corpus))
+    return retrieval.chunk_documents(t.corpus)
+
+
+INDEXES: dict[tuple[str, str], str] = {}
 
 
 def index(t):
-    """Chunks, postings and idf; chunks and term counts are written once and read by every branch."""
-    pieces = spread(materialise(chunks(t), "chunks"))
-    vectors, idf = retrieval.build_index(pieces, store=lambda frame: materialise(frame, "index"))
-    return pieces, vectors, idf
+    """Chunks, vectors and idf of the folder's corpus, from an index that is built and saved by the first query of the
+    application and loaded by all others. The tables of a folder must not change meanwhile."""
+    place = (t.spark.sparkContext.applicationId, t.folder)
+    if place not in INDEXES:
+        path = f"{run_folder(t.spark)}/index-{uuid.uuid4().hex}"
+        pieces = materialise(chunks(t), "chunks")
+        vectors, idf = retrieval.build_index(pieces, store=lambda frame: materialise(frame, "index"))
+        sinks.save_index(pieces, vectors, idf, path)
+        INDEXES[place] = path
+    return sinks.load_index(t.spark, INDEXES[place])
 
 
 def hits(t):
@@ -113,8 +125,8 @@ def ngram_terms(t):
 
 @query("vocab_topn", "SELECT term, corpus_count FROM vocab", VIEWS)
 def vocab_topn(t):
-    pieces = spread(materialise(chunks(t), "chunks"))
-    found = retrieval.vocabulary(pieces, "text", store=lambda frame: materialise(frame, "term-counts"))
+    termed = materialise(retrieval.with_terms(chunks(t), "chunk_id", "text"), "terms")
+    found = retrieval.vocabulary(termed, store=lambda frame: materialise(frame, "term-counts"))
     return found.select("term", "corpus_count")
 
 

@@ -15,12 +15,12 @@ from plantmetrics.plans import retrieval as retrieval_plans
 from plantmetrics.plans.catalog import query
 from plantmetrics.plans.oracle import big, r
 from plantmetrics.plans.reports import all_reports
-from plantmetrics.session import shared_dir
+from plantmetrics.session import run_folder
 from plantmetrics.sources import readers, sinks
 
 
 def folder(t, name: str) -> str:
-    return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("sink_report_json")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plantmetrics.functions import round_to
 from plantmetrics.plans.catalog import query
 from plantmetrics.plans.oracle import r
-from plantmetrics.session import shared_dir
+from plantmetrics.session import run_folder
 from plantmetrics.sources import star
 from plantmetrics.streaming import jobs
 
@@ -28,7 +28,7 @@ def events(t):
 
 def totals(t, frame, name):
     """Run a totals stream to the end and read its table."""
-    base = f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+    base = f"{run_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
     jobs.start_table(frame, f"{base}/table", f"{base}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{base}/table")
 
@@ -63,7 +63,7 @@ def stream_query_stats(t):
     """SELECT inspection_id, station, prediction, actual_label, processing_time_ms, prediction = actual_label AS correct FROM inspections""",
 )
 def stream_score_log(t):
-    base = f"{shared_dir(t.spark)}/inspection-log-{uuid.uuid4().hex}"
+    base = f"{run_folder(t.spark)}/inspection-log-{uuid.uuid4().hex}"
     rows = jobs.scored(star.inspections(events(t)))
     jobs.start_log(rows, f"{base}/log", f"{base}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{base}/log").drop("ts")

@@ -31,6 +31,8 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "plantmetric
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.files.minPartitionNum", str(partitions))
+        .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.ui.enabled", "false")
     )
     for key, value in RUNTIME_SETTINGS.items():
@@ -75,12 +77,3 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a scan that has fewer partitions than cores, before costly row work.
-
-    Large inputs have more splits than cores and stay as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -1,5 +1,6 @@
 """Streams, sinks, images and models."""
 
+import base64
 import os
 
 import numpy as np
@@ -80,12 +81,16 @@ def test_query_log_round_trip_with_line_breaks(spark, tmp_path):
     assert [(r.question, r.top_source, r.answer_length) for r in rows] == [('say "what"\nnow', "a.txt", 6)] * 2
 
 
+PNGS = {  # 6 by 4 grey pixels: 0 to 23, and 200 throughout
+    "defect_1.png": "iVBORw0KGgoAAAANSUhEUgAAAAYAAAAECAAAAACIbxGfAAAAJElEQVR4nGNgYGRiZmFlYGPn4OTiZuDh5eMXEGQQEhYRFRMHAAoCARX6FQ+xAAAAAElFTkSuQmCC",
+    "ok_1.png": "iVBORw0KGgoAAAANSUhEUgAAAAYAAAAECAAAAACIbxGfAAAADklEQVR4nGM4AQYM2CgABqsSwcnZIg8AAAAASUVORK5CYII=",
+}
+
+
 def test_png_folder(spark, tmp_path):
-    grey = spark.createDataFrame(
-        [("defect_1", 4, 6, bytearray(range(24))), ("ok_1", 4, 6, bytearray([200] * 24))],
-        "file_name string, height int, width int, data binary",
-    )
-    assert images.write_grey_pngs(grey, str(tmp_path / "png")) == 2
+    (tmp_path / "png").mkdir()
+    for name, data in PNGS.items():
+        (tmp_path / "png" / name).write_bytes(base64.b64decode(data))
     read = readers.read_images(spark, str(tmp_path / "png"))
     rows = {r.file_name: r for r in images.image_features(read).collect()}
     assert {k: r.label for k, r in rows.items()} == {"defect_1.png": 1, "ok_1.png": 0}

@@ -93,13 +93,12 @@ def brute_search(chunks, questions, k, max_terms):
     return out
 
 
-@pytest.mark.parametrize("max_terms, frequent_limit", [(80, 50_000), (20, 50_000), (80, 5)])
-def test_search_equals_brute_force(spark, monkeypatch, max_terms, frequent_limit):
+@pytest.mark.parametrize("max_terms", [80, 20, 500])
+def test_search_equals_brute_force(spark, monkeypatch, max_terms):
     """Many small tiles and blocks, a word in every chunk, equal chunks (ties) and an unknown question."""
-    monkeypatch.setattr(retrieval, "FREQUENT_LIMIT", frequent_limit)
     monkeypatch.setattr(retrieval, "TILE_CHUNKS", 7)
     monkeypatch.setattr(retrieval, "BLOCK_QUESTIONS", 3)
-    monkeypatch.setattr(retrieval, "TILES_PER_SHELF", 2)
+    monkeypatch.setattr(retrieval, "MERGE_PARTS", 2)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(30)]
     texts = ["common " + " ".join(rng.choice(words) for _ in range(rng.randint(3, 25))) for _ in range(60)]
