@@ -14,8 +14,8 @@ from plantmetrics.llm.common import BLANKS, lower_ascii, mix
 from plantmetrics.session import materialise
 
 MIN_CHARS = 10
-KEYS_PER_SHARD = 250_000
-PROBES_PER_TASK = 1_000_000
+KEYS_PER_SHARD = 100_000
+PROBES_PER_TASK = 200_000
 LOAD = 1.6  # bits per key in each level of a minimal perfect hash
 NULL_ID = -(1 << 63)  # rows without an id count as one document, before all others
 
