@@ -7,8 +7,11 @@ So every document is put under one key per chunk and allowed error: the chunk wi
 share a key are candidates.
 
 Documents with equal sets are one class before that, so exact copies cost nothing. A key's candidates are not all paired:
-first each is compared with the key's first class; components of the confirmed links follow; then only classes of one key that
-are still in different components are compared, in blocks, and only pairs within the radius leave a task.
+each is compared with the key's first class only. What these close pairs connect is a cluster. Two classes of one key in
+different clusters are compared by signature, in blocks. Inside a cluster, the pairs found so far are confirmed and connected,
+and then only classes outside the cluster's largest component are compared with the others, on full sets, inside tasks that
+give out no more links than join components. So no pair within the radius is left out, and a group of very many near copies
+never becomes a table of its pairs.
 """
 
 from __future__ import annotations
@@ -224,15 +227,15 @@ def confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int)
 
 
 def pairs_between(shared: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs within the radius that share a key and are in different components.
+    """Pairs within the radius that share a key and are in different clusters (node, root).
 
-    Only keys with at least three nodes in at least two components are looked at: with two, the pair was compared before. The
+    Only keys with at least three nodes in at least two clusters are looked at: with two, the pair was compared before. The
     nodes of a key are dealt into blocks of about ``BLOCK``, and each pair of blocks is one group of rows. A pair that shares
     several keys is given out under the first of them alone.
     """
     rows = shared.filter("n > 2").join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
     rooted = rows.select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    # Components of one key are told apart by their smallest and largest root.
+    # Clusters of one key are told apart by their smallest and largest root.
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
     open_rows = rooted.join(mixed.select("key"), "key").join(classes.select("node", "signature"), "node")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -314,6 +317,101 @@ def pairs_between(shared: DataFrame, roots: DataFrame, classes: DataFrame) -> Da
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def links_inside(clusters: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame, ratio: tuple[int, int]) -> DataFrame:
+    """Links between different components of one cluster, as many as it takes to connect them.
+
+    All but the nodes of a cluster's largest component (its minority) are dealt into blocks, and so are all its nodes; each
+    block of the first kind meets each of the second in one group. A task holds the minority's sets of its group and streams
+    the others past them; a pair is compared if its components are not yet connected there and its signatures are close.
+    """
+    rooted = clusters.select("node", F.col("root").alias("cluster")).join(roots, "node", "left")
+    rooted = rooted.select("node", "cluster", F.coalesce("root", "node").alias("root"))
+    sizes = rooted.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("cluster").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("largest"), F.sum("n").alias("whole")
+    )
+    mixed = mixed.filter("largest < whole").select(
+        "cluster",
+        "main",
+        F.ceil((F.col("whole") - F.col("largest")) / BLOCK).cast("int").alias("minor_blocks"),
+        F.ceil(F.col("whole") / BLOCK).cast("int").alias("all_blocks"),
+    )
+    rows = (
+        rooted.join(mixed, "cluster")
+        .join(classes.select("node", "signature"), "node")
+        .join(sets, "node")
+        .select("cluster", "node", "root", "signature", "hashes", "main", "minor_blocks", "all_blocks")
+    )
+    rows = materialise(rows, "mixed-clusters")
+
+    def dealt(kind: int, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(F.lit(kind), "node"), F.col(f"{own}_blocks")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))
+        return rows.select(
+            "cluster",
+            mine.alias(own),
+            every.alias(other),
+            F.lit(kind).alias("kind"),
+            "node",
+            "root",
+            "main",
+            "signature",
+            "hashes",
+        )
+
+    minority = dealt(0, "minor", "all").filter("root <> main")
+    both = minority.unionByName(dealt(1, "all", "minor"))
+    placed = both.repartition("cluster", "minor", "all").sortWithinPartitions("cluster", "minor", "all", "kind")
+    numerator, denominator = ratio
+
+    def similar(a: np.ndarray, b: np.ndarray) -> bool:
+        if denominator * min(len(a), len(b)) < numerator * max(len(a), len(b)):
+            return False
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        return denominator * common >= numerator * (len(a) + len(b) - common)
+
+    def run(batches):
+        place, joined, held, signatures = None, {}, [], None
+
+        def find(x):
+            while joined.get(x, x) != x:
+                x = joined[x]
+            return x
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            where = list(zip(*[batch.column(c).to_pylist() for c in ("cluster", "minor", "all")], strict=True))
+            kinds, nodes, roots_ = (batch.column(c).to_pylist() for c in ("kind", "node", "root"))
+            bytes_, lists = batch.column("signature"), batch.column("hashes")
+            a, b = [], []
+            for i, here in enumerate(where):
+                if here != place:
+                    place, joined, held, signatures = here, {}, [], None
+                signature = np.frombuffer(bytes_[i].as_py(), np.uint8)
+                hashes = lists[i].values.to_numpy()
+                if kinds[i] == 0:
+                    held.append((nodes[i], roots_[i], signature, hashes))
+                    continue
+                if not held:
+                    continue
+                if signatures is None:
+                    signatures = np.stack([h[2] for h in held])
+                apart = distance(signatures, signature)
+                for j in np.argsort(apart, kind="stable"):
+                    if apart[j] > RADIUS:
+                        break
+                    node, root, _, own = held[j]
+                    x, y = find(root), find(roots_[i])
+                    if x != y and similar(own, hashes):
+                        joined[max(x, y)] = min(x, y)
+                        a.append(node)
+                        b.append(nodes[i])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return placed.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR
 ) -> DataFrame:
@@ -336,16 +434,13 @@ def near_duplicates(
     shared = shared_keys(classes)
     star = shared.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     near = materialise(close_pairs(star, classes), "near-pairs")
-    wanted = (
-        near.select(F.col("a").alias("node"))
-        .union(near.select(F.col("b").alias("node")))
-        .union(shared.filter("n > 2").select("node"))
-        .distinct()
-    )
+    clusters = materialise(components(near), "clusters")
+    found = near.union(materialise(pairs_between(shared, clusters, classes), "near-pairs"))
+    wanted = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
     sets = sets_of(docs, wanted, classes, words)
-    links = materialise(confirm(near, sets, numerator, denominator), "confirmed")
+    links = materialise(confirm(found, sets, numerator, denominator), "confirmed")
     roots = materialise(components(links), "roots")
-    more = materialise(confirm(pairs_between(shared, roots, classes), sets, numerator, denominator), "confirmed")
+    more = materialise(links_inside(clusters, roots, classes, sets, (numerator, denominator)), "confirmed")
     roots = materialise(components(links.union(more)), "roots")
 
     rooted = classes.join(roots, "node", "left").select("class", "first_doc", F.coalesce("root", "node").alias("root"))

@@ -341,7 +341,7 @@ def shingles(text, n):
 
 
 def test_near_copies_against_all_pairs(spark, monkeypatch):
-    """Groups of copies, chains of edits, and a group whose members are similar to its origin but not to each other."""
+    """Groups of copies, chains of edits, and a group of which the origin is similar to all, but the others not to each other."""
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
     rng = random.Random(6)
 
