@@ -99,29 +99,30 @@ def scan_text(text: str | None, compiled: dict) -> tuple[int, int, list[str], li
     return len(words), hit, sorted(set().union(*[i for _, _, i in runs])), spans, MIN_SHARE * hit >= len(words)
 
 
-def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents with a struct ``scan`` of n_words, n_hit, item_ids, spans and contaminated; one pass, no shuffle.
+def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, name: str = "scan") -> DataFrame:
+    """The documents with a struct (``name``) of n_words, n_hit, item_ids, spans and contaminated; one pass, no shuffle.
 
     Words are runs of ASCII letters and digits and of all characters beyond ASCII, with A-Z in lower case. A word inside an
     occurrence of any window of an item is hit; adjoining hits are one span, given in characters of the original text. A
     document is contaminated if at least one word in 20 is hit. Null and empty texts have no words and are clean, as is
     everything if there are no items. Texts are scanned whole, whatever their length; rows that repeat are scanned each.
-    All columns stay; a column of the documents that is called ``scan`` is replaced.
+    All columns stay, but for one that has the name of the struct.
     """
     shared = docs.sparkSession.sparkContext.broadcast(compile_items(items, window))
-    names = [c for c in docs.columns if c != "scan"]
-    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("scan", RESULT)])
+    names = [c for c in docs.columns if c != name]
+    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(name, RESULT)])
 
     def run(batches):
         for batch in batches:
             found = [scan_text(text, shared.value) for text in batch.column("text").to_pylist()]
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(ARROW_RESULT)]
             packed = pa.StructArray.from_arrays(columns, [f.name for f in RESULT])
-            yield pa.RecordBatch.from_arrays([*batch.columns, packed], [*names, "scan"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, packed], [*names, name])
 
     return docs.select(*names).mapInArrow(run, schema)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, with their columns as they were."""
-    return scan(docs, items, window).filter(~F.col("scan.contaminated")).select(*[c for c in docs.columns if c != "scan"])
+    name = "scan" + "_" * max(len(c) for c in docs.columns)
+    return scan(docs, items, window, name).filter(~F.col(f"{name}.contaminated")).drop(name)

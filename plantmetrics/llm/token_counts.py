@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 CHUNK = 64
 BATCH_CHARS = 1 << 21
-MAX_STATES = 250_000  # under 1 kB each; the tables start anew beyond that, so memory is bounded and counts stay the same
+MAX_STATES = 200_000  # under 1 kB each; the tables start anew beyond that, so memory is bounded and counts stay the same
 LIMIT = 2048
 
 # The pre-tokenizer's white space, contractions and end of word.
@@ -163,18 +163,21 @@ class Machine:
         self.states: list[tuple] = []
         self.number: dict[tuple, int] = {}
         self.last = np.zeros(1024, np.uint8)
-        self.made: dict[int, tuple[int, int]] = {}
+        self.n_made = 0
+        self.keys = np.zeros(0, np.int64)
         self.rehash(12)
         self.state_of(((0, -1, 0),))
 
     # -- transitions
 
     def rehash(self, bits: int) -> None:
+        used = np.flatnonzero(self.keys >= 0)
+        made = list(zip(self.keys[used].tolist(), self.to[used].tolist(), self.emit[used].tolist(), strict=True)) if len(used) else []
         self.bits = bits
         self.keys = np.full(1 << bits, -1, np.int64)
         self.to = np.zeros(1 << bits, np.int32)
         self.emit = np.zeros(1 << bits, np.uint8)
-        for key, (to, emitted) in self.made.items():
+        for key, to, emitted in made:
             self.put(key, to, emitted)
 
     def home(self, keys):
@@ -276,11 +279,10 @@ class Machine:
         places.append((0, token, emitted))
         sure = min(p[2] for p in places)
         to = self.state_of(tuple((n, b, c - sure) for n, b, c in places))
-        self.made[state << 8 | byte] = (to, sure)
-        if 4 * len(self.made) > len(self.keys):
+        self.n_made += 1
+        if 4 * self.n_made > len(self.keys):
             self.rehash(self.bits + 1)
-        else:
-            self.put(state << 8 | byte, to, sure)
+        self.put(state << 8 | byte, to, sure)
 
     def word_counts(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Tokens of every word, given as places in a byte array; the words are stepped together, longest first."""
