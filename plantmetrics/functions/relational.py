@@ -29,59 +29,62 @@ def running_offsets(
     return totals.select(*group, *bucket, F.coalesce(F.sum("_in_bucket").over(before), F.lit(0)).alias(name))
 
 
+def in_ranges(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """The frame written in ``order`` over range partitions, with the partition's number in ``_part``.
+
+    The partitions are balanced by a sample of the order columns, whatever share of the rows one key or one day holds, and
+    there are as many as the session's shuffles have. They are written, since a second computation could draw other bounds.
+    """
+    return materialise(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordered")
+
+
 def with_row_index(
-    df: DataFrame, group: Sequence[str], bucket: Sequence[str], order: Sequence[str], name: str = "row_idx"
+    df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "row_idx"
 ) -> DataFrame:
-    """0-based position of each row in its group, ordered by (*bucket, *order).
+    """0-based position of each row in its group by ``order``; without group columns, in the whole frame.
 
-    The group may be of any size: positions are counted inside a bucket (a day, say) and moved by the
-    number of rows in the earlier buckets, so no task sorts a whole group. The leading order columns make
-    the bucket; more of them give smaller buckets.
+    Rows are numbered inside range partitions and moved by the number of the group's rows in the earlier partitions, so a
+    group of any size is spread.
     """
-    offsets = running_offsets(df, group, bucket, F.count(F.lit(1)), "_offset")
-    inside = W.partitionBy(*group, *bucket).orderBy(*order)
+    placed = in_ranges(df, [*group, *order])
+    offsets = running_offsets(placed, group, ["_part"], F.count(F.lit(1)), "_offset")
+    inside = W.partitionBy(*group, "_part").orderBy(*order)
     return (
-        df.withColumn("_in", F.row_number().over(inside) - 1)
-        .join(offsets, [*group, *bucket])
+        placed.withColumn("_in", F.row_number().over(inside) - 1)
+        .join(offsets, [*group, "_part"])
         .withColumn(name, F.col("_offset") + F.col("_in"))
-        .drop("_offset", "_in")
+        .drop("_offset", "_in", "_part")
     )
 
 
-def with_global_index(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """0-based position of each row of the whole frame, which is written in ``order`` over range partitions.
-
-    The partitions are balanced by a sample of the order columns, whatever their values look like; each is numbered on its own
-    and moved by the row counts of the earlier ones.
-    """
-    placed = materialise(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordered")
-    offsets = running_offsets(placed, [], ["_part"], F.count(F.lit(1)), "_offset")
-    inside = W.partitionBy("_part").orderBy(*order)
-    return (
-        placed.join(offsets, "_part")
-        .withColumn(name, F.col("_offset") + F.row_number().over(inside) - 1)
-        .drop("_part", "_offset")
-    )
+def exact_quantile(df: DataFrame, column: str, share: float, name: str) -> DataFrame:
+    """One row: the quantile of a column with linear interpolation, from the two rows next to its place."""
+    ranked = with_row_index(df.select(column), [], [column], "_at")
+    total = df.agg(F.count(F.lit(1)).alias("n"))
+    placed = attach_row(ranked, total, "_n").withColumn("_place", (F.col("_n.n") - 1) * share)
+    near = placed.where((F.col("_at") == F.floor("_place")) | (F.col("_at") == F.ceil("_place")))
+    low, high, place = F.min_by(column, "_at"), F.max_by(column, "_at"), F.max("_place")
+    return near.agg((low + (high - low) * (place - F.floor(place))).alias(name))
 
 
 def with_running_sum(
-    df: DataFrame, group: Sequence[str], bucket: Sequence[str], order: Sequence[Column | str], value: str, name: str
+    df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, name: str
 ) -> DataFrame:
-    """Running total of ``value`` up to and including the row, in (*bucket, *order) order; see with_row_index."""
-    offsets = running_offsets(df, group, bucket, F.sum(value), "_offset")
-    inside = W.partitionBy(*group, *bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    """Running total of ``value`` up to and including the row, by ``order``; see with_row_index."""
+    placed = in_ranges(df, [*group, *order])
+    offsets = running_offsets(placed, group, ["_part"], F.sum(value), "_offset")
+    inside = W.partitionBy(*group, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return (
-        df.withColumn("_in", F.sum(value).over(inside))
-        .join(offsets, [*group, *bucket])
+        placed.withColumn("_in", F.sum(value).over(inside))
+        .join(offsets, [*group, "_part"])
         .withColumn(name, F.col("_offset") + F.col("_in"))
-        .drop("_offset", "_in")
+        .drop("_offset", "_in", "_part")
     )
 
 
 def with_trailing(
     df: DataFrame,
     group: Sequence[str],
-    bucket: Sequence[str],
     order: Sequence[str],
     value: str,
     rows: int,
@@ -89,11 +92,12 @@ def with_trailing(
 ) -> DataFrame:
     """Mean of ``value`` over the last ``rows`` rows of the group, the current one included.
 
-    Each bucket is computed on its own. The values it needs from earlier buckets, at most ``rows - 1``
-    of them, come along as an array built from per-bucket tails, so a hot group is still spread.
+    Each range partition is computed on its own. The values it needs from earlier ones, at most ``rows - 1`` of them, come
+    along as an array built from the partitions' tails, so a hot group, or a hot day in it, is still spread.
     """
     need = rows - 1
-    keys = [*group, *bucket]
+    df = in_ranges(df, [*group, *order])
+    keys = [*group, "_part"]
     newest = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
     tails = (
         df.select(*keys, *order, F.col(value).alias("_v"))
@@ -103,7 +107,7 @@ def with_trailing(
         .agg(F.array_sort(F.collect_list(F.struct((-F.col("_rn")).alias("p"), F.col("_v").alias("v")))).alias("_t"))
         .select(*keys, F.transform("_t", lambda s: s["v"]).alias("_t"))
     )
-    earlier = W.partitionBy(*group).orderBy(*bucket).rowsBetween(-need, -1)
+    earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(-need, -1)
     carried = tails.withColumn("_all", F.flatten(F.collect_list("_t").over(earlier))).select(
         *keys, F.slice("_all", F.greatest(F.size("_all") - need + 1, F.lit(1)), need).alias("_carry")
     )
@@ -122,5 +126,5 @@ def with_trailing(
             (F.col("_sum") + F.aggregate("_extra", F.lit(0.0), lambda acc, v: acc + v))
             / (F.col("_n") + F.size("_extra")),
         )
-        .drop("_sum", "_n", "_carry", "_extra")
+        .drop("_sum", "_n", "_carry", "_extra", "_part")
     )

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plantmetrics.functions.relational import attach_row, exact_quantile
+
 # Trees, rows per tree, share of anomalies.
 TREES = 100
 SAMPLE = 256
@@ -105,10 +107,11 @@ def score(df: DataFrame, nodes: DataFrame, features: Sequence[str], trees: int =
 
 
 def label(scored: DataFrame, contamination: float = CONTAMINATION) -> DataFrame:
-    """anomaly_score below zero and label -1 for the most isolated share of rows, 1 for the rest."""
-    from plantmetrics.functions.relational import attach_row
+    """anomaly_score below zero and label -1 for the most isolated share of rows, 1 for the rest.
 
-    threshold = scored.agg(F.percentile_approx("isolation", 1 - contamination, 100000).alias("t"))
+    The threshold is the exact quantile, so without ties just that share of the rows is below zero.
+    """
+    threshold = exact_quantile(scored, "isolation", 1 - contamination, "t")
     return (
         attach_row(scored, threshold, "_t")
         .withColumn("anomaly_score", F.col("_t.t") - F.col("isolation"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -126,13 +127,13 @@ def with_trend(weekly: DataFrame) -> DataFrame:
 def with_ewm(weekly: DataFrame, span: int = 1, name: str = "ewm_mean_7", leak_free: bool = False) -> DataFrame:
     """Exponentially weighted mean with weights (1 - 2/(span+1))^age over all rows so far.
 
-    The weighted sum and the sum of weights are folded over the row's history; a weekly series holds a few
-    hundred rows.
+    The weighted sum and the sum of weights are folded over the rows whose weight a double can still tell from 0 beside 1,
+    so a row never holds more than those; for span 1 that is the row itself.
     """
     keep = 1.0 - 2.0 / (span + 1)
-    history = F.collect_list(F.col("demand").cast("double")).over(
-        _by_series().rowsBetween(W.unboundedPreceding, -1 if leak_free else 0)
-    )
+    reach = math.ceil(math.log(1e-17) / math.log(keep)) if keep > 0 else 0
+    end = -1 if leak_free else 0
+    history = F.collect_list(F.col("demand").cast("double")).over(_by_series().rowsBetween(end - reach, end))
     start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
     folded = F.aggregate(
         history,

@@ -11,15 +11,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 FORECAST_SCHEMA = "series string, step int, forecast double"
-GRID = np.array([0.02, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9])
+GRID = np.array([0.02, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9])  # where the search starts
+FINEST = 1e-4
 
 
 def smooth(values: np.ndarray, period: int, horizon: int) -> np.ndarray:
-    """Forecast with the smoothing weights of the least squared one-step error on a grid.
+    """Forecast with the smoothing weights of the least squared one-step error.
 
-    All weight triples run through the recursion together, as one vector.
+    The search starts on a coarse grid of weights. Then the neighbours of the best triple are tried, in steps that are halved
+    whenever none is better, until the steps are below ``FINEST``.
     """
-    alpha, beta, gamma = np.array(list(itertools.product(GRID, GRID, GRID))).T
+    error, forecast = run(values, period, horizon, np.array(list(itertools.product(GRID, GRID, GRID))))
+    best = int(np.argmin(error))
+    centre, least, found = np.array(list(itertools.product(GRID, GRID, GRID)))[best], error[best], forecast[:, best]
+    step = 0.1
+    while step > FINEST:
+        near = np.clip(centre + step * np.array(list(itertools.product((-1, 0, 1), repeat=3))), 0.0, 1.0)
+        error, forecast = run(values, period, horizon, near)
+        best = int(np.argmin(error))
+        if error[best] < least:
+            centre, least, found = near[best], error[best], forecast[:, best]
+        else:
+            step /= 2
+    return found
+
+
+def run(values: np.ndarray, period: int, horizon: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared one-step error and forecast of every weight triple; all run through the recursion together."""
+    alpha, beta, gamma = weights.T
     level = np.full(alpha.shape, values[:period].mean())
     second = values[period : 2 * period]
     slope = (second.mean() - values[:period].mean()) / period if len(second) == period else 0.0
@@ -34,10 +53,8 @@ def smooth(values: np.ndarray, period: int, horizon: int) -> np.ndarray:
         level = alpha * (value - season[slot]) + (1 - alpha) * (level + trend)
         trend = beta * (level - before) + (1 - beta) * trend
         season[slot] = gamma * (value - level) + (1 - gamma) * season[slot]
-    best = int(np.argmin(error))
-    steps = np.arange(1, horizon + 1)
-    seasonal = np.array([season[(len(values) + s - 1) % period][best] for s in steps])
-    return level[best] + trend[best] * steps + seasonal
+    ahead = [level + trend * s + season[(len(values) + s - 1) % period] for s in range(1, horizon + 1)]
+    return error, np.array(ahead)
 
 
 def holt_winters(training: DataFrame, horizon: int) -> DataFrame:

@@ -55,7 +55,7 @@ def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
 def prepare_log(log: DataFrame) -> DataFrame:
     """Production rows with calendar, encoded names, trailing downtime and defect rate."""
     rolled = with_trailing(
-        log, ["line_id"], ["date"], ROW_KEYS, "downtime_minutes", 7, "rolling_avg_downtime_7d"
+        log, ["line_id"], ["date", *ROW_KEYS], "downtime_minutes", 7, "rolling_avg_downtime_7d"
     )
     encoded = label_encode(label_encode(rolled, "line_id", "line_enc"), "brand", "brand_enc")
     return encoded.withColumns(
@@ -75,12 +75,12 @@ def split_rows(log: DataFrame, ratio: float = 0.80, by_time: bool = False) -> Da
     """
     total = log.agg(F.count(F.lit(1)).alias("n"))
     if by_time:
-        placed = with_row_index(log, [], ["date", "line_id"], ROW_KEYS, "position")
+        placed = with_row_index(log, [], ["date", "line_id", *ROW_KEYS], "position")
     else:
         sizes = log.groupBy("line_id").agg(F.count(F.lit(1)).alias("_size"))
         before = F.sum("_size").over(W.orderBy("line_id").rowsBetween(W.unboundedPreceding, -1))
         starts = sizes.select("line_id", F.coalesce(before, F.lit(0)).alias("_start"))
-        inside = with_row_index(log, ["line_id"], ["date"], ROW_KEYS, "_in_line")
+        inside = with_row_index(log, ["line_id"], ["date", *ROW_KEYS], "_in_line")
         placed = (
             inside.join(starts, "line_id")
             .withColumn("position", F.col("_start") + F.col("_in_line"))
@@ -93,15 +93,15 @@ def split_rows(log: DataFrame, ratio: float = 0.80, by_time: bool = False) -> Da
 def stratified_split(df: DataFrame, label: str, key: str, ratio: float = 0.80, seed: int = SEED) -> DataFrame:
     """Exactly floor(ratio * n) training rows per class, chosen by the hash of the key.
 
-    Rows are ordered by hash inside hash buckets, so a class may be of any size.
+    Rows are ordered by hash in range partitions, so a class may be of any size.
     """
     hashed = df.withColumn("_h", F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")))
-    placed = with_row_index(hashed.withColumn("_b", F.substring("_h", 1, 3)), [label], ["_b"], ["_h", key], "_pos")
+    placed = with_row_index(hashed, [label], ["_h", key], "_pos")
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     return (
         placed.join(sizes, label)
         .withColumn("is_train", F.col("_pos") < F.floor(F.col("_n") * ratio))
-        .drop("_h", "_b", "_pos", "_n")
+        .drop("_h", "_pos", "_n")
     )
 
 

@@ -61,7 +61,7 @@ def queue(orders: DataFrame) -> DataFrame:
     """Orders with running quantity [lo, hi) per brand, by deadline (open ones last), then larger first."""
     due = F.coalesce("deadline", F.lit(NO_DEADLINE).cast("date"))
     keyed = orders.withColumn("due", due).withColumn("_neg", -F.col("qty"))
-    placed = with_running_sum(keyed, ["brand"], ["due", "_neg"], ["order_id"], "qty", "hi")
+    placed = with_running_sum(keyed, ["brand"], ["due", "_neg", "order_id"], "qty", "hi")
     return placed.withColumn("lo", F.col("hi") - F.col("qty")).drop("_neg")
 
 
@@ -70,7 +70,7 @@ def order_positions(orders: DataFrame) -> DataFrame:
     keyed = orders.withColumn("due", F.coalesce("deadline", F.lit(NO_DEADLINE).cast("date"))).withColumn(
         "_neg", -F.col("qty")
     )
-    return with_row_index(keyed, [], ["due", "_neg"], ["order_id"], "position").drop("_neg")
+    return with_row_index(keyed, [], ["due", "_neg", "order_id"], "position").drop("_neg")
 
 
 def _bins(lo: Column, hi: Column) -> Column:

@@ -179,14 +179,14 @@ def fixed_sample(df: DataFrame, n: int, key: list[str], seed: int = 42, replace:
     Without replacement: the n rows with the smallest key hash. With replacement: rows get a position in
     hash order, every draw names a position, and draws are joined to rows.
     """
-    hashed = df.withColumn("_h", F.xxhash64(*key, F.lit(seed)))
+    hashed = df.withColumn("_h", F.md5(F.concat_ws("-", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))))
     if not replace:
         return hashed.orderBy("_h", *key).limit(n).drop("_h")
-    placed = with_row_index(
-        hashed.withColumn("_b", F.shiftright("_h", 52)), [], ["_b"], ["_h", *key], "_position"
-    )
+    placed = with_row_index(hashed, [], ["_h", *key], "_position")
     size = df.agg(F.count(F.lit(1))).scalar()
+    digest = F.md5(F.concat_ws("-", F.col("id").cast("string"), F.lit(str(seed))))
+    number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
     draws = df.sparkSession.range(n).select(
-        F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), size).alias("_position")
+        F.col("id").alias("draw"), F.pmod(number, size).alias("_position")
     )
-    return draws.join(placed, "_position").drop("_position", "_h", "_b")
+    return draws.join(placed, "_position").drop("_position", "_h")

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plantmetrics.functions import round_exact, round_to
-from plantmetrics.functions.relational import attach_row, with_global_index
+from plantmetrics.functions.relational import attach_row, with_row_index
 from plantmetrics.functions.text import (
     chunk_id,
     content_sections,
@@ -44,7 +44,7 @@ MERGE_PARTS = 32
 
 def document_numbers(docs: DataFrame) -> DataFrame:
     """1-based place of each file in name order; names are sorted in range partitions, whatever they look like."""
-    placed = with_global_index(docs.select("file_name"), ["file_name"], "document_no")
+    placed = with_row_index(docs.select("file_name"), [], ["file_name"], "document_no")
     return placed.select("file_name", (F.col("document_no") + 1).alias("document_no"))
 
 

@@ -104,9 +104,7 @@ def sort_risks(t):
     from plantmetrics.functions.relational import with_row_index
 
     risks = inv.stockout_risk(t.inventory).select("material_id", "days_until_stockout")
-    placed = with_row_index(
-        risks, [], ["days_until_stockout"], ["material_id"]
-    )
+    placed = with_row_index(risks, [], ["days_until_stockout", "material_id"])
     return placed.select((F.col("row_idx") + 1).alias("position"), "material_id", "days_until_stockout").orderBy(
         "days_until_stockout", "material_id"
     )

@@ -299,8 +299,7 @@ def win_rolling_downtime(t):
     rolled = with_trailing(
         t.production_log.select("line_id", "date", "shift", "downtime_minutes", "k1", "k2", "k3", "k4"),
         ["line_id"],
-        ["date"],
-        ["shift", "k1", "k2", "k3", "k4"],
+        ["date", "shift", "k1", "k2", "k3", "k4"],
         "downtime_minutes",
         7,
         "rolling",

@@ -208,7 +208,19 @@ def union_rows(t):
     return log.unionByName(log.where(F.col("severity") == "critical"))
 
 
-@query("fixed_sample")
+DRAWN = """SELECT k1, k2, k3, k4, date, line_id, row_number() OVER (ORDER BY md5(concat_ws('-', k1, k2, k3, k4, date, 42)), k1, k2, k3, k4, date) - 1 AS place
+    FROM production_log"""
+
+
+@query(
+    "fixed_sample",
+    f"""WITH placed AS MATERIALIZED ({DRAWN})
+        SELECT k1, k2, k3, k4, date, line_id, 'without' AS kind FROM placed WHERE place < 500
+        UNION ALL
+        SELECT k1, k2, k3, k4, date, line_id, 'with' AS kind FROM placed
+        JOIN (SELECT ('0x' || substr(md5(concat_ws('-', d, 42)), 1, 15))::BIGINT % (SELECT count(*) FROM production_log) AS place
+              FROM (SELECT unnest(range(500)) AS d)) USING (place)""",
+)
 def fixed_sample(t):
     keyed = t.production_log.select("k1", "k2", "k3", "k4", "date", "line_id")
     keys = ["k1", "k2", "k3", "k4", "date"]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plantmetrics.functions.relational import with_row_index, with_running_sum, with_trailing
+from plantmetrics.functions.relational import exact_quantile, in_ranges, with_row_index, with_running_sum, with_trailing
 from plantmetrics.operators import planning, quality, retrieval
 
 
@@ -32,21 +32,37 @@ def by_group(rows):
 
 
 def test_row_index(spark, skewed):
-    frame = with_row_index(spark.createDataFrame(skewed, SCHEMA), ["g"], ["b"], ["i"])
+    frame = with_row_index(spark.createDataFrame(skewed, SCHEMA), ["g"], ["b", "i"])
     got = {(r.g, r.i): r.row_idx for r in frame.collect()}
     assert got == {(g, r[2]): n for g, rows in by_group(skewed).items() for n, r in enumerate(rows)}
 
 
 def test_running_sum(spark, skewed):
-    frame = with_running_sum(spark.createDataFrame(skewed, SCHEMA), ["g"], ["b"], ["i"], "v", "s")
+    frame = with_running_sum(spark.createDataFrame(skewed, SCHEMA), ["g"], ["b", "i"], "v", "s")
     got = {(r.g, r.i): r.s for r in frame.collect()}
     want = {(g, r[2]): s for g, rows in by_group(skewed).items() for r, s in zip(rows, np.cumsum([x[3] for x in rows]))}
     assert got == want
 
 
+@pytest.mark.parametrize("share", [0.0, 0.05, 0.5, 0.95, 1.0])
+def test_exact_quantile(spark, skewed, share):
+    frame = exact_quantile(spark.createDataFrame(skewed, SCHEMA), "v", share, "q")
+    assert frame.first().q == pytest.approx(np.quantile([r[3] for r in skewed], share))
+
+
+def test_one_hot_day_is_split(spark):
+    """One line and day hold all rows; their order columns still spread them over the tasks."""
+    rows = [("hot", 1, i, i % 7) for i in range(4000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    frame = in_ranges(spark.createDataFrame(rows, SCHEMA), ["g", "b", "i"])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in frame.groupBy("_part").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 4000 / 2
+
+
 @pytest.mark.parametrize("rows_back", [2, 7, 40])
 def test_trailing_mean_reaches_over_sparse_buckets(spark, skewed, rows_back):
-    frame = with_trailing(spark.createDataFrame(skewed, SCHEMA), ["g"], ["b"], ["i"], "v", rows_back, "m")
+    frame = with_trailing(spark.createDataFrame(skewed, SCHEMA), ["g"], ["b", "i"], "v", rows_back, "m")
     got = {(r.g, r.i): r.m for r in frame.collect()}
     for g, rows in by_group(skewed).items():
         values = [r[3] for r in rows]
