@@ -10,7 +10,7 @@ from plantmetrics.functions import round_to
 from plantmetrics.functions import text as tx
 from plantmetrics.operators import retrieval
 from plantmetrics.plans.catalog import query
-from plantmetrics.plans.oracle import WS, r
+from plantmetrics.plans.oracle import WS, r, rx
 from plantmetrics.session import materialise, run_folder
 from plantmetrics.sources import sinks
 from plantmetrics.sources.readers import corpus, query_log_summary
@@ -61,6 +61,63 @@ VIEWS = {
 }
 
 
+# Sections, the best of them and answers in SQL; the sentence ends are marked first, since there is no look-behind.
+BOILER = tx.BOILERPLATE_HEADS.replace("'", "''")
+STOP = "[" + ", ".join(f"'{w}'" for w in tx.QUESTION_STOP_WORDS) + "]"
+
+
+def trimmed_longer(parts: str, length: int) -> str:
+    return f"list_filter(list_transform({parts}, lambda x: {strip('x')}), lambda x: length(x) > {length})"
+
+
+def sections_sql(text: str) -> str:
+    paragraphs = trimmed_longer(rf"regexp_split_to_array({text}, '\n\s*\n|={{3,}}|-{{3,}}')", 40)
+    marked = rf"regexp_replace({text}, '([.!?])[\s\x0b]+', '\1' || chr(1), 'g')"
+    sentences = trimmed_longer(f"string_split({marked}, chr(1))", 20)
+    return f"(CASE WHEN len({paragraphs}) > 0 THEN {paragraphs} ELSE {sentences} END)"
+
+
+def trim_sql(text: str) -> str:
+    head = f"substr({text}, 1, 500)"
+    cut = f"CASE WHEN contains({head}, ' ') THEN regexp_extract({head}, '(?s)^(.*) ', 1) ELSE {head} END"
+    return f"(CASE WHEN length({text}) > 500 THEN {cut} || '...' ELSE {text} END)"
+
+
+def best_section_sql(source: str) -> str:
+    """question_id and best_section of ``source`` (question_id, question, body)."""
+    asked = f"list_filter(list_distinct({split_words('lower(question)')}), lambda w: NOT list_contains({STOP}, w))"
+    common = f"len(list_intersect({asked}, list_distinct({split_words('lower(section)')})))"
+    return f"""
+        SELECT question_id, coalesce({trim_sql("arg_max(section, (score, -i))")}, substr(any_value(body), 1, 500)) AS best_section
+        FROM (SELECT question_id, body, i, section, {common} + least(length(section) / 500.0, 0.5) AS score
+              FROM (SELECT question_id, question, body, unnest(CASE WHEN len(cand) > 0 THEN cand ELSE [NULL] END) AS section,
+                           unnest(range(1, greatest(len(cand), 1) + 1)) AS i
+                    FROM (SELECT *, CASE WHEN len(kept) > 0 THEN kept ELSE parts END AS cand
+                          FROM (SELECT *, list_filter(parts, lambda x: NOT regexp_matches(x, '(?i){BOILER}') AND length(x) > 80) AS kept
+                                FROM (SELECT question_id, question, body, {sections_sql("body")} AS parts FROM ({source}))))))
+        GROUP BY question_id"""
+
+
+VIEWS["found"] = f"""SELECT question_id, rank, chunk_id, source_file, {r("score", 4)} AS sim,
+        CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '...' ELSE text END AS piece
+    FROM hits JOIN doc_chunks USING (chunk_id)"""
+VIEWS["per_question"] = """SELECT q.question_id, q.question, coalesce(top, 0.0) AS top, coalesce(context, '') AS body,
+        coalesce(files, []) AS files, coalesce(sources, '') AS sources
+    FROM questions q LEFT JOIN (
+        SELECT question_id, max(sim) FILTER (WHERE rank = 1) AS top,
+               string_agg(piece, ' ' ORDER BY rank) FILTER (WHERE rank <= 3 AND sim > 0.04) AS context,
+               string_agg(source_file || '|' || chunk_id || '|' || printf('%.4f', sim) || '|' || substr(piece, 1, 100) || '...', chr(10)
+                          ORDER BY rank) AS sources
+        FROM found GROUP BY 1) USING (question_id)
+    LEFT JOIN (SELECT question_id, list(source_file ORDER BY first_rank) AS files FROM (
+        SELECT question_id, source_file, min(rank) AS first_rank FROM found WHERE rank <= 3 GROUP BY 1, 2) GROUP BY 1) USING (question_id)"""
+VIEWS["answered"] = f"""SELECT question_id, question, sources, files,
+        CASE WHEN top >= 0.05 THEN 'Na osnovu dokumenta [' || coalesce(files[1], '{retrieval.UNKNOWN_SOURCE}') || ']: ' || best_section
+             || ' (Izvori: ' || array_to_string(files, ', ') || ')' ELSE '{retrieval.NO_ANSWER}' END AS answer,
+        CASE WHEN top >= 0.05 THEN {rx("least(top * 3.5, 1.0)", 2)} ELSE {rx("top", 2)} END AS confidence
+    FROM per_question JOIN ({best_section_sql("SELECT * FROM per_question")}) USING (question_id)"""
+
+
 def chunks(t):
     return retrieval.chunk_documents(t.corpus)
 
@@ -168,9 +225,11 @@ def ordered_distinct(t):
     return listed.withColumn("sources", F.array_join("sources", ","))
 
 
-@query("answer_questions")
+@query("answer_questions", "SELECT question_id, question, answer, sources, confidence FROM answered", VIEWS)
 def answer_questions(t):
-    return answers(t)
+    """Answers with their sources as lines of file, chunk, relevance and excerpt."""
+    line = lambda x: F.concat_ws("|", x["file"], x["chunk_id"], F.format_string("%.4f", x["relevance"]), x["excerpt"])
+    return answers(t).withColumn("sources", F.array_join(F.transform("sources", line), "\n"))
 
 
 def answers(t):
@@ -178,7 +237,11 @@ def answers(t):
     return retrieval.answer_questions(t.questions, retrieval.results(found, pieces))
 
 
-@query("best_paragraph")
+REPLIES = """SELECT CAST(a.conv_id AS VARCHAR) || '-' || CAST(a.turn AS VARCHAR) AS question_id, a.text AS question, b.text AS reply
+    FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user'"""
+
+
+@query("best_paragraph", best_section_sql(f"SELECT question_id, question, reply AS body FROM ({REPLIES})"))
 def best_paragraph(t):
     """Best section of the reply that follows each question."""
     return (
@@ -199,11 +262,6 @@ def question_replies(t):
     )
 
 
-STOP = "[" + ", ".join(f"'{w}'" for w in tx.QUESTION_STOP_WORDS) + "]"
-REPLIES = """SELECT CAST(a.conv_id AS VARCHAR) || '-' || CAST(a.turn AS VARCHAR) AS question_id, a.text AS question, b.text AS reply
-    FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user'"""
-
-
 @query(
     "token_overlap",
     f"""SELECT question_id, CAST(len(list_intersect(list_filter(list_distinct({split_words("lower(question)")}), lambda w: NOT list_contains({STOP}, w)),
@@ -248,7 +306,11 @@ def str_header_filter(t):
     return frame.select("file_name", F.size("l").alias("kept"), chars.alias("chars"))
 
 
-@query("str_split_sections")
+@query(
+    "str_split_sections",
+    f"""SELECT file_name, CAST(unnest(range(len(s))) AS INT) AS section_no, unnest(s) AS section
+        FROM (SELECT file_name, {sections_sql("text")} AS s FROM corpus)""",
+)
 def str_split_sections(t):
     parts = F.posexplode(tx.sections(F.col("text"))).alias("section_no", "section")
     return t.corpus.select("file_name", parts)

@@ -98,7 +98,12 @@ def sink_features_csv(t):
     return readers.read_table(t.spark, path, schema).select("series", "date", "demand", "lag_7", "trend")
 
 
-@query("sink_query_log")
+@query(
+    "sink_query_log",
+    """SELECT question, CAST(length(answer) AS INT) AS answer_length, coalesce(split_part(sources, '|', 1), '') AS top_source, confidence,
+              CAST(1.0 AS DOUBLE) AS response_time_ms FROM answered""",
+    retrieval_plans.VIEWS,
+)
 def sink_query_log(t):
     """Answers of the question batch appended to a log and read back."""
     path = folder(t, "query-log")
