@@ -150,12 +150,21 @@ def labelled_vectors(t):
     return learning.vectors(split, "embedding").drop("embedding")
 
 
-@query("scale_features")
+@query(
+    "scale_features",
+    f"""WITH s AS (SELECT vec_id, row_number() OVER (PARTITION BY label % 2 ORDER BY md5(CAST(vec_id AS VARCHAR) || '-42'), vec_id)
+                             <= floor(0.8 * count(*) OVER (PARTITION BY label % 2)) AS is_train, embedding FROM embeddings),
+             u AS (SELECT vec_id, is_train, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM s),
+             m AS (SELECT i, avg(x) AS mean, stddev_samp(x) AS deviation FROM u WHERE is_train GROUP BY i)
+        SELECT vec_id, is_train, CAST(i AS INT) AS i, round((x - mean) / deviation, 6) + 0.0 AS scaled FROM u JOIN m USING (i)""",
+)
 def scale_features(t):
+    """Standardised numbers, one row per vector and place."""
     from pyspark.ml.functions import vector_to_array
 
     scaled = learning.scale(labelled_vectors(t), "features")
-    return scaled.select("vec_id", "is_train", vector_to_array("scaled").alias("scaled"))
+    rows = scaled.select("vec_id", "is_train", F.posexplode(vector_to_array("scaled")).alias("i", "x"))
+    return rows.select("vec_id", "is_train", "i", (F.round("x", 6) + F.lit(0.0)).alias("scaled"))
 
 
 def scaled_vectors(t):

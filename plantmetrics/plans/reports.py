@@ -578,14 +578,50 @@ def kpi_rollup(t):
     return kpi.rollup(board(t))
 
 
-@query("dashboard_doc")
+VIEWS["every_report"] = " UNION ALL ".join(
+    f"SELECT brand, '{PERIOD}' AS period, '{kind}' AS report_type, brand || '_{kind}_Q4_1997' AS file_name, CAST({figure} AS DOUBLE) AS figure FROM {view}"
+    for kind, view, figure in (
+        ("SMSI", "scored", "smsi_score"),
+        ("Performance", "performed", "total_units"),
+        ("Sustainability", "sustained", "carbon_footprint_total"),
+    )
+)
+FIGURES = ("$.smsi_score", "$.production.total_units", "$.sustainability.carbon_footprint_total")
+
+
+def main_figure() -> F.Column:
+    """The main figure of a report's JSON body: its score, its units or its carbon."""
+    found = [F.get_json_object("body", path) for path in FIGURES]
+    kind = F.col("report_type")
+    chosen = F.when(kind == "SMSI", found[0]).when(kind == "Performance", found[1]).otherwise(found[2])
+    return chosen.cast("double").alias("figure")
+
+
+@query(
+    "dashboard_doc",
+    """SELECT (SELECT count(*) FROM kpi_full) AS total, (SELECT count(*) FROM kpi_full WHERE status = 'green') AS green,
+              (SELECT count(*) FROM kpi_full WHERE status = 'yellow') AS yellow, (SELECT count(*) FROM kpi_full WHERE status = 'red') AS red,
+              (SELECT CAST(count(*) AS INT) FROM scored) AS scorecards, (SELECT CAST(count(*) AS INT) FROM performed) AS performance,
+              (SELECT CAST(count(*) AS INT) FROM sustained) AS sustainability,
+              (SELECT CAST(count(*) AS INT) FROM kpi_full WHERE status IN ('yellow', 'red')) AS alerts""",
+    VIEWS,
+)
 def dashboard_doc(t):
-    return kpi.dashboard(scores(t), performance(t), sustainability(t), board(t))
+    """The document, and what is read back from it: indicator counts and the number of rows in each block."""
+    document = kpi.dashboard(scores(t), performance(t), sustainability(t), board(t))
+    return document.select(
+        *[F.get_json_object("document", f"$.kpi_summary.{k}").cast("bigint").alias(k) for k in ("total", *kpi.STATUSES)],
+        *[
+            F.size(F.from_json(F.get_json_object("document", f"$.{k}"), "array<string>")).alias(k)
+            for k in ("scorecards", "performance", "sustainability", "alerts")
+        ],
+    )
 
 
-@query("brand_reports")
+@query("brand_reports", "SELECT brand, period, report_type, file_name, figure FROM every_report", VIEWS)
 def brand_reports(t):
-    return all_reports(t)
+    """All reports in one envelope, each with the main figure of its body."""
+    return all_reports(t).select("brand", "period", "report_type", "file_name", main_figure())
 
 
 def all_reports(t):

@@ -11,6 +11,7 @@ from plantmetrics.operators import demand, retrieval
 from plantmetrics.operators import inventory as inv
 from plantmetrics.plans import demand as demand_plans
 from plantmetrics.plans import inventory as inventory_plans
+from plantmetrics.plans import reports as report_plans
 from plantmetrics.plans import retrieval as retrieval_plans
 from plantmetrics.plans.catalog import query
 from plantmetrics.plans.oracle import big, r
@@ -23,7 +24,11 @@ def folder(t, name: str) -> str:
     return f"{run_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("sink_report_json")
+@query(
+    "sink_report_json",
+    "SELECT brand, period, report_type, file_name, brand AS body_brand FROM every_report",
+    report_plans.VIEWS,
+)
 def sink_report_json(t):
     path = folder(t, "reports")
     sinks.write_reports(all_reports(t), path)
@@ -31,11 +36,20 @@ def sink_report_json(t):
     return back.select("brand", "period", "report_type", "file_name", F.get_json_object("body", "$.brand").alias("body_brand"))
 
 
-@query("scan_reports")
+@query(
+    "scan_reports",
+    "SELECT brand, period, count(*) AS reports, true AS filled FROM every_report GROUP BY 1, 2",
+    report_plans.VIEWS,
+)
 def scan_reports(t):
+    """The catalogue of the written reports by brand and period."""
     path = folder(t, "reports")
     sinks.write_json(all_reports(t).select("brand", "period", "body"), path)
-    return readers.read_reports(t.spark, path).select("brand", "period", "size_bytes", "generated_at")
+    return (
+        readers.read_reports(t.spark, path)
+        .groupBy("brand", "period")
+        .agg(F.count(F.lit(1)).alias("reports"), F.bool_and((F.col("size_bytes") > 0) & F.col("generated_at").isNotNull()).alias("filled"))
+    )
 
 
 RISK_SCHEMA = "material_id string, risk_level string, days_until_stockout double, estimated_cost double"
