@@ -19,7 +19,7 @@ from plantmetrics.llm.common import WORD_BYTES, mix
 
 WINDOW, STRIDE = 32, 16
 HIDDEN = 12
-CHAR_BITS, WORD_BITS = 16, 16
+CHAR_BITS, WORD_BITS = 18, 17
 CHAR_RANDOM, WORD_RANDOM = 4, 4
 INPUTS = 2 + CHAR_RANDOM + 1 + WORD_RANDOM
 GRAMS = (3, 4, 5)
