@@ -22,26 +22,36 @@ def status(value: Column, target: Column, warning: Column, direction: Column) ->
     return F.when(direction == lookups.LOWER, lower).when(direction == lookups.HIGHER, higher).otherwise(zero)
 
 
-def production_sums(log: DataFrame, brands: list[str]) -> DataFrame:
+def per_day(log: DataFrame) -> DataFrame:
+    """Sums of the production log per day and brand: all that the indicators need of it, in one pass."""
+    return log.groupBy("date", "brand").agg(
+        F.count(F.lit(1)).alias("shifts"),
+        *[F.sum(c).alias(c) for c in ("actual_qty", "defect_qty", "oee_score", "changeover_minutes", "downtime_minutes", "operator_count")],
+    )
+
+
+def production_sums(days: DataFrame, brands: list[str]) -> DataFrame:
+    """Totals over the daily sums of ``per_day``."""
     per_brand = []
     for i, brand in enumerate(brands, 1):
         mine = F.col("brand") == brand
         rate = safe_div(F.sum(F.when(mine, F.col("defect_qty"))), F.sum(F.when(mine, F.col("actual_qty"))))
         per_brand.append(F.coalesce(rate, F.lit(0.0)).alias(f"brand{i}"))
-    return log.agg(
-        F.count(F.lit(1)).alias("shifts"),
+    shifts = F.sum("shifts")
+    return days.agg(
+        F.coalesce(shifts, F.lit(0)).alias("shifts"),
         F.sum("actual_qty").alias("actual"),
         F.sum("defect_qty").alias("defect_qty"),
-        F.avg("oee_score").alias("oee"),
-        F.avg("changeover_minutes").alias("changeover"),
+        F.try_divide(F.sum("oee_score"), shifts).alias("oee"),
+        F.try_divide(F.sum("changeover_minutes"), shifts).alias("changeover"),
         F.sum("downtime_minutes").alias("downtime"),
-        F.avg("operator_count").alias("operators"),
+        F.try_divide(F.sum("operator_count"), shifts).alias("operators"),
         *per_brand,
     )
 
 
 def kpi_values(
-    log: DataFrame,
+    days: DataFrame,
     defects: DataFrame,
     inventory: DataFrame,
     orders: DataFrame,
@@ -49,7 +59,7 @@ def kpi_values(
     score: DataFrame,
     brands: list[str],
 ) -> DataFrame:
-    """One row per indicator: kpi_id, value. ``score`` is a one-row frame with ``smsi_score``."""
+    """One row per indicator: kpi_id, value. ``days`` comes from ``per_day``; ``score`` is one row with ``smsi_score``."""
     d = defects.agg(
         F.count(F.lit(1)).alias("records"),
         F.count_if(F.col("action") == "rework").alias("rework"),
@@ -69,7 +79,7 @@ def kpi_values(
         F.avg("quality_score").alias("quality"),
     )
     p = products.agg(F.avg("carbon_footprint_kg").alias("carbon"), F.avg("weight_grams").alias("weight"))
-    row = production_sums(log, brands)
+    row = production_sums(days, brands)
     for name, frame in (("d", d), ("i", i), ("o", o), ("p", p), ("s", score.select("smsi_score"))):
         row = attach_row(row, frame, name)
     rate = safe_div(F.col("defect_qty"), F.col("actual"))
@@ -99,16 +109,17 @@ def kpi_values(
     return flat.unpivot([], list(values), "kpi_id", "value")
 
 
-def half_trends(log: DataFrame) -> DataFrame:
-    """Five indicators in the first and second half of the date range; other indicators have no trend."""
-    span = log.agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    split = attach_row(log.select("date", "oee_score", "actual_qty", "defect_qty", "downtime_minutes", "changeover_minutes"), span, "span")
+def half_trends(days: DataFrame) -> DataFrame:
+    """Five indicators in the first and second half of the date range of ``per_day``; the others have no trend."""
+    span = days.agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    split = attach_row(days, span, "span")
+    shifts = F.sum("shifts")
     early = 2 * F.datediff("date", "span.a") <= F.datediff("span.b", "span.a")
     halves = split.groupBy(early.alias("early")).agg(
-        (F.avg("oee_score") * 100).alias("oee_average"),
+        (F.sum("oee_score") / shifts * 100).alias("oee_average"),
         safe_div(F.sum("defect_qty"), F.sum("actual_qty")).alias("overall_defect_rate"),
-        (F.sum("downtime_minutes") / (F.count(F.lit(1)) * SHIFT_MINUTES) * 100).alias("downtime_pct"),
-        F.avg("changeover_minutes").alias("changeover_time_avg"),
+        (F.sum("downtime_minutes") / (shifts * SHIFT_MINUTES) * 100).alias("downtime_pct"),
+        (F.sum("changeover_minutes") / shifts).alias("changeover_time_avg"),
         F.when(F.sum("actual_qty") > 0, (1 - F.try_divide(F.sum("defect_qty"), F.sum("actual_qty"))) * 100)
         .otherwise(95.0)
         .alias("first_pass_yield"),

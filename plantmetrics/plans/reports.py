@@ -11,6 +11,7 @@ from plantmetrics.functions import half_open_quarter, round_to
 from plantmetrics.operators import kpi, reports
 from plantmetrics.plans.catalog import query
 from plantmetrics.plans.oracle import big, div, pct, r, rx
+from plantmetrics.session import materialise
 from plantmetrics.sources.star import BRANDS
 
 PERIOD = "1997-Q4"
@@ -101,9 +102,19 @@ VIEWS["sustained"] = f"""
 
 
 def quarter(t):
-    """(log, defects, orders) of the period, bounded at the scan."""
-    start, end = half_open_quarter(PERIOD)
-    return t.production_between(start, end), t.defects_between(start, end), t.purchases_between(start, end)
+    """(log, defects, orders) of the period, bounded at the scan and written once for all reports of a query."""
+    if PERIOD not in t.kept:
+        start, end = half_open_quarter(PERIOD)
+        frames = t.production_between(start, end), t.defects_between(start, end), t.purchases_between(start, end)
+        t.kept[PERIOD] = tuple(materialise(frame, "quarter") for frame in frames)
+    return t.kept[PERIOD]
+
+
+def days(t):
+    """Daily sums of the whole production log, written once for values and trends."""
+    if "days" not in t.kept:
+        t.kept["days"] = materialise(kpi.per_day(t.production_log), "days")
+    return t.kept["days"]
 
 
 def scores(t):
@@ -130,7 +141,7 @@ LOG = ["date", "line_id", "brand", "actual_qty", "k1", "k2", "k3", "k4"]
 
 @query("filter_quarter", f"SELECT {', '.join(LOG)} FROM q_log", VIEWS)
 def filter_quarter(t):
-    return quarter_log(t).select(*LOG)
+    return t.production_between(*half_open_quarter(PERIOD)).select(*LOG)
 
 
 @query(
@@ -516,12 +527,12 @@ VIEWS["kpi_full"] = f"""
 
 def values(t):
     score = scores(t).where(F.col("brand") == BRANDS[0])
-    return kpi.kpi_values(t.production_log, t.defect_log, t.inventory, t.purchase_orders, t.products_dpp, score, BRANDS)
+    return kpi.kpi_values(days(t), t.defect_log, t.inventory, t.purchase_orders, t.products_dpp, score, BRANDS)
 
 
 def board(t):
     thresholds = lookups.kpi_thresholds(t.spark)
-    return kpi.board(values(t), kpi.half_trends(t.production_log), thresholds)
+    return kpi.board(values(t), kpi.half_trends(days(t)), thresholds)
 
 
 @query("kpi_values", "SELECT * FROM kpi_vals", VIEWS)
@@ -535,7 +546,7 @@ def kpi_values(t):
     VIEWS,
 )
 def win_half_dates(t):
-    frame = kpi.half_trends(t.production_log)
+    frame = kpi.half_trends(days(t))
     return frame.withColumns({c: round_to(F.col(c), 6) for c in ("first_half", "second_half")})
 
 
@@ -608,7 +619,8 @@ def main_figure() -> F.Column:
 )
 def dashboard_doc(t):
     """The document, and what is read back from it: indicator counts and the number of rows in each block."""
-    document = kpi.dashboard(scores(t), performance(t), sustainability(t), board(t))
+    indicators = materialise(board(t), "board")  # twenty rows, read by two blocks
+    document = kpi.dashboard(scores(t), performance(t), sustainability(t), indicators)
     return document.select(
         *[F.get_json_object("document", f"$.kpi_summary.{k}").cast("bigint").alias(k) for k in ("total", *kpi.STATUSES)],
         *[

@@ -46,3 +46,20 @@ def test_nothing_is_a_cross_join(spark):
     for name in ("stockout_heatmap", "kpi_board", "affinity_rank", "capacity_fill", "brand_alloc", "weekly_demand_brand"):
         physical = plan(entry.queries()[name](spark, SF)).split("== Physical Plan ==")[1]
         assert "CartesianProduct" not in physical and "BroadcastNestedLoopJoin" not in physical
+
+
+@pytest.mark.parametrize("name", ["smsi_scorecard", "performance_report", "kpi_board", "dashboard_doc"])
+def test_reports_scan_the_lines_at_most_twice(spark, name, monkeypatch):
+    """Once for production and once for defects, whether directly or into a written table; the indicators add the whole log."""
+    from plantmetrics import session
+    from plantmetrics.plans import reports
+
+    scans = []
+
+    def counted(frame, label):
+        scans.append(plan(frame).split("== Physical Plan ==")[1].count("lineitem.parquet"))
+        return session.materialise(frame, label)
+
+    monkeypatch.setattr(reports, "materialise", counted)
+    last = plan(entry.queries()[name](spark, SF)).split("== Physical Plan ==")[1].count("lineitem.parquet")
+    assert sum(scans) + last <= (2 if name in ("smsi_scorecard", "performance_report") else 4)
