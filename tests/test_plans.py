@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 PYTHON = ["PythonUDF", "ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas"]
 # queries whose frame is the result of an earlier Python step or whose search runs in Arrow batches
-IN_PYTHON = {"similarity_search", "topk_per_query", "ordered_distinct"}
+IN_PYTHON = {"similarity_search", "topk_per_query", "ordered_distinct", "answer_questions"}
 EAGER = {"sink_result_json", "sink_chunks", "sink_features_csv", "sink_index", "tfidf_weights", "vocab_topn"}
 
 
