@@ -10,6 +10,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     import __spark_entry__  # noqa: F401  (task functions travel with their jobs)
 
-    from plantmetrics.session import configure, local_session
+    from plantmetrics.session import clear_run_folder, configure, local_session
 
-    return configure(local_session("8"))
+    session = configure(local_session("8"))
+    yield session
+    clear_run_folder(session)

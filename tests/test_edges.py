@@ -163,3 +163,15 @@ def test_section_choice_prefers_overlap_then_first(spark):
     b = "The oven needs nothing at all for a long time, and nobody has to look at it before the end of the year."
     frame = spark.createDataFrame([("when does the press need oil", f"{b} === {a}")], "q string, t string")
     assert frame.select(retrieval.best_section(F.col("q"), F.col("t"))).first()[0] == a
+
+
+def test_an_unset_shared_folder_is_an_error_on_a_cluster():
+    from types import SimpleNamespace
+
+    from plantmetrics.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        context = SimpleNamespace(getCheckpointDir=lambda: None, master=master)
+        with pytest.raises(RuntimeError):
+            shared_dir(SimpleNamespace(conf=conf, sparkContext=context))
