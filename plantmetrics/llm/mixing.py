@@ -152,5 +152,11 @@ def mix_documents(
 
 
 def sample_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The documents of the mix, each once at most, with all their columns."""
-    return mix_documents(docs, carry=tuple(docs.columns), **settings).filter("n_copies > 0").select("document.*")
+    """The documents of the mix with all their columns, each ``n_copies`` times, so its tokens follow the target shares.
+
+    A document of a cell whose rate is above 1 is repeated as whole rows with the same id, since the targets cannot be met
+    otherwise. Copies are made where the document lies, and nothing is shuffled for them.
+    """
+    mixed = mix_documents(docs, carry=tuple(docs.columns), **settings).filter("n_copies > 0")
+    repeated = F.explode(F.array_repeat(F.lit(True), F.col("n_copies").cast("int")))
+    return mixed.select("document", repeated.alias("copy")).select("document.*")

@@ -447,6 +447,28 @@ def test_margins_are_met(spark):
     assert all(abs(r["n_copies"] - r["rate"]) < 1 for r in mixed.collect())
 
 
+def test_sampled_tokens_meet_the_targets(spark):
+    docs = documents(spark, SF)
+    mixed = mixing.mix_documents(docs).cache()
+    assert mixed.filter("rate > 1").count() > 100
+    out = corpus_pipeline.mix_sources(spark, docs, SF)
+    times = {r["doc_id"]: r["n"] for r in out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert times == {r["doc_id"]: r["n_copies"] for r in mixed.filter("n_copies > 0").collect()}
+    sampled = mixing.describe(out).cache()
+    whole = mixed.agg(F.sum("tokens")).first()[0]
+    for margin in mixing.MARGINS:
+        got = {r[margin]: r["t"] for r in sampled.groupBy(margin).agg(F.sum("tokens").alias("t")).collect()}
+        part = F.col("rate") - F.floor("rate")
+        rows = mixed.groupBy(margin).agg(
+            F.sum("tokens").alias("now"), F.sqrt(F.sum(F.col("tokens") ** 2 * part * (1 - part))).alias("spread")
+        )
+        rows = rows.collect()
+        power = sum(r["now"] ** mixing.TEMPER for r in rows)
+        for r in rows:
+            target = r["now"] ** mixing.TEMPER / power * whole
+            assert abs(got.get(r[margin], 0) - target) <= 4 * r["spread"] + 1e-3 * target
+
+
 def test_given_targets(spark):
     docs = documents(spark, SF)
     targets = {
