@@ -132,7 +132,7 @@ def fit(labelled: DataFrame) -> dict:
         "phases": rng.uniform(0, 2 * np.pi, FEATURES),
     }
     if n == 0:
-        return model | {"weights": np.zeros(FEATURES + 1), "x": np.array([0.0]), "y": np.array([0.0])}
+        return model | {"learned": False, "weights": np.zeros(FEATURES + 1), "x": np.array([0.0]), "y": np.array([0.0])}
     shared = spark.sparkContext.broadcast(model)
     width = FEATURES + 2  # the features, the constant and y
 
@@ -196,7 +196,7 @@ def fit(labelled: DataFrame) -> dict:
     count = table.column("n").to_numpy().astype(float)
     centres = low + (table.column("bin").to_numpy() + 0.5) * (high - low) / BINS
     x, y = pool_adjacent(centres, table.column("ones").to_numpy() / count, count)
-    return model | {"weights": solve(whole), "x": x, "y": y}
+    return model | {"learned": True, "weights": solve(whole), "x": x, "y": y}
 
 
 def scores(values: np.ndarray, model: dict) -> np.ndarray:
@@ -239,10 +239,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, train: Column) -> DataFr
 def keep_good(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
     """The documents that the classifier accepts, with their columns as they were.
 
-    The texts are read a second time instead of joining the scores back, so no text is shuffled.
+    The texts are read a second time instead of joining the scores back, so no text is shuffled. Where no training row has a
+    label, there is nothing to judge by, and that is an error; only an empty table needs no labels.
     """
     stats = materialise(with_statistics(docs.select("doc_id", "text")).drop("text"), "statistics")
     model = fit(label_rows(stats, labels, train))
+    if not model["learned"]:
+        if stats.isEmpty():
+            return docs
+        raise ValueError("no training document has a quality label, so no document can be judged")
     packed = docs.select("text", F.struct(*[F.col(c) for c in docs.columns]).alias("document"))
     scored = with_score(with_statistics(packed).drop("text"), model)
     return scored.filter(F.col("score") >= THRESHOLD).select("document.*")

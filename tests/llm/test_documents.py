@@ -101,6 +101,15 @@ def test_empty_side_tables(docs, labels, items):
     assert {r["lang_pred"] for r in nobody} == {"und"}
 
 
+def test_no_quality_label_is_an_error(docs, empty, labels):
+    for none in (labels.filter("false"), labels.withColumn("quality", F.lit(None).cast("int"))):
+        with pytest.raises(ValueError, match="quality label"):
+            quality.keep_good(docs, none, F.lit(True))
+    with pytest.raises(ValueError, match="quality label"):
+        quality.keep_good(docs, labels, F.lit(False))
+    assert quality.keep_good(empty, labels.filter("false"), F.lit(True)).count() == 0
+
+
 def test_rows_without_letters_are_undetermined(docs, tables):
     got = {(r["doc_id"], r["lang_pred"]) for r in OPERATORS["language"](docs, tables).collect()}
     assert {(1, "und"), (2, "und"), (5, "und"), (6, "und")} <= got
