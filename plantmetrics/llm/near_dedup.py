@@ -427,6 +427,11 @@ def near_duplicates(
     component but never names it; a component of such rows only has component_id null and is kept. Texts may be of any length. An
     empty table gives no rows; other columns are not read.
     """
+    return grouped(docs, words, numerator, denominator).drop("root")
+
+
+def grouped(docs: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
+    """The rows of ``near_duplicates`` with the number of their component in ``root`` (null without words)."""
     if denominator * 4 > numerator * 5:
         raise ValueError("the signature radius holds for similarities of 0.8 and more")
     signed = materialise(sign(docs, words), "signatures")
@@ -445,7 +450,7 @@ def near_duplicates(
 
     rooted = classes.join(roots, "node", "left").select("class", "first_doc", F.coalesce("root", "node").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = rooted.join(names, "root").select("class", "component_id")
+    named = rooted.join(names, "root").select("class", "root", "component_id")
     joined = signed.select("doc_id", "text_hash", "n_shingles", "class").join(named, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select(
@@ -455,20 +460,47 @@ def near_duplicates(
         "class",
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
+        "root",
     )
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
+def keep_one(
+    docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, repeats: bool = True
+) -> DataFrame:
     """The documents without those that a group's first document stands for, with their columns as they were.
 
-    Rows that repeat an id and a text stay together or go together.
+    The first document has the group's smallest doc_id and, among rows of that id or in a group without ids, the smallest
+    text_hash. Rows without an id that have one text leave one row. Rows that repeat an id and a text stay together or go
+    together; without ``repeats`` they leave one row too. Of equal rows, the one whose other columns come first as JSON stays.
+    Texts without words are in no group and all stay.
     """
-    found = near_duplicates(docs, words, numerator, denominator)
-    gone = materialise(found.filter(~F.col("kept")).select("doc_id", "text_hash").distinct(), "near-copies")
+    found = materialise(grouped(docs, words, numerator, denominator), "near-groups")
+    first = found.filter("kept and class is not null").groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    first = materialise(first, "near-first")
+    least = first.groupBy("root").agg(F.min("text_hash").alias("least"), F.count(F.lit(1)).alias("texts"))
+    least = materialise(least.filter("texts > 1").select("root", "least"), "near-first")
+    judged = materialise(
+        first.join(least, "root", "left").withColumn("stays", F.coalesce(F.col("text_hash") == F.col("least"), F.lit(True))),
+        "near-first",
+    )
+    other = judged.filter("not stays").select("doc_id", "text_hash")
+    gone = found.filter(~F.col("kept")).select("doc_id", "text_hash").union(other).distinct()
+    several = judged.filter("stays and n > 1").select("doc_id", "text_hash")
+    if repeats:
+        several = several.filter("doc_id is null")
+    gone, several = materialise(gone, "near-copies"), materialise(several, "near-repeats")
     packed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("text").alias("text_hash"),
         F.struct(*[F.col(c) for c in docs.columns]).alias("document"),
-    )
-    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & F.col("d.text_hash").eqNullSafe(F.col("g.text_hash"))
-    return packed.alias("d").join(gone.alias("g"), same, "left_anti").select("document.*")
+    ).alias("d")
+
+    def same(other: str):
+        return F.col("d.doc_id").eqNullSafe(F.col(f"{other}.doc_id")) & F.col("d.text_hash").eqNullSafe(F.col(f"{other}.text_hash"))
+
+    alone = packed.join(gone.union(several).alias("g"), same("g"), "left_anti").select("document")
+    if several.isEmpty():
+        return alone.select("document.*")
+    rest = F.to_json(F.struct(F.lit(0).alias("-"), *[F.col(f"d.document.`{c}`") for c in docs.columns if c != "text"]))
+    one = packed.join(several.alias("s"), same("s"), "left_semi").groupBy("doc_id", "text_hash")
+    return alone.union(one.agg(F.min_by("document", rest).alias("document")).select("document")).select("document.*")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from plantmetrics.llm import (
     decontamination,
     language_id,
@@ -147,6 +148,22 @@ def test_copies_of_repeated_rows(docs, tables):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r[0]) for r in ROWS[:-1])
 
 
+def test_one_row_of_each_group(spark, docs):
+    words = [f"word{i}" for i in range(60)]
+    text, close = " ".join(words), " ".join([*words[:-1], "other"])
+    nobody = " ".join(f"more{i}" for i in range(60))
+    rows = [(4, text, 1), (4, text, 2), (4, close, 3), (9, text, 4), (None, text, 5)]
+    rows += [(None, nobody, 6), (None, nobody, 7), (None, nobody + " end", 8), (None, "  ", 9), (None, "  ", 10)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    got = corpus_pipeline.drop_near_copies(spark, frame, "").collect()
+    groups = [sorted(r["n"] for r in got if r["n"] in g) for g in ({1, 2, 3, 4, 5}, {6, 7, 8}, {9, 10})]
+    assert [len(g) for g in groups] == [1, 1, 2]
+    assert groups[0][0] in (1, 3) and groups[1][0] in (6, 8)
+    apart = near_dedup.keep_one(docs, 2, repeats=False)
+    assert apart.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in apart.collect()) == ["1", "2", "3", "4", "5", "6", "None"]
+
+
 def test_filters_keep_the_columns(docs, tables):
     for kept in (
         decontamination.decontaminate(docs, tables["items"]),
