@@ -22,7 +22,7 @@ def components(links: DataFrame) -> DataFrame:
     Every step joins each node's links with the node's smallest neighbour: first larger neighbours are linked to it, then
     smaller ones. Links of a component thereby gather at its smallest node in a number of steps that grows with the logarithm
     of its size. Groups are only ever reduced to their smallest member, so a node may have any number of links. Each step is
-    written to the shared folder.
+    written to the shared folder. The steps end when one changes nothing; ``MAX_STEPS`` without that are an error.
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     edges = materialise(edges, "links")
@@ -42,5 +42,7 @@ def components(links: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"the links still change after {MAX_STEPS} steps, so their components are not known")
     roots = edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -402,6 +402,13 @@ def test_components_against_union_find(spark):
     assert got == {x: find(x) for x in linked}
 
 
+def test_too_few_steps_are_an_error(spark, monkeypatch):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    monkeypatch.setattr("plantmetrics.llm.components.MAX_STEPS", 2)
+    with pytest.raises(RuntimeError, match="after 2 steps"):
+        components(chain)
+
+
 # ---- shards and mixture ------------------------------------------------------------------------------------------------
 
 
