@@ -198,6 +198,25 @@ def test_long_texts_score_as_in_one_piece(monkeypatch):
     assert whole[0] > 0.5 > whole[1] and list(whole[2:]) == [0.0, 0.0]
 
 
+def test_toxic_passages_at_every_offset():
+    import pandas as pd
+
+    rng = random.Random(3)
+    fine, bad = [f"fine{i}" for i in range(40)], [f"nasty{i}" for i in range(40)]
+
+    def passage(n):
+        return [rng.choice(bad if i % 3 == 0 else fine) for i in range(n)]
+
+    toxic = [" ".join(passage(rng.randint(8, 32))) for _ in range(200)]
+    clean = [" ".join(rng.choices(fine, k=rng.randint(8, 60))) for _ in range(200)]
+    scorer = toxicity.Scorer(toxicity.fit(pd.DataFrame({"text": toxic + clean, "y": [1.0] * 200 + [0.0] * 200}), 0.5))
+    for n in (18, 25, 32):
+        own = passage(n)
+        texts = [" ".join(rng.choices(fine, k=48 + o) + own + rng.choices(fine, k=60)) for o in range(toxicity.STRIDE)]
+        assert min(scorer.scores(texts)) > 0.5
+    assert max(scorer.scores([" ".join(rng.choices(fine, k=140)) for _ in range(16)])) < 0.5
+
+
 # ---- vectors -----------------------------------------------------------------------------------------------------------
 
 
