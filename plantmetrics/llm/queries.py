@@ -12,12 +12,15 @@ from plantmetrics.llm import (
     decontamination,
     language_id,
     line_dedup,
+    line_rules,
     mixing,
     near_dedup,
     quality,
     sharding,
+    term_divergence,
     token_counts,
     toxicity,
+    vector_codes,
     vector_search,
 )
 from plantmetrics.llm.common import in_fold
@@ -247,6 +250,209 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("rate", F.round("rate", 6))
 
 
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def any_phrase(phrases: tuple[str, ...]) -> str:
+    return " OR ".join(f"contains(plain, {quoted(p)})" for p in phrases)
+
+
+def char_set(chars: str | tuple[str, ...]) -> str:
+    return "[" + "".join(f"\\x{ord(c):02X}" if ord(c) < 128 else c for c in chars) + "]"
+
+
+def line_rules_sql() -> str:
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    word = r"[^\x20\x09-\x0D]+"
+    window = line_rules.REPEAT_WINDOW
+    separators = ", ".join(quoted(s) for s in line_rules.SEPARATORS)
+    return rf"""
+WITH docs AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER () AS row_id, coalesce(text, '') AS body FROM documents
+),
+lines AS (
+  SELECT row_id, line_no, line, regexp_extract_all(line, '{word}') AS w, translate(line, {AZ}) AS plain
+  FROM (SELECT row_id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS line_no
+        FROM docs)
+),
+measured AS (
+  SELECT *, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars,
+         length(regexp_replace(line, '[^' || '{char_set(line_rules.PUNCTUATION)[1:]}', '', 'g')) AS marks,
+         row_number() OVER (PARTITION BY row_id, line ORDER BY line_no) > 1 AS again,
+         len(list_filter(w, lambda x: x IN ({separators}))) AS seps
+  FROM lines WHERE len(w) > 0
+),
+ruled AS (
+  SELECT *, NOT regexp_matches(rtrim(line, {blanks}), '{char_set(line_rules.SENTENCE_ENDS)}$')
+            OR 100 * marks > {line_rules.MAX_PUNCTUATION_PERCENT} * chars
+            OR (seps >= 2 AND 4 * seps >= len(w))
+            OR (len(w) <= {line_rules.NAVIGATION_WORDS} AND ({any_phrase(line_rules.NAVIGATION_PHRASES)}))
+            OR (len(w) <= {line_rules.BOILERPLATE_WORDS} AND ({any_phrase(line_rules.BOILERPLATE_PHRASES)})) AS failed
+  FROM measured
+),
+per_doc AS (
+  SELECT row_id, CAST(sum(chars) AS BIGINT) AS word_chars, count(*) FILTER (again) AS n_dup_lines,
+         CAST(coalesce(sum(len(w)) FILTER (failed), 0) AS BIGINT) AS lost
+  FROM ruled GROUP BY row_id
+),
+whole AS MATERIALIZED (
+  SELECT doc_id, row_id, body, regexp_extract_all(body, '{word}') AS w FROM docs
+),
+windows AS (
+  SELECT row_id, i, count(*) OVER (PARTITION BY row_id, piece) AS times
+  FROM (SELECT row_id, i, array_to_string(w[i:i + {window - 1}], ' ') AS piece
+        FROM (SELECT row_id, w, unnest(range(1, len(w) - {window - 2})) AS i FROM whole WHERE len(w) >= {window}))
+),
+repeats AS (
+  SELECT row_id, count(DISTINCT place) AS n_repeat
+  FROM (SELECT row_id, unnest(range(i, i + {window})) AS place FROM windows WHERE times > 1) GROUP BY row_id
+),
+judged AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(word_chars, 0) AS word_chars,
+         CAST(length(regexp_replace(body, '[^' || '{char_set(line_rules.SYMBOLS)[1:]}', '', 'g')) AS BIGINT) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words, coalesce(lost, 0) AS lost
+  FROM whole LEFT JOIN per_doc USING (row_id) LEFT JOIN repeats USING (row_id)
+),
+based AS (
+  SELECT *, n_words < {line_rules.MIN_WORDS} OR 100 * n_repeat_words > {line_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed
+  FROM judged
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 100 * lost <= {line_rules.MAX_LOST_PERCENT} * n_words AS kept
+FROM based
+"""
+
+
+@query("op11_line_rules", line_rules_sql())
+def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures and verdict of every document after its failing lines are out."""
+    figures = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
+    cleaned = line_rules.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", *[f"cleaned.{c}" for c in figures])
+
+
+def share_sql(count: str, total: str) -> str:
+    return f"1 + ({term_divergence.SCALE} * ({count} + {term_divergence.PRIOR})) // ({total} + {term_divergence.PRIOR} * terms)"
+
+
+DIVERGENCE_SQL = rf"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+held AS (
+  SELECT lang, source, row_id, term, count(*) AS n
+  FROM (SELECT lang, source, row_id, unnest(w) AS term FROM docs) GROUP BY ALL
+),
+kept AS MATERIALIZED (
+  SELECT lang, term, CAST(sum(n) AS BIGINT) AS lang_n FROM held GROUP BY ALL HAVING count(*) >= {term_divergence.MIN_DOCS}
+),
+counts AS (
+  SELECT lang, source, term, CAST(sum(n) AS BIGINT) AS n FROM held SEMI JOIN kept USING (lang, term) GROUP BY ALL
+),
+langs AS (SELECT lang, count(*) AS terms, CAST(sum(lang_n) AS BIGINT) AS lang_total FROM kept GROUP BY lang),
+totals AS (SELECT lang, source, CAST(sum(n) AS BIGINT) AS total FROM counts GROUP BY ALL),
+groups AS MATERIALIZED (
+  SELECT lang, source, coalesce(total, 0) AS total, terms, lang_total
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN totals USING (lang, source) LEFT JOIN langs USING (lang)
+),
+shares AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         {share_sql("coalesce(c.n, 0)", "total")} AS p, {share_sql("lang_n", "lang_total")} AS q
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+distances AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+rows_of AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN distances d ON d.lang = g.lang AND d.source = g.source AND d.item = h.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM rows_of
+QUALIFY part = 'pair' OR rank <= {term_divergence.TOP_TERMS}
+"""
+
+
+@query("op12_term_divergence", DIVERGENCE_SQL)
+def op12_term_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance of every source from the others of its language, and the terms that stand out in it."""
+    return term_divergence.measure_divergence(table(spark, sf_dir, "documents"))
+
+
+def vector_codes_sql() -> str:
+    """Each round is one assignment and one table of entries."""
+    parts, entries = vector_codes.PARTS, vector_codes.ENTRIES
+    steps = []
+    for step in range(vector_codes.ROUNDS + 1):
+        steps.append(f"""
+near_{step} AS MATERIALIZED (
+  SELECT row_id, part, min(v) AS v, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+  FROM (SELECT p.row_id, p.part, p.v, e.entry,
+               list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - e.v[i]) * (p.v[i] - e.v[i]))) AS d
+        FROM pieces p JOIN entries_{step} e ON e.part = p.part)
+  GROUP BY row_id, part
+)""")
+        if step < vector_codes.ROUNDS:
+            steps.append(f"""
+entries_{step + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(fresh, e.v) AS v
+  FROM entries_{step} e LEFT JOIN (
+    SELECT part, entry, list(CAST(floor_div AS BIGINT) ORDER BY i) AS fresh
+    FROM (SELECT part, entry, i, CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END AS floor_div
+          FROM (SELECT part, entry, i, sum(x) AS s, count(*) AS n
+                FROM (SELECT part, entry, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM near_{step})
+                GROUP BY part, entry, i))
+    GROUP BY part, entry) USING (part, entry)
+)""")
+    last = vector_codes.ROUNDS
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, embedding) AS row_id,
+         list_transform(embedding, lambda x: CAST(floor({vector_codes.STEP} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+pieces AS MATERIALIZED (
+  SELECT row_id, part, v[part * w + 1:part * w + w] AS v
+  FROM (SELECT row_id, v, len(v) // {parts} AS w, unnest(range(0, {parts})) AS part FROM kept)
+),
+entries_0 AS MATERIALIZED (SELECT part, row_id - 1 AS entry, v FROM pieces WHERE row_id <= {entries}),
+{','.join(steps)},
+coded AS (
+  SELECT row_id, string_agg(lpad(to_hex(entry), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM near_{last} GROUP BY row_id
+),
+books AS (
+  SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, i)) AS codebooks_sha256
+  FROM (SELECT part, entry, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM entries_{last})
+)
+SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (row_id), books
+"""
+
+
+@query("op13_vector_codes", vector_codes_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product code of every vector, its error, and the checksum of the codebooks."""
+    coded, codebooks = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    code = F.lower(F.array_join(F.transform("codes", lambda c: F.lpad(F.hex(c), 2, "0")), ""))
+    return vector_codes.with_label_error(coded).select(
+        "vec_id",
+        code.alias("code"),
+        "error",
+        "label_error",
+        F.lit(vector_codes.codebook_hash(codebooks)).alias("codebooks_sha256"),
+    )
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over all documents."""
