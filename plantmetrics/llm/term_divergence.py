@@ -238,12 +238,18 @@ def smoothed_array(counts: np.ndarray, total: np.ndarray, terms: int) -> np.ndar
     return 1 + digits
 
 
-def pair_sums(counts: pd.DataFrame, groups: pd.DataFrame, low: int, high: int) -> pd.DataFrame:
-    """For sources of tile ``low`` and tile ``high``: the sum of the distances of each pair over the terms of one block."""
+def pair_sums(counts: pd.DataFrame, groups: pd.DataFrame, low: int, high: int, first: bool) -> pd.DataFrame:
+    """For sources of tile ``low`` and tile ``high``: the sum of the distances of each pair over the terms of one block.
+
+    Kept terms that neither tile holds have count 0 in both sources of a pair. The first block takes all terms as such, and each
+    block replaces the distances of those that it finds.
+    """
     column, found = pd.factorize(counts["term"])
     table = np.zeros((len(groups), len(found)), np.int64)
     table[pd.Index(groups["source"]).get_indexer(counts["source"]), column] = counts["n"].to_numpy()
-    p = smoothed_array(table, groups["total"].to_numpy()[:, None], int(groups["terms"].iloc[0]))
+    total, terms = groups["total"].to_numpy()[:, None], int(groups["terms"].iloc[0])
+    p, unseen = smoothed_array(table, total, terms), smoothed_array(np.zeros_like(total), total, terms)[:, 0]
+    as_unseen = (terms if first else 0) - len(found)
     tile, names = groups["tile"].to_numpy(), groups["source"].to_numpy()
     firsts, seconds, sums = [], [], []
     for i in np.flatnonzero(tile == low):
@@ -251,9 +257,13 @@ def pair_sums(counts: pd.DataFrame, groups: pd.DataFrame, low: int, high: int) -
         other = other[other > i] if low == high else other
         firsts += [names[i]] * len(other)
         seconds.append(names[other])
-        sums.append(np.abs(p[other] - p[i]).sum(axis=1))
+        sums.append(np.abs(p[other] - p[i]).sum(axis=1) + as_unseen * np.abs(unseen[other] - unseen[i]))
     return pd.DataFrame(
-        {"a": firsts, "b": np.concatenate(seconds or [[]]), "part_sum": np.concatenate(sums or [[]]).astype(np.int64)}
+        {
+            "a": pd.Series(firsts, dtype=object),
+            "b": np.concatenate([np.array([], object), *seconds]),
+            "part_sum": np.concatenate([np.array([], np.int64), *sums]),
+        }
     )
 
 
@@ -336,8 +346,8 @@ def pairs(found: DataFrame, groups: DataFrame) -> DataFrame:
     sources = groups.select("lang", "source", "total", "terms", "tile", "blocks", other).select("*", each_block, *between)
 
     def compare(key, counts: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
-        lang, _, low, high = key
-        return pair_sums(counts, groups, low, high).assign(lang=lang)
+        lang, block, low, high = key
+        return pair_sums(counts, groups, low, high, first=block == 0).assign(lang=lang)
 
     summed = (
         counts.select(*keys, "source", "term", "n")
