@@ -25,7 +25,7 @@ SCALE = 1_000_000_000
 PRIOR = 5
 PIECE_BYTES = 4 << 20  # text that is cut into terms at once
 HELD_RUNS = 400_000  # counted terms that a task holds before it passes them on
-CELLS = 2_000_000  # sources x terms of one block of the comparison
+CELLS = 200_000  # sources x terms of one block of the comparison, at least; with many sources so many as there are pairs
 TILE_SOURCES = 512  # sources of one side of a comparison task
 BROADCAST_GROUPS = 200_000  # more (lang, source) groups are joined by an exchange
 
@@ -304,7 +304,7 @@ def measure_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int
 def describe_groups(docs: DataFrame, kept: DataFrame, counts: DataFrame) -> DataFrame:
     """One row per (lang, source): total and lang_total (N), terms (V), and how the comparison is dealt (tile, tiles, blocks).
 
-    A block has about CELLS cells (sources x terms) whatever the vocabulary, and takes its sources from one or two tiles of
+    A block has about ``cells`` cells (sources x terms) whatever the vocabulary, and takes its sources from one or two tiles of
     about TILE_SOURCES, so a language may have any number of both.
     """
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
@@ -318,10 +318,11 @@ def describe_groups(docs: DataFrame, kept: DataFrame, counts: DataFrame) -> Data
         .fillna(0, ["total", "terms", "lang_total"])
     )
     side_by_side = F.least(F.col("sources"), F.lit(2 * TILE_SOURCES))
+    cells = F.greatest(F.lit(CELLS), side_by_side * side_by_side)  # a block gives out a row per pair
     return (
         known.withColumn("tiles", F.ceil(F.col("sources") / TILE_SOURCES).cast("int"))
         .withColumn("tile", F.pmod(F.xxhash64("source"), F.col("tiles")).cast("int"))
-        .withColumn("blocks", F.greatest(F.ceil(F.col("terms") * side_by_side / CELLS), F.lit(1)).cast("int"))
+        .withColumn("blocks", F.greatest(F.ceil(F.col("terms") * side_by_side / cells), F.lit(1)).cast("int"))
         .drop("rows", "sources")
     )
 
