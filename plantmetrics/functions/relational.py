@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plantmetrics.session import materialise
+from plantmetrics.functions.ordered import in_order, part_of, with_row_index, with_running_sum, with_trailing
+from plantmetrics.functions.selection import exact_quantile
+
+__all__ = [
+    "attach_row", "exact_quantile", "in_ranges", "with_row_index", "with_running_sum", "with_trailing",
+]
 
 
 def attach_row(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
@@ -17,114 +21,6 @@ def attach_row(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, packed.scalar())
 
 
-def running_offsets(
-    df: DataFrame, group: Sequence[str], bucket: Sequence[str], measure: Column, name: str
-) -> DataFrame:
-    """Per (group, bucket): the total of ``measure`` over all earlier buckets of the group.
-
-    Rows are aggregated before the window, so it sees one row per bucket whatever the row count.
-    """
-    totals = df.groupBy(*group, *bucket).agg(measure.alias("_in_bucket"))
-    before = W.partitionBy(*group).orderBy(*bucket).rowsBetween(W.unboundedPreceding, -1)
-    return totals.select(*group, *bucket, F.coalesce(F.sum("_in_bucket").over(before), F.lit(0)).alias(name))
-
-
 def in_ranges(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
-    """The frame written in ``order`` over range partitions, with the partition's number in ``_part``.
-
-    The partitions are balanced by a sample of the order columns, whatever share of the rows one key or one day holds, and
-    there are as many as the session's shuffles have. They are written, since a second computation could draw other bounds.
-    """
-    return materialise(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordered")
-
-
-def with_row_index(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "row_idx"
-) -> DataFrame:
-    """0-based position of each row in its group by ``order``; without group columns, in the whole frame.
-
-    Rows are numbered inside range partitions and moved by the number of the group's rows in the earlier partitions, so a
-    group of any size is spread.
-    """
-    placed = in_ranges(df, [*group, *order])
-    offsets = running_offsets(placed, group, ["_part"], F.count(F.lit(1)), "_offset")
-    inside = W.partitionBy(*group, "_part").orderBy(*order)
-    return (
-        placed.withColumn("_in", F.row_number().over(inside) - 1)
-        .join(offsets, [*group, "_part"])
-        .withColumn(name, F.col("_offset") + F.col("_in"))
-        .drop("_offset", "_in", "_part")
-    )
-
-
-def exact_quantile(df: DataFrame, column: str, share: float, name: str) -> DataFrame:
-    """One row: the quantile of a column with linear interpolation, from the two rows next to its place."""
-    ranked = with_row_index(df.select(column), [], [column], "_at")
-    total = df.agg(F.count(F.lit(1)).alias("n"))
-    placed = attach_row(ranked, total, "_n").withColumn("_place", (F.col("_n.n") - 1) * share)
-    near = placed.where((F.col("_at") == F.floor("_place")) | (F.col("_at") == F.ceil("_place")))
-    low, high, place = F.min_by(column, "_at"), F.max_by(column, "_at"), F.max("_place")
-    return near.agg((low + (high - low) * (place - F.floor(place))).alias(name))
-
-
-def with_running_sum(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, name: str
-) -> DataFrame:
-    """Running total of ``value`` up to and including the row, by ``order``; see with_row_index."""
-    placed = in_ranges(df, [*group, *order])
-    offsets = running_offsets(placed, group, ["_part"], F.sum(value), "_offset")
-    inside = W.partitionBy(*group, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return (
-        placed.withColumn("_in", F.sum(value).over(inside))
-        .join(offsets, [*group, "_part"])
-        .withColumn(name, F.col("_offset") + F.col("_in"))
-        .drop("_offset", "_in", "_part")
-    )
-
-
-def with_trailing(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[str],
-    value: str,
-    rows: int,
-    name: str,
-) -> DataFrame:
-    """Mean of ``value`` over the last ``rows`` rows of the group, the current one included.
-
-    Each range partition is computed on its own. The values it needs from earlier ones, at most ``rows - 1`` of them, come
-    along as an array built from the partitions' tails, so a hot group, or a hot day in it, is still spread.
-    """
-    need = rows - 1
-    df = in_ranges(df, [*group, *order])
-    keys = [*group, "_part"]
-    newest = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    tails = (
-        df.select(*keys, *order, F.col(value).alias("_v"))
-        .withColumn("_rn", F.row_number().over(newest))
-        .where(F.col("_rn") <= need)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct((-F.col("_rn")).alias("p"), F.col("_v").alias("v")))).alias("_t"))
-        .select(*keys, F.transform("_t", lambda s: s["v"]).alias("_t"))
-    )
-    earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(-need, -1)
-    carried = tails.withColumn("_all", F.flatten(F.collect_list("_t").over(earlier))).select(
-        *keys, F.slice("_all", F.greatest(F.size("_all") - need + 1, F.lit(1)), need).alias("_carry")
-    )
-    here = W.partitionBy(*keys).orderBy(*order).rowsBetween(-need, 0)
-    missing = F.lit(rows) - F.col("_n")
-    from_carry = F.slice(
-        "_carry", F.greatest(F.size("_carry") - missing + 1, F.lit(1)), F.greatest(missing, F.lit(0))
-    )
-    return (
-        df.withColumn("_sum", F.sum(F.col(value).cast("double")).over(here))
-        .withColumn("_n", F.count(value).over(here).cast("int"))
-        .join(carried, keys)
-        .withColumn("_extra", F.when(F.col("_n") < rows, from_carry).otherwise(F.slice("_carry", 1, 0)))
-        .withColumn(
-            name,
-            (F.col("_sum") + F.aggregate("_extra", F.lit(0.0), lambda acc, v: acc + v))
-            / (F.col("_n") + F.size("_extra")),
-        )
-        .drop("_sum", "_n", "_carry", "_extra", "_part")
-    )
+    """The frame written in ``order`` over range partitions, with the partition's number in ``_part``; see ordered.in_order."""
+    return in_order(df, order).withColumn("_part", part_of(F.col("_at")).cast("int")).drop("_at")

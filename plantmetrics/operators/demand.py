@@ -16,6 +16,7 @@ from plantmetrics.functions import (
     week_end,
     weekday0,
 )
+from plantmetrics.functions.ordered import with_decayed_mean
 from plantmetrics.functions.relational import attach_row
 
 # Window lengths in rows of a weekly series, named after the days they stand for.
@@ -127,21 +128,14 @@ def with_trend(weekly: DataFrame) -> DataFrame:
 def with_ewm(weekly: DataFrame, span: int = 1, name: str = "ewm_mean_7", leak_free: bool = False) -> DataFrame:
     """Exponentially weighted mean with weights (1 - 2/(span+1))^age over all rows so far.
 
-    The weighted sum and the sum of weights are folded over the rows whose weight a double can still tell from 0 beside 1,
-    so a row never holds more than those; for span 1 that is the row itself.
+    With span 1 only the row itself (``leak_free``: the one before) has a weight. Otherwise the sums run along the rows in range
+    partitions and are handed on from one to the next, so a series may have any length.
     """
     keep = 1.0 - 2.0 / (span + 1)
-    reach = math.ceil(math.log(1e-17) / math.log(keep)) if keep > 0 else 0
-    end = -1 if leak_free else 0
-    history = F.collect_list(F.col("demand").cast("double")).over(_by_series().rowsBetween(end - reach, end))
-    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
-    folded = F.aggregate(
-        history,
-        start,
-        lambda s, x: F.struct((s["n"] * keep + x).alias("n"), (s["d"] * keep + 1.0).alias("d")),
-        lambda s: F.when(s["d"] > 0, s["n"] / s["d"]),
-    )
-    return weekly.withColumn(name, folded)
+    if keep <= 0:
+        demand = F.col("demand").cast("double")
+        return weekly.withColumn(name, F.lag(demand).over(_by_series()) if leak_free else demand)
+    return with_decayed_mean(weekly, ["series"], ["date"], "demand", keep, name, before=leak_free)
 
 
 def backfill(weekly: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from plantmetrics.functions import safe_div, weekday0
 from plantmetrics.functions.relational import attach_row, with_row_index, with_trailing
+from plantmetrics.functions.selection import mark_smallest
 from plantmetrics.functions.text import TERM
 
 # Model settings and feature lists.
@@ -74,35 +75,20 @@ def split_rows(log: DataFrame, ratio: float = 0.80, by_time: bool = False) -> Da
     date over all lines, so the latest dates are.
     """
     total = log.agg(F.count(F.lit(1)).alias("n"))
-    if by_time:
-        placed = with_row_index(log, [], ["date", "line_id", *ROW_KEYS], "position")
-    else:
-        sizes = log.groupBy("line_id").agg(F.count(F.lit(1)).alias("_size"))
-        before = F.sum("_size").over(W.orderBy("line_id").rowsBetween(W.unboundedPreceding, -1))
-        starts = sizes.select("line_id", F.coalesce(before, F.lit(0)).alias("_start"))
-        inside = with_row_index(log, ["line_id"], ["date", *ROW_KEYS], "_in_line")
-        placed = (
-            inside.join(starts, "line_id")
-            .withColumn("position", F.col("_start") + F.col("_in_line"))
-            .drop("_start", "_in_line")
-        )
+    order = ["date", "line_id", *ROW_KEYS] if by_time else ["line_id", "date", *ROW_KEYS]
+    placed = with_row_index(log, [], order, "position")
     limit = F.floor(F.col("_t.n") * ratio)
     return attach_row(placed, total, "_t").withColumn("is_train", F.col("position") < limit).drop("_t")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, ratio: float = 0.80, seed: int = SEED) -> DataFrame:
-    """Exactly floor(ratio * n) training rows per class, chosen by the hash of the key.
+    """floor(ratio * n) training rows per class, those with the smallest hashes of the key.
 
-    Rows are ordered by hash in range partitions, so a class may be of any size.
+    The hash up to which a class's rows are taken comes from counts of hash prefixes, so rows are compared with it where they
+    are, and a class may be of any size. Rows that share a key go to the same side.
     """
-    hashed = df.withColumn("_h", F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")))
-    placed = with_row_index(hashed, [label], ["_h", key], "_pos")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    return (
-        placed.join(sizes, label)
-        .withColumn("is_train", F.col("_pos") < F.floor(F.col("_n") * ratio))
-        .drop("_h", "_pos", "_n")
-    )
+    wanted = df.groupBy(label).agg(F.floor(F.count(F.lit(1)) * ratio).alias("_wanted"))
+    return mark_smallest(df, [label], [key], wanted, seed, "is_train")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plantmetrics.functions import month_label, percent, round_to
-from plantmetrics.functions.relational import attach_row, with_row_index
+from plantmetrics.functions.relational import attach_row
+from plantmetrics.functions.selection import hash_of, rows_at
 
 # Severity weights and the order of detection points.
 SEVERITY_WEIGHT = {"minor": 1, "major": 2, "critical": 3}
@@ -176,17 +177,13 @@ def expand_by_count(df: DataFrame, count: str, unit: str = "unit") -> DataFrame:
 def fixed_sample(df: DataFrame, n: int, key: list[str], seed: int = 42, replace: bool = False) -> DataFrame:
     """Exactly n rows, the same for the same seed.
 
-    Without replacement: the n rows with the smallest key hash. With replacement: rows get a position in
-    hash order, every draw names a position, and draws are joined to rows.
+    Without replacement: the n rows with the smallest key hash, of which a task keeps at most n. With replacement: every draw
+    names a position in hash order, and only the buckets of hashes that hold a drawn position are put in order.
     """
-    hashed = df.withColumn("_h", F.md5(F.concat_ws("-", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))))
     if not replace:
-        return hashed.orderBy("_h", *key).limit(n).drop("_h")
-    placed = with_row_index(hashed, [], ["_h", *key], "_position")
+        return df.withColumn("_h", hash_of(key, seed)).orderBy("_h", *key).limit(n).drop("_h")
     size = df.agg(F.count(F.lit(1))).scalar()
     digest = F.md5(F.concat_ws("-", F.col("id").cast("string"), F.lit(str(seed))))
     number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
-    draws = df.sparkSession.range(n).select(
-        F.col("id").alias("draw"), F.pmod(number, size).alias("_position")
-    )
-    return draws.join(placed, "_position").drop("_position", "_h")
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(number, size).alias("_position"))
+    return rows_at(df, key, draws, "_position", seed).drop("_position")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,6 +24,8 @@ from plantmetrics.functions.text import (
     with_pairs,
     words,
 )
+from plantmetrics.operators import block_index
+from plantmetrics.session import materialise
 
 # Fixed values.
 CHUNK_WORDS = 500
@@ -37,9 +38,10 @@ NO_ANSWER = "Nemam dovoljno informacija u dostupnim dokumentima za odgovor na ov
 UNKNOWN_SOURCE = "nepoznat izvor"
 ANSWER_FORMAT = "Na osnovu dokumenta [%s]: %s (Izvori: %s)"
 
-TILE_CHUNKS = 2048
-BLOCK_QUESTIONS = 512
-MERGE_PARTS = 32
+TILE_CHUNKS = block_index.SEGMENT_CHUNKS
+BLOCK_QUESTIONS = block_index.BLOCK_QUESTIONS
+MERGE_PARTS = block_index.MERGE_PARTS
+SMALL_NAMES = 1_000_000  # so many document numbers are sent to every task; more are joined by an exchange
 
 
 def document_numbers(docs: DataFrame) -> DataFrame:
@@ -48,34 +50,46 @@ def document_numbers(docs: DataFrame) -> DataFrame:
     return placed.select("file_name", (F.col("document_no") + 1).alias("document_no"))
 
 
-def chunk_documents(docs: DataFrame, size: int = CHUNK_WORDS, overlap_words: int = CHUNK_OVERLAP) -> DataFrame:
-    """Windows of ``size`` words with overlap; the last one ends with the text.
+def with_numbers(frame: DataFrame, numbers: DataFrame, key: str | list[str]) -> DataFrame:
+    """Rows with the number of their document; up to SMALL_NAMES numbers travel to the rows, so no text is exchanged."""
+    numbers = materialise(numbers, "numbers")
+    return frame.join(F.broadcast(numbers) if numbers.count() <= SMALL_NAMES else numbers, key)
 
-    Documents that bring a ``document_no`` are chunked where they are; otherwise numbers are joined in.
-    """
+
+def cut_documents(docs: DataFrame, size: int = CHUNK_WORDS, overlap_words: int = CHUNK_OVERLAP) -> DataFrame:
+    """Windows of ``size`` words with overlap, the last one ends with the text: the columns of ``docs`` but for the text,
+    document_title, n (place in the document, from 0), text, word_count. Documents are cut where they are."""
     step = max(size - overlap_words, 1)
-    if "document_no" in docs.columns:
-        numbered = docs.select("file_name", "text", "document_no")
-    else:
-        numbered = docs.select("file_name", "text").join(document_numbers(docs), "file_name")
+    names = [c for c in docs.columns if c not in ("text", "word_count")]
     last = F.greatest(F.ceil((F.size("w") - size) / step), F.lit(0)).cast("int")
-    # no filter on the word count: it would be pushed below the join and split every text twice
+    # no filter on the word count: it would be pushed below a join and split every text twice
     starts = F.when(F.size("w") > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     # the title is taken before the explode, once per document
-    titled = numbered.select(
-        "file_name",
-        "document_no",
-        title(F.col("text"), F.col("file_name")).alias("document_title"),
-        words(F.col("text")).alias("w"),
-    )
-    parts = titled.select("file_name", "document_no", "document_title", "w", F.explode(starts).alias("n"))
+    titled = docs.select(*names, title(F.col("text"), F.col("file_name")).alias("document_title"), words(F.col("text")).alias("w"))
+    parts = titled.select(*names, "document_title", "w", F.explode(starts).alias("n"))
     piece = F.slice("w", F.col("n") * step + 1, size)
-    return parts.select(
+    return parts.select(*names, "document_title", "n", F.array_join(piece, " ").alias("text"), F.size(piece).alias("word_count"))
+
+
+def chunk_documents(docs: DataFrame, size: int = CHUNK_WORDS, overlap_words: int = CHUNK_OVERLAP) -> DataFrame:
+    """Chunks of the documents with their ids.
+
+    Documents that bring a ``document_no`` are chunked where they are; otherwise numbers are joined in.
+    """
+    docs = docs.select("file_name", "text", *(["document_no"] if "document_no" in docs.columns else []))
+    if "document_no" not in docs.columns:
+        docs = with_numbers(docs, document_numbers(docs), "file_name")
+    return named_chunks(cut_documents(docs, size, overlap_words))
+
+
+def named_chunks(cut: DataFrame, *more: str) -> DataFrame:
+    return cut.select(
         chunk_id(F.col("document_no"), F.col("n") + 1).alias("chunk_id"),
         F.col("file_name").alias("source_file"),
-        F.array_join(piece, " ").alias("text"),
-        F.size(piece).alias("word_count"),
+        "text",
+        "word_count",
         F.struct("document_title").alias("metadata"),
+        *more,
     )
 
 
@@ -173,6 +187,16 @@ def weigh(vectors: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     )
 
 
+def count_index(
+    termed: DataFrame, max_terms: int = MAX_TERMS, store: Callable[[DataFrame], DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Counted terms of the vocabulary per chunk, and the term table, from chunk_id and ``t``; see build_index."""
+    keep = store or (lambda frame: frame)
+    vocab = keep(vocabulary(termed, max_terms, store))
+    counted = keep(term_vectors(termed, "chunk_id", vocab))
+    return counted, inverse_frequencies(counted, vocab, termed)
+
+
 def build_index(
     chunks: DataFrame, max_terms: int = MAX_TERMS, store: Callable[[DataFrame], DataFrame] | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -182,10 +206,7 @@ def build_index(
     list is shuffled: the exchanges carry counts per term.
     """
     keep = store or (lambda frame: frame)
-    termed = keep(with_terms(chunks, "chunk_id", "text"))
-    vocab = keep(vocabulary(termed, max_terms, store))
-    counted = keep(term_vectors(termed, "chunk_id", vocab))
-    idf = inverse_frequencies(counted, vocab, chunks)
+    counted, idf = count_index(keep(with_terms(chunks, "chunk_id", "text")), max_terms, store)
     return weigh(counted, idf, "chunk_id"), idf
 
 
@@ -201,71 +222,21 @@ def question_vectors(questions: DataFrame, idf: DataFrame) -> DataFrame:
     return weigh(term_vectors(with_terms(questions, "question_id", "question"), "question_id", idf), idf, "question_id")
 
 
-def _matrix(cols: pd.Series, vals: pd.Series, width: int) -> np.ndarray:
-    matrix = np.zeros((len(cols), width))
-    for i, (c, v) in enumerate(zip(cols, vals)):
-        matrix[i, c] = v
-    return matrix
-
-
-def _dense(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    return rows["id"].to_numpy(), _matrix(rows["cols"], rows["vals"], width)
+def search(questions: DataFrame, vectors: DataFrame, idf: DataFrame, k: int = 5, max_terms: int = MAX_TERMS) -> DataFrame:
+    """The k chunks with the highest cosine per question, from vectors that are cut into segments first; see search_index."""
+    segments = materialise(block_index.build_segments(vectors, TILE_CHUNKS), "segments")
+    return search_index(questions, segments, idf, k)
 
 
-def search(questions: DataFrame, vectors: DataFrame, idf: DataFrame, k: int = 5, max_terms: int = MAX_TERMS) -> DataFrame:
+def search_index(questions: DataFrame, segments: DataFrame, idf: DataFrame, k: int = 5) -> DataFrame:
     """The k chunks with the highest cosine per question: question_id, rank, chunk_id, score.
 
-    The index is dealt once into tiles of about ``TILE_CHUNKS`` chunks, and the questions go to every tile. A task takes a
-    tile's chunks, which come first in its sorted partition, as one matrix and streams the questions past it in blocks, so
-    only the best k per question and tile leave it; they are merged in two levels. Neither the pairs of a frequent term nor
-    the scores of all chunks are shuffled, and the index is moved once however many questions there are.
+    ``segments`` is the inverted index; a question is compared only with segments that can hold one of its k best chunks.
 
     Scores are rounded to six digits before ranking; ties go to the lower chunk id. Chunks without a common term (score 0)
     are no hits, so a question can have fewer than k; one without any hit keeps one row with score 0.
     """
-    n_tiles = vectors.agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_CHUNKS), F.lit(1)).cast("int")).scalar()
-    dealt = vectors.select(
-        F.pmod(F.xxhash64("chunk_id"), n_tiles).cast("int").alias("tile"),
-        F.lit(0).alias("kind"),
-        F.col("chunk_id").alias("id"),
-        "cols",
-        "vals",
-    )
-    asked = question_vectors(questions, idf).select(
-        F.explode(F.sequence(F.lit(0), n_tiles - 1)).alias("tile"),
-        F.lit(1).alias("kind"),
-        F.col("question_id").alias("id"),
-        "cols",
-        "vals",
-    )
-    sorted_tiles = dealt.unionByName(asked).repartition("tile").sortWithinPartitions("tile", "kind")
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, parts, chunk_ids, chunk_matrix = None, [], None, None
-        for batch in batches:
-            for (tile, kind), rows in batch.groupby(["tile", "kind"], sort=False):
-                if tile != here:
-                    here, parts, chunk_matrix = tile, [], None
-                if kind == 0:
-                    parts.append(_dense(rows, max_terms))
-                    continue
-                if not parts and chunk_matrix is None:
-                    continue  # a tile without chunks
-                if chunk_matrix is None:
-                    chunk_ids = np.concatenate([p[0] for p in parts])
-                    chunk_matrix, parts = np.vstack([p[1] for p in parts]), []
-                for start in range(0, len(rows), BLOCK_QUESTIONS):
-                    ids, matrix = _dense(rows[start : start + BLOCK_QUESTIONS], max_terms)
-                    found = _top(ids, chunk_ids, np.round(matrix @ chunk_matrix.T, 6), k)
-                    yield found.assign(part=tile % MERGE_PARTS)
-
-    local = sorted_tiles.mapInPandas(best, "question_id string, chunk_id string, score double, part int")
-
-    def first(frame: DataFrame, *keys: str) -> DataFrame:
-        order = W.partitionBy(*keys).orderBy(F.desc("score"), "chunk_id")
-        return frame.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-    ranked = first(first(local, "question_id", "part").drop("rank"), "question_id")
+    ranked = block_index.search_segments(question_vectors(questions, idf), segments, k, BLOCK_QUESTIONS, MERGE_PARTS)
     return questions.select("question_id").join(ranked, "question_id", "left").select(
         "question_id",
         F.coalesce("rank", F.lit(1)).alias("rank"),
@@ -274,16 +245,6 @@ def search(questions: DataFrame, vectors: DataFrame, idf: DataFrame, k: int = 5,
     )
 
 
-def _top(question_ids: np.ndarray, chunk_ids: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
-    """Rows with one of the k best scores of their question, ties kept; only positive scores."""
-    keep = min(k, scores.shape[1])
-    floor = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
-    q, c = np.nonzero((scores >= floor[:, None]) & (scores > 0))
-    found = pd.DataFrame({"question_id": question_ids[q], "chunk_id": chunk_ids[c], "score": scores[q, c]})
-    ordered = found.sort_values(["question_id", "score", "chunk_id"], ascending=[True, False, True])
-    return ordered.groupby("question_id", sort=False).head(k)
-
-
 def results(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hits with source file, excerpt of 300 characters and score rounded to four digits."""
     found = hits.join(chunks.select("chunk_id", "source_file", "text"), "chunk_id", "left")

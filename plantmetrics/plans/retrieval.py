@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import functions as F
 
 from plantmetrics.functions import round_to
 from plantmetrics.functions import text as tx
-from plantmetrics.operators import retrieval
+from plantmetrics.operators import index_store, retrieval
 from plantmetrics.plans.catalog import query
 from plantmetrics.plans.oracle import WS, r, rx
 from plantmetrics.session import materialise, run_folder
-from plantmetrics.sources import sinks
 from plantmetrics.sources.readers import corpus, query_log_summary
 
 LABELS = " OR ".join(f"starts_with(x, '{label}')" for label in tx.TITLE_LABELS)
@@ -122,25 +121,18 @@ def chunks(t):
     return retrieval.chunk_documents(t.corpus)
 
 
-INDEXES: dict[tuple[str, str], str] = {}
-
-
 def index(t):
-    """Chunks, vectors and idf of the folder's corpus, from an index that is built and saved by the first query of the
-    application and loaded by all others. The tables of a folder must not change meanwhile."""
-    place = (t.spark.sparkContext.applicationId, t.folder)
-    if place not in INDEXES:
-        path = f"{run_folder(t.spark)}/index-{uuid.uuid4().hex}"
-        pieces = materialise(chunks(t), "chunks")
-        vectors, idf = retrieval.build_index(pieces, store=lambda frame: materialise(frame, "index"))
-        sinks.save_index(pieces, vectors, idf, path)
-        INDEXES[place] = path
-    return sinks.load_index(t.spark, INDEXES[place])
+    """The stored index of the folder's corpus. The first query of an application builds it, every later one compares the
+    documents with the index's manifest and builds anew what changed."""
+    name = hashlib.md5(t.folder.encode()).hexdigest()
+    path = f"{run_folder(t.spark)}/index-{name}"
+    version = index_store.refresh(t.corpus.select("file_name", "text"), path)
+    return index_store.load(t.spark, path, version)
 
 
 def hits(t):
-    pieces, vectors, idf = index(t)
-    return pieces, retrieval.search(t.questions, vectors, idf)
+    found = index(t)
+    return found.chunks, retrieval.search_index(t.questions, found.segments, found.idf)
 
 
 @query("scan_corpus", "SELECT file_name, text, word_count FROM corpus")
@@ -193,8 +185,8 @@ def vocab_topn(t):
     VIEWS,
 )
 def tfidf_weights(t):
-    _, vectors, idf = index(t)
-    return retrieval.postings(vectors, idf).select("chunk_id", "term", round_to(F.col("weight"), 6).alias("weight"))
+    found = index(t)
+    return retrieval.postings(found.vectors, found.idf).select("chunk_id", "term", round_to(F.col("weight"), 6).alias("weight"))
 
 
 @query(

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from plantmetrics.functions import round_to
-from plantmetrics.operators import demand, retrieval
+from plantmetrics.operators import demand, index_store, retrieval
 from plantmetrics.operators import inventory as inv
 from plantmetrics.plans import demand as demand_plans
 from plantmetrics.plans import inventory as inventory_plans
@@ -132,6 +132,6 @@ def sink_query_log(t):
 )
 def sink_index(t):
     path = folder(t, "index")
-    sinks.save_index(*retrieval_plans.index(t), path)
-    _, vectors, idf = sinks.load_index(t.spark, path)
-    return retrieval.postings(vectors, idf).select("chunk_id", "term", round_to(F.col("weight"), 6).alias("weight"))
+    index_store.refresh(t.corpus.select("file_name", "text"), path)
+    saved = index_store.load(t.spark, path)
+    return retrieval.postings(saved.vectors, saved.idf).select("chunk_id", "term", round_to(F.col("weight"), 6).alias("weight"))

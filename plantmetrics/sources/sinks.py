@@ -38,16 +38,6 @@ def query_log_rows(answers: DataFrame, response_time_ms: float) -> DataFrame:
     )
 
 
-def save_index(chunks: DataFrame, vectors: DataFrame, idf: DataFrame, path: str) -> None:
-    """Chunks, their vectors and the term table as Parquet."""
-    for name, frame in (("chunks", chunks), ("vectors", vectors), ("idf", idf)):
-        frame.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
-def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{path}/{name}") for name in ("chunks", "vectors", "idf"))
-
-
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Result documents read back with a fixed schema."""
     return spark.read.schema(schema).json(path)
