@@ -30,6 +30,7 @@ from plantmetrics.functions import safe_div, weekday0
 from plantmetrics.functions.relational import attach_row, with_row_index, with_trailing
 from plantmetrics.functions.selection import mark_smallest
 from plantmetrics.functions.text import TERM
+from plantmetrics.operators.kernel_svm import KernelSVM
 
 # Model settings and feature lists.
 SEED = 42
@@ -214,6 +215,7 @@ def defect_classifiers(trees: int = CLASS_TREES, rounds: int = BOOST_ROUNDS) ->
     return {
         "random_forest": RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=DEPTH, seed=SEED),
         "gradient_boosting": GBTClassifier(labelCol="label", maxIter=rounds, maxDepth=CLASS_BOOST_DEPTH, stepSize=BOOST_STEP, seed=SEED),
+        "kernel_svm": KernelSVM("label"),
     }
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plantmetrics.functions import percent, round_to
 from plantmetrics.functions.relational import attach_row, with_row_index, with_running_sum
@@ -57,6 +60,75 @@ def lanes(slots: DataFrame, brands: DataFrame, log: DataFrame) -> DataFrame:
     return chosen.withColumn("hi", hi).withColumn("lo", F.col("hi") - F.col("capacity"))
 
 
+def line_brands(lines: DataFrame, brands: DataFrame, log: DataFrame) -> DataFrame:
+    """Each line with the brand it suits best: the highest affinity, 0.5 where the pair never ran, ties to the first name.
+
+    Only pairs that ran are rows; of the brands that never ran on a line the first name stands for all.
+    """
+    known = affinity(log).join(brands.select("brand").distinct(), "brand", "left_semi")
+    pair = F.struct((-round_to(F.col("affinity"), 9)).alias("neg"), "brand")
+    ran = known.groupBy("line_id").agg(F.min(pair).alias("best"), F.collect_set("brand").alias("ran"))
+    names = brands.agg(F.sort_array(F.collect_set("brand")).alias("names"))
+    framed = attach_row(lines.select("line_id").distinct().join(ran, "line_id", "left"), names, "b")
+    never = F.get(F.array_except("b.names", F.coalesce("ran", F.array().cast("array<string>"))), F.lit(0))
+    fallback = F.when(never.isNotNull(), F.struct(F.lit(-DEFAULT_AFFINITY).alias("neg"), never.alias("brand")))
+    chosen = framed.withColumn("chosen", F.least("best", fallback))
+    return chosen.select("line_id", F.col("chosen.brand").alias("brand"), (-F.col("chosen.neg")).alias("affinity"))
+
+
+def exclusive_fill(orders: DataFrame, slots: DataFrame, log: DataFrame) -> DataFrame:
+    """Quantity of each order made in each slot, where a slot serves one order.
+
+    Slots belong to the brand that their line suits best and are taken by falling affinity, then day, shift and line; the orders
+    of a brand come by deadline, then larger first. An order takes whole slots until its quantity is met, and what is left of
+    the last one stays idle. Every order takes a slot at least, so of each brand only as many orders are looked at as it has
+    slots: a task holds a brand's part of the plan, whatever the number of orders. Orders without a quantity and slots without
+    capacity take no part.
+    """
+    best = line_brands(slots, orders.select("brand"), log)
+    order = W.partitionBy("brand").orderBy(F.desc("affinity"), "day", "shift", "line_id")
+    lane = slots.where(F.col("capacity") > 0).join(best, "line_id").withColumn("place", F.row_number().over(order) - 1)
+    lane = lane.select("brand", "place", "day", "shift", "line_id", F.col("capacity").cast("long").alias("capacity"))
+    room = lane.groupBy("brand").agg(F.count(F.lit(1)).alias("_slots"))
+    due = F.coalesce("deadline", F.lit(NO_DEADLINE).cast("date")).alias("due")
+    asked = orders.where(F.col("qty") > 0).select("brand", "order_id", "model", F.col("qty").cast("long").alias("qty"), due)
+    asked = with_row_index(asked.withColumn("_neg", -F.col("qty")), ["brand"], ["due", "_neg", "order_id"], "position")
+    asked = asked.join(room, "brand").where(F.col("position") < F.col("_slots"))
+
+    def fill(own: pd.DataFrame, queue: pd.DataFrame) -> pd.DataFrame:
+        own, queue = own.sort_values("place"), queue.sort_values("position")
+        ends = own["capacity"].cumsum().to_numpy()
+        used, rows = 0, []
+        for line in queue.itertuples(index=False):
+            if used == len(own):
+                break
+            before = ends[used - 1] if used else 0
+            last = min(int(np.searchsorted(ends, before + line.qty)), len(own) - 1)
+            taken = own.iloc[used : last + 1]
+            rest = line.qty - (np.r_[before, ends[used:last]] - before)
+            rows.append(
+                taken.assign(order_id=line.order_id, model=line.model, qty=np.minimum(taken["capacity"].to_numpy(), rest))
+            )
+            used = last + 1
+        columns = ["day", "line_id", "shift", "brand", "model", "order_id", "qty"]
+        return pd.concat([own.iloc[:0].assign(order_id=0, model="", qty=0), *rows])[columns]
+
+    schema = ", ".join(
+        f"{name} {kind.simpleString()}"
+        for name, kind in (
+            ("day", slots.schema["day"].dataType),
+            ("line_id", slots.schema["line_id"].dataType),
+            ("shift", slots.schema["shift"].dataType),
+            ("brand", orders.schema["brand"].dataType),
+            ("model", orders.schema["model"].dataType),
+            ("order_id", orders.schema["order_id"].dataType),
+            ("qty", T.LongType()),
+        )
+    )
+    filled = lane.groupBy("brand").cogroup(asked.groupBy("brand")).applyInPandas(fill, schema)
+    return filled.withColumn("start_hour", (F.col("shift") - 1) * SHIFT_HOURS).withColumn("end_hour", F.col("shift") * SHIFT_HOURS)
+
+
 def queue(orders: DataFrame) -> DataFrame:
     """Orders with running quantity [lo, hi) per brand, by deadline (open ones last), then larger first."""
     due = F.coalesce("deadline", F.lit(NO_DEADLINE).cast("date"))

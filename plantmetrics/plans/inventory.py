@@ -177,8 +177,9 @@ def below_reorder(t):
 
 @query(
     "left_rate_join",
-    """SELECT o.material_id, o.eoq, i.consumption_rate_daily AS rate FROM optimised_stock o
-       LEFT JOIN inventory i ON o.material_id = i.material_id""",
+    """WITH o AS MATERIALIZED (SELECT material_id, eoq FROM optimised_stock),
+            i AS MATERIALIZED (SELECT material_id, consumption_rate_daily FROM inventory)
+       SELECT o.material_id, o.eoq, i.consumption_rate_daily AS rate FROM o LEFT JOIN i ON o.material_id = i.material_id""",
     VIEWS,
 )
 def left_rate_join(t):

@@ -12,7 +12,7 @@ from plantmetrics.functions import round_to
 from plantmetrics.operators import anomaly, demand, forecasting, images, learning
 from plantmetrics.plans import demand as demand_plans
 from plantmetrics.plans.catalog import query
-from plantmetrics.plans.oracle import div, r
+from plantmetrics.plans.oracle import Once, div, r
 from plantmetrics.plans.sinks import folder
 from plantmetrics.session import materialise
 
@@ -183,8 +183,11 @@ def defect_classifier(t):
 def defect_scoring(t):
     frame = scaled_vectors(t)
     models, metrics = learning.train_defect_classifiers(frame)
-    best = learning.best_model(metrics, "f1", lowest=False).first()[0]
-    return learning.score_defects(models[best], frame, "vec_id")
+    best = models[learning.best_model(metrics, "f1", lowest=False).first()[0]]
+    path = folder(t, "defect-model")
+    best.write().overwrite().save(path)
+    # the loaded model has trees only, not the session's summary of its training
+    return learning.score_defects(type(best).load(path), frame, "vec_id")
 
 
 def classified_texts(t):
@@ -328,21 +331,91 @@ def labelled_log(t):
     return anomaly.label(scored)
 
 
-@query("anomaly_forest")
+def forest_views() -> dict[str, str]:
+    """The same forest in SQL: one step of common table expressions per level, first for the drawn rows, then for all."""
+    trees, sample, unit, seed = anomaly.TREES, anomaly.SAMPLE, anomaly.UNIT, anomaly.SEED
+    limit = sample.bit_length() - 1
+    width = range(len(ANOMALY_FEATURES))
+    values = ", ".join(f"CAST({c} AS DOUBLE) AS f{i}" for i, c in enumerate(ANOMALY_FEATURES))
+    fs = ", ".join(f"f{i}" for i in width)
+    keys = "k1, k2, k3, k4, date"
+    draw = "('0x' || substr(md5(concat_ws('-', {}, tree, node, '{}')), 1, {}))::BIGINT"
+    path = "CASE WHEN n > 2 THEN 2 * (ln(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n WHEN n = 2 THEN 1.0 ELSE 0.0 END"
+    usable = "list_filter([" + ", ".join(f"CASE WHEN hi[{i + 1}] > lo[{i + 1}] THEN {i} END" for i in width) + "], lambda x: x IS NOT NULL)"
+    step = "2 * node + 1 + CASE WHEN [" + fs + "][feature + 1] >= cut THEN 1 ELSE 0 END"
+    views = {
+        "log_rows": f"SELECT row_number() OVER () AS row_id, {keys}, line_id, brand, shift, {', '.join(ANOMALY_FEATURES)}, {values} FROM production_log",
+        "drawn_rows": f"""SELECT {fs}, row_number() OVER (ORDER BY md5(concat_ws('-', {keys}, {seed})), {keys}) - 1 AS r, count(*) OVER () AS total
+                          FROM log_rows QUALIFY r < {trees * sample}""",
+        "level_0": f"""SELECT CAST(slot // {sample} AS INT) AS tree, 0 AS node, {fs}
+                       FROM (SELECT {fs}, unnest(range(r, {trees * sample}, least(total, {trees * sample}))) AS slot FROM drawn_rows)""",
+    }
+    for depth in range(limit + 1):
+        views[f"split_{depth}"] = f"""
+            SELECT tree, node, feature, lo[feature + 1] + (hi[feature + 1] - lo[feature + 1])
+                       * (({draw.format(seed, "cut", 13)} + 0.5) / {2**52}.0) AS cut,
+                   CASE WHEN feature IS NULL THEN CAST(round(({depth} + {path}) * {unit}) AS BIGINT) END AS units
+            FROM (SELECT *, CASE WHEN {depth} < {limit} AND len(usable) > 0
+                            THEN usable[CAST({draw.format(seed, "feature", 8)} % len(usable) AS INT) + 1] END AS feature
+                  FROM (SELECT *, {usable} AS usable
+                        FROM (SELECT tree, node, count(*) AS n, [{', '.join(f'min(f{i})' for i in width)}] AS lo,
+                                     [{', '.join(f'max(f{i})' for i in width)}] AS hi FROM level_{depth} GROUP BY tree, node)))"""
+        if depth < limit:
+            views[f"level_{depth + 1}"] = f"""
+                SELECT l.tree, {step.replace("node", "l.node", 1)} AS node, {fs}
+                FROM level_{depth} l JOIN split_{depth} s ON s.tree = l.tree AND s.node = l.node WHERE feature IS NOT NULL"""
+    reached = f"SELECT row_id, {fs}, CAST(unnest(range({trees})) AS INT) AS tree, 0 AS node FROM log_rows"
+    for depth in range(limit + 1):
+        views[f"passed_{depth}"] = f"""
+            SELECT p.row_id, {fs}, p.tree, {step.replace("node", "p.node", 1)} AS node,
+                   CASE WHEN feature IS NULL THEN coalesce(s.units, {depth} * {unit}) END AS units
+            FROM ({reached}) p LEFT JOIN split_{depth} s ON s.tree = p.tree AND s.node = p.node"""
+        reached = f"SELECT row_id, {fs}, tree, node FROM passed_{depth} WHERE units IS NULL"
+    norm = float(trees * unit * anomaly.average_path(sample))
+    ends = " UNION ALL ".join(f"SELECT row_id, units FROM passed_{d} WHERE units IS NOT NULL" for d in range(limit + 1))
+    views["isolated"] = f"""SELECT row_id, pow(CAST(2.0 AS DOUBLE), -CAST(sum(units) AS DOUBLE) / CAST({norm!r} AS DOUBLE)) AS isolation
+                            FROM ({ends}) GROUP BY row_id"""
+    views["labelled_rows"] = f"""SELECT *, t - isolation AS anomaly_score, CASE WHEN t - isolation < 0 THEN -1 ELSE 1 END AS anomaly
+        FROM log_rows JOIN isolated USING (row_id), (SELECT quantile_cont(isolation, {1 - anomaly.CONTAMINATION!r}) AS t FROM isolated)"""
+    return {name: Once(body) for name, body in views.items()}
+
+
+FOREST = forest_views()
+
+
+@query(
+    "anomaly_forest",
+    f"SELECT k1, k2, k3, k4, date, anomaly, {r('anomaly_score', 6)} AS anomaly_score FROM labelled_rows",
+    FOREST,
+)
 def anomaly_forest(t):
-    return labelled_log(t).select(*KEYS, "date", "anomaly", "anomaly_score")
+    found = labelled_log(t).select(*KEYS, "date", "anomaly", "anomaly_score")
+    return found.withColumn("anomaly_score", round_to(F.col("anomaly_score"), 6))
 
 
-@query("topk_lowest_score")
+@query(
+    "topk_lowest_score",
+    f"""SELECT k1, k2, k3, k4, date, line_id, brand, shift, {', '.join(ANOMALY_FEATURES[1:])}, {r('oee_score', 6)} AS oee_score, anomaly,
+               {r('anomaly_score', 6)} AS anomaly_score
+        FROM labelled_rows ORDER BY labelled_rows.anomaly_score, k1, k2, k3, k4 LIMIT 5""",
+    FOREST,
+)
 def topk_lowest_score(t):
-    return anomaly.lowest(labelled_log(t))
+    lowest = anomaly.lowest(labelled_log(t))
+    return lowest.withColumns({c: round_to(F.col(c), 6) for c in ("oee_score", "anomaly_score")})
 
 
-@query("split_by_label")
+@query(
+    "split_by_label",
+    f"""SELECT CASE WHEN anomaly = -1 THEN 'anomaly' ELSE 'normal' END AS part, count(*) AS rows,
+               {', '.join(f"{r(f'avg({c})', 6)} AS mean_{c}" for c in ANOMALY_FEATURES)}
+        FROM labelled_rows GROUP BY 1""",
+    FOREST,
+)
 def split_by_label(t):
     """Means of the normal and the anomalous rows side by side."""
     parts = anomaly.split_by_label(labelled_log(t))
-    means = [F.count(F.lit(1)).alias("rows"), *[F.avg(c).alias(f"mean_{c}") for c in ANOMALY_FEATURES]]
+    means = [F.count(F.lit(1)).alias("rows"), *[round_to(F.avg(c), 6).alias(f"mean_{c}") for c in ANOMALY_FEATURES]]
     named = [part.agg(*means).withColumn("part", F.lit(name)) for part, name in zip(parts, ("anomaly", "normal"))]
     return named[0].unionByName(named[1])
 

@@ -151,6 +151,10 @@ VIEWS: dict[str, str] = {
 }
 
 
+class Once(str):
+    """A view that is computed once, however many others read it."""
+
+
 def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     """Prefix a query with the views it names (and the views those name)."""
     known = {**VIEWS, **(extra or {})}
@@ -164,7 +168,7 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
                     order.append(name)
 
     visit(sql)
-    ctes = [f"{name} AS ({known[name]})" for name in order]
+    ctes = [f"{name} AS {'MATERIALIZED ' if isinstance(known[name], Once) else ''}({known[name]})" for name in order]
     body = sql.strip()
     if not ctes:
         return body

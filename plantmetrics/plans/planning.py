@@ -9,6 +9,7 @@ from plantmetrics.operators import planning
 from plantmetrics.plans.catalog import query
 from plantmetrics.plans.oee import ratios
 from plantmetrics.plans.oracle import big, pct, r
+from plantmetrics.session import materialise
 
 VIEWS = {
     "slots": """SELECT CAST(day AS INT) AS day, line_id, CAST(shift AS INT) AS shift, capacity
@@ -65,6 +66,33 @@ def capacity_fill(t):
     return plan(t)
 
 
+EXCLUSIVE = """WITH RECURSIVE places AS MATERIALIZED (
+        SELECT brand, day, line_id, shift, capacity, hi,
+               row_number() OVER (PARTITION BY brand ORDER BY affinity DESC, day, shift, line_id) AS place FROM lane WHERE capacity > 0),
+    numbered AS MATERIALIZED (
+        SELECT brand, order_id, model, qty, row_number() OVER (PARTITION BY brand ORDER BY due, qty DESC, order_id) AS position
+        FROM waiting WHERE qty > 0),
+    sizes AS MATERIALIZED (SELECT brand, count(*) AS n, max(hi) AS room FROM places GROUP BY brand),
+    fill AS (
+        SELECT brand, CAST(0 AS BIGINT) AS position, CAST(0 AS BIGINT) AS before, CAST(0 AS BIGINT) AS base,
+               CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS reached FROM sizes
+        UNION ALL
+        SELECT f.brand, o.position, f.used, f.reached, coalesce(min(s.place), any_value(z.n)), coalesce(min(s.hi), any_value(z.room))
+        FROM fill f JOIN numbered o ON o.brand = f.brand AND o.position = f.position + 1 JOIN sizes z ON z.brand = f.brand
+        LEFT JOIN places s ON s.brand = f.brand AND s.place > f.used AND s.hi - f.reached >= o.qty
+        WHERE f.used < z.n GROUP BY f.brand, o.position, f.used, f.reached)
+    SELECT day, line_id, shift, brand, model, order_id, CAST(least(capacity, qty - (hi - capacity - base)) AS BIGINT) AS qty,
+           CAST((shift - 1) * 8 AS INT) AS start_hour, CAST(shift * 8 AS INT) AS end_hour
+    FROM fill JOIN numbered USING (brand, position) JOIN places USING (brand) WHERE place > before AND place <= used"""
+
+
+@query("capacity_fill_exclusive", EXCLUSIVE, VIEWS)
+def capacity_fill_exclusive(t):
+    """The plan in which every slot serves one order."""
+    slots = planning.slot_grid(t.production_log)
+    return materialise(planning.exclusive_fill(t.orders_to_plan, slots, t.production_log), "exclusive-plan")
+
+
 @query(
     "unplaced_orders",
     """SELECT order_id, brand, qty, CAST(coalesce(placed, 0) AS BIGINT) AS placed, CAST(qty - coalesce(placed, 0) AS BIGINT) AS remaining

@@ -30,7 +30,7 @@ def totals(t, frame, name):
     """Run a totals stream to the end and read its table."""
     base = f"{run_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
     jobs.start_table(frame, f"{base}/table", f"{base}/checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{base}/table")
+    return jobs.read_current(t.spark, f"{base}/table")
 
 
 def rounded(frame, columns):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -57,10 +59,65 @@ def query_stats(log: DataFrame) -> DataFrame:
 
 
 def start_table(totals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the current totals as a small Parquet table, replaced after every batch."""
+    """Keep the current totals as a small Parquet table, replaced as a whole after every batch; see replace_table."""
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def replace(batch: DataFrame, batch_id: int) -> None:
+        replace_table(batch, path, batch_id)
 
     writer = totals.writeStream.outputMode("complete").foreachBatch(replace).trigger(availableNow=True)
     return writer.option("checkpointLocation", checkpoint).start()
+
+
+def replace_table(batch: DataFrame, path: str, batch_id: int) -> None:
+    """Make ``batch`` the table's content, once per batch id.
+
+    The rows go to a folder of their own, then a pointer with the batch id is renamed into place, which is what readers follow.
+    A job that dies before that leaves the old content in force, and the replayed batch writes a new folder; one that dies after
+    it is replayed with an id that the pointer has reached, and nothing is written. Folders of batches before the last are removed.
+    """
+    spark = batch.sparkSession
+    if current_batch(spark, path) >= batch_id:
+        return
+    folder = f"{path}/batches/{batch_id:012d}-{uuid.uuid4().hex}"
+    batch.write.parquet(folder)
+    switch_pointer(spark, path, batch_id, folder)
+    files, hadoop_path = _files(spark, path)
+    for status in files.listStatus(hadoop_path(f"{path}/batches")):
+        if int(status.getPath().getName().split("-")[0]) < batch_id - 1:
+            files.delete(status.getPath(), True)
+
+
+def switch_pointer(spark: SparkSession, path: str, batch_id: int, folder: str) -> None:
+    """A file named after the batch and its folder appears in one step."""
+    files, hadoop_path = _files(spark, path)
+    name = f"{batch_id:012d}@{folder.rsplit('/', 1)[1]}"
+    draft = hadoop_path(f"{path}/_drafts/{uuid.uuid4().hex}")
+    files.create(draft).close()
+    files.mkdirs(hadoop_path(f"{path}/_pointers"))
+    if not files.rename(draft, hadoop_path(f"{path}/_pointers/{name}")):
+        raise RuntimeError(f"the pointer of batch {batch_id} could not be set in {path}")
+
+
+def current_batch(spark: SparkSession, path: str) -> int:
+    """The id of the batch that readers see, -1 if there is none."""
+    return max((int(name.split("@")[0]) for name in _pointers(spark, path)), default=-1)
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The table as the last complete batch left it."""
+    names = _pointers(spark, path)
+    if not names:
+        raise FileNotFoundError(f"no batch was completed in {path}")
+    return spark.read.parquet(f"{path}/batches/{max(names).split('@')[1]}")
+
+
+def _pointers(spark: SparkSession, path: str) -> list[str]:
+    files, hadoop_path = _files(spark, path)
+    found = files.globStatus(hadoop_path(f"{path}/_pointers/*")) or []
+    return [status.getPath().getName() for status in found]
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and Hadoop's class of paths."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return hadoop_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
