@@ -336,6 +336,42 @@ def test_items_against_every_window(spark):
         assert sum(len(decontamination.words_of(s)) for s in spans) == hit
 
 
+def test_strips_and_suffix_windows_of_the_automaton(monkeypatch):
+    """Many short strips, windows that end in shorter ones, and words that no item has."""
+    monkeypatch.setattr(decontamination, "STRIPS", 7)
+    rng = random.Random(12)
+    for trial in range(40):
+        items = [[rng.randint(1, 3) for _ in range(rng.randint(1, 9))] for _ in range(5)]
+        coded, starts = np.array(sum(items, []), np.int32), np.cumsum([0, *map(len, items)])
+        window = 4
+        machine = decontamination.build_automaton(coded, starts, window, 10_000)
+        words = np.array([rng.randint(0, 3) for _ in range(rng.randint(0, 400))], np.int64)
+        pieces = {}
+        for name, own in enumerate(items):
+            for i in range(max(1, len(own) - window + 1)):
+                pieces.setdefault(tuple(own[i : i + window]), set()).add(name)
+        want = sorted(
+            (i + len(p) - 1, len(p), tuple(sorted(names)))
+            for p, names in pieces.items()
+            for i in range(len(words) - len(p) + 1)
+            if tuple(words[i : i + len(p)]) == p
+        )
+        places, nodes = decontamination.run_automaton(machine, words, window)
+        first, depth = machine["first"], machine["depth"]
+        got = [(int(p), int(depth[n]), tuple(machine["items"][first[n] : first[n + 1]].tolist())) for p, n in zip(places, nodes)]
+        assert sorted(got) == want, trial
+
+
+def test_too_many_nodes_are_an_error(spark):
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40)))], "item_id int, text string")
+    docs = spark.createDataFrame([(1, "w1 w2")], "doc_id int, text string")
+    compiled = decontamination.compile_items(items)
+    assert len(compiled["edges"]) == 28 * 13
+    with pytest.raises(ValueError, match="MAX_NODES"):
+        decontamination.compile_items(items, max_nodes=100)
+    assert decontamination.scan(docs, items).first()["scan"]["n_hit"] == 0
+
+
 def brute_components(sets):
     root = {d: d for d in sets}
 
