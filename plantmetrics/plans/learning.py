@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from plantmetrics.functions import round_to
-from plantmetrics.operators import anomaly, demand, forecasting, images, learning
+from plantmetrics.operators import anomaly, demand, forecasting, learning
 from plantmetrics.plans import demand as demand_plans
 from plantmetrics.plans.catalog import query
 from plantmetrics.plans.oracle import Once, div, r
@@ -190,6 +190,21 @@ def defect_scoring(t):
     return learning.score_defects(type(best).load(path), frame, "vec_id")
 
 
+@query(
+    "tariff_rows",
+    """WITH s AS (SELECT line_no, correct_hs_code, row_number() OVER (PARTITION BY correct_hs_code
+                       ORDER BY md5(CAST(line_no AS VARCHAR) || '-42'), line_no) <= floor(0.8 * count(*) OVER (PARTITION BY correct_hs_code))
+                       AS is_train, count(*) OVER (PARTITION BY correct_hs_code) AS own FROM tariff_lines)
+       SELECT line_no, correct_hs_code, is_train,
+              CAST((SELECT count(*) FROM s) AS DOUBLE) / ((SELECT count(DISTINCT correct_hs_code) FROM s) * own) AS weight FROM s""",
+)
+def tariff_rows(t):
+    """What the code classifier is fitted on: label, split and class weight of every line."""
+    lines = t.tariff_lines.select("line_no", "correct_hs_code")
+    split = learning.stratified_split(lines, "correct_hs_code", "line_no")
+    return learning.with_class_weight(split, "correct_hs_code")
+
+
 def classified_texts(t):
     lines = t.tariff_lines.select("line_no", "product_description", "correct_hs_code")
     split = learning.stratified_split(lines, "correct_hs_code", "line_no")
@@ -223,6 +238,24 @@ def prepared_log(t):
     return materialise(learning.split_rows(learning.prepare_log(t.production_log)), "prepared-log")
 
 
+@query(
+    "regression_rows",
+    f"""SELECT k1, k2, k3, k4, CAST(dense_rank() OVER (ORDER BY line_id) - 1 AS INT) AS line_enc,
+               CAST(dense_rank() OVER (ORDER BY brand) - 1 AS INT) AS brand_enc, shift, CAST(isodow(date) - 1 AS INT) AS day_of_week,
+               CAST(month(date) AS INT) AS month, operator_count, downtime_minutes, changeover_minutes,
+               {r('''avg(downtime_minutes) OVER (PARTITION BY line_id ORDER BY date, shift, k1, k2, k3, k4
+                     ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)''', 6)} AS rolling_avg_downtime_7d,
+               {r(div("defect_qty", "actual_qty"), 6)} AS defect_rate,
+               row_number() OVER (ORDER BY line_id, date, shift, k1, k2, k3, k4) <= floor(0.8 * count(*) OVER ()) AS is_train
+        FROM production_log""",
+)
+def regression_rows(t):
+    """What the downtime and defect rate models are fitted on: features, targets and split of every row."""
+    names = list(dict.fromkeys([*learning.DOWNTIME_FEATURES, *learning.DEFECT_FEATURES]))
+    frame = prepared_log(t).select(*KEYS, *names, "defect_rate", "is_train")
+    return frame.withColumns({c: round_to(F.col(c), 6) for c in ("rolling_avg_downtime_7d", "defect_rate")})
+
+
 def downtime(t):
     frame = prepared_log(t)
     pipeline = learning.forest_regressor(learning.DOWNTIME_FEATURES, "downtime_minutes")
@@ -270,6 +303,20 @@ def split_features(t):
     return materialise(demand.split_time(demand.feature_matrix(demand_plans.both(t))), "features")
 
 
+@query(
+    "forecast_rows",
+    f"""SELECT f.*, f.trend < floor(0.8 * count(*) OVER (PARTITION BY f.series)) AS is_train
+        FROM (SELECT series, date, demand, month, rolling_mean_14, rolling_std_14, lag_30, trend FROM ({demand_plans.FEATURE_SQL})) f""",
+    demand_plans.VIEWS,
+)
+def forecast_rows(t):
+    """What the demand models are fitted on, and which weeks they are tested on."""
+    frame = split_features(t).select(
+        "series", "date", "demand", "month", "rolling_mean_14", "rolling_std_14", "lag_30", "trend", "is_train"
+    )
+    return frame.withColumns({c: round_to(F.col(c), 6) for c in ("rolling_mean_14", "rolling_std_14")})
+
+
 def tree_predictions(t, frame):
     """Test rows with the prediction of each model."""
     forest = learning.forest_regressor(demand.FEATURES, "demand")
@@ -320,7 +367,7 @@ def demand_forecast(t):
     return demand.with_band(predicted, frame.where("is_train").select("series", "demand"))
 
 
-# -- anomalies and images -----------------------------------------------------------------------------
+# -- anomalies -----------------------------------------------------------------------------
 ANOMALY_FEATURES = ["oee_score", "downtime_minutes", "defect_qty", "actual_qty"]
 
 
@@ -418,21 +465,3 @@ def split_by_label(t):
     means = [F.count(F.lit(1)).alias("rows"), *[round_to(F.avg(c), 6).alias(f"mean_{c}") for c in ANOMALY_FEATURES]]
     named = [part.agg(*means).withColumn("part", F.lit(name)) for part, name in zip(parts, ("anomaly", "normal"))]
     return named[0].unionByName(named[1])
-
-
-@query("image_features")
-def image_features(t):
-    return images.image_features(pixels(t))
-
-
-def pixels(t):
-    """Vectors read as 8 by 8 images of one channel."""
-    level = F.transform("embedding", lambda x: F.least(F.greatest((x + 0.5) * 255, F.lit(0.0)), F.lit(255.0)).cast("int"))
-    return t.table("embeddings").select(
-        F.concat(F.when(F.col("label") % 2 == 1, "defect_").otherwise("ok_"), F.col("vec_id").cast("string")).alias("file_name"),
-        (F.col("label") % 2).cast("int").alias("label"),
-        F.lit(8).alias("height"),
-        F.lit(8).alias("width"),
-        F.lit(1).alias("channels"),
-        F.unhex(F.array_join(F.transform(level, lambda v: F.lpad(F.hex(v), 2, "0")), "")).alias("data"),
-    )
