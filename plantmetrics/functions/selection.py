@@ -92,7 +92,7 @@ def smallest_hashes(df: DataFrame, group: Sequence[str], key: Sequence[str], wan
     digits; only the rows of the last bucket, about one in 16 million, are ranked. Groups that want nothing have no cut.
     """
     keyed = df.select(*group, *key).withColumn("_h", hash_of(key, seed))
-    open_ = wanted.where(F.col("_wanted") > 0)
+    open_ = small(wanted.where(F.col("_wanted") > 0))
     for digits in PREFIX_DIGITS:
         counts = _meet(keyed, open_, group).groupBy(*group, F.substring("_h", 1, digits).alias("_prefix"), "_wanted").count()
         upto = F.sum("count").over(W.partitionBy(*group).orderBy("_prefix"))
