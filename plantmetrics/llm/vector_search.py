@@ -206,24 +206,102 @@ def sample(vectors: DataFrame, rows: int, total: int, salt: int) -> pd.DataFrame
     return vectors.filter(chosen).sort("vec_id").toPandas()
 
 
-def build_index(vectors: DataFrame) -> tuple[dict, DataFrame, np.ndarray]:
-    """The tree, every row with its leaf (written), and the rows per leaf."""
-    total = vectors.count()
-    fitted = sample(vectors, FIT_ROWS, total, 1)
-    points = np.stack(fitted["vector"].to_numpy()) if len(fitted) else np.zeros((0, 0))
-    tree = fit_tree(points, max(1, min(int(LEAVES_PER_ROOT * total**0.5), len(points) // FIT_PER_LEAF)))
+def with_leaves(vectors: DataFrame, tree: dict) -> DataFrame:
+    """Every row with the number of its leaf, written."""
     shared = vectors.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches):
         for batch in batches:
             points = matrix(batch.column("vector")) if batch.num_rows else np.zeros((0, 0))
             leaf = leaves_of(points, shared.value) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf.astype(np.int32))], [*batch.schema.names, "leaf"])
+            columns = [batch.column("vec_id"), batch.column("vector"), pa.array(leaf.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "vector", "leaf"])
 
-    index = materialise(vectors.mapInArrow(run, "vec_id long, vector array<double>, leaf int"), "tree-index")
-    counts = np.zeros(int(tree["leaf"].max()) + 1, np.int64)
+    return materialise(vectors.select("vec_id", "vector").mapInArrow(run, "vec_id long, vector array<double>, leaf int"), "tree-index")
+
+
+def rows_per_leaf(index: DataFrame, leaves: int) -> np.ndarray:
+    counts = np.zeros(leaves, np.int64)
     for leaf, n in index.groupBy("leaf").count().collect():
         counts[leaf] = n
+    return counts
+
+
+def graft(tree: dict, subtrees: dict[int, dict]) -> dict:
+    """The tree with leaves replaced by trees of their own; leaves are numbered anew."""
+    centre, first, children = [tree["centre"]], tree["first"].copy(), tree["children"].copy()
+    node_of = {leaf: node for node, leaf in enumerate(tree["leaf"].tolist()) if leaf >= 0}
+    more_first, more_children, size = [], [], len(first)
+    for leaf, sub in sorted(subtrees.items()):
+        # the root of the subtree is the old leaf; its other nodes go to the end
+        shift = size - 1
+        first[node_of[leaf]], children[node_of[leaf]] = sub["first"][0] + shift, sub["children"][0]
+        centre.append(sub["centre"][1:])
+        more_first.append(np.where(sub["children"][1:] > 0, sub["first"][1:] + shift, 0))
+        more_children.append(sub["children"][1:])
+        size += len(sub["centre"]) - 1
+    children = np.concatenate([children, *more_children])
+    leaf = np.full(len(children), -1)
+    leaf[children == 0] = np.arange(int((children == 0).sum()))
+    return {"centre": np.concatenate(centre), "first": np.concatenate([first, *more_first]), "children": children, "leaf": leaf}
+
+
+def grow(tree: dict, index: DataFrame, counts: np.ndarray, leaves: int) -> dict:
+    """Split the leaves until there are about ``leaves`` in all, in proportion to their rows.
+
+    Each leaf draws a sample of its own rows by hash and is split in a task of its own, so no task and not the driver sees more
+    than FIT_PER_LEAF rows for each leaf that comes out of it; what is collected are the centres.
+    """
+    wanted = np.round(counts * (leaves / max(1, counts.sum()))).astype(int)
+    shares = [
+        (leaf, int(n), min(1.0, float(n * FIT_PER_LEAF) / rows))
+        for leaf, (n, rows) in enumerate(zip(wanted.tolist(), counts.tolist(), strict=True))
+        if n > 1
+    ]
+    if not shares:
+        return tree
+    # one row per leaf of the first tree, of which there are at most FIT_ROWS / FIT_PER_LEAF
+    plan = F.broadcast(index.sparkSession.createDataFrame(shares, "leaf int, wanted int, share double"))
+    drawn = F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    points = index.join(plan, "leaf").filter(drawn).select("leaf", "wanted", "vec_id", "vector")
+
+    def split(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("vec_id")
+        sub = fit_tree(np.stack(own["vector"].to_numpy()), int(own["wanted"].iloc[0]))
+        packed = {"leaf": [own["leaf"].iloc[0]], "centre": [sub["centre"].ravel()]}
+        return pd.DataFrame(packed | {c: [sub[c]] for c in ("first", "children")})
+
+    schema = "leaf int, centre array<double>, first array<long>, children array<long>"
+    grown = points.groupBy("leaf").applyInPandas(split, schema).toPandas()
+    subtrees = {
+        int(row.leaf): {
+            "centre": np.asarray(row.centre).reshape(len(row.first), -1),
+            "first": np.asarray(row.first),
+            "children": np.asarray(row.children),
+        }
+        for row in grown.itertuples()
+        if len(row.first) > 1
+    }
+    return graft(tree, subtrees)
+
+
+def build_index(vectors: DataFrame) -> tuple[dict, DataFrame, np.ndarray]:
+    """The tree, every row with its leaf (written), and the rows per leaf.
+
+    The number of leaves grows with the root of the number of rows. Where the sample is too small for so many, its leaves are
+    split once more, each from rows of its own.
+    """
+    total = vectors.count()
+    fitted = sample(vectors, FIT_ROWS, total, 1)
+    points = np.stack(fitted["vector"].to_numpy()) if len(fitted) else np.zeros((0, 0))
+    leaves = max(1, int(LEAVES_PER_ROOT * total**0.5))
+    tree = fit_tree(points, max(1, min(leaves, len(points) // FIT_PER_LEAF)))
+    index = with_leaves(vectors, tree)
+    counts = rows_per_leaf(index, int(tree["leaf"].max()) + 1)
+    if leaves > len(counts) and total > FIT_ROWS:
+        tree = grow(tree, index, counts, leaves)
+        index = with_leaves(index, tree)
+        counts = rows_per_leaf(index, int(tree["leaf"].max()) + 1)
     return tree, index, counts
 
 
@@ -253,7 +331,7 @@ def calibrate(index: DataFrame, is_query: Column, tree: dict, counts: np.ndarray
 def search(embeddings: DataFrame, is_query: Column, k: int = K, recall: float = RECALL) -> DataFrame:
     """The k nearest rows by inner product of every row where ``is_query`` (a condition on vec_id) holds, but for itself.
 
-    A tree is fitted on a sample and all rows are put into its leaves. A calibration set of the queries is searched exactly, and
+    A tree is fitted on a sample and all rows are put into its leaves, which are split again where the table is large. A calibration set of the queries is searched exactly, and
     the number of leaf visits is widened until their mean recall reaches ``recall``. Queries then take their leaves from a
     priority queue. A leaf's rows and the queries that visit it are dealt into blocks, so a leaf with many equal vectors or
     many visitors is many tasks; a block gives each of its queries one list of k, and the lists are merged.

@@ -251,6 +251,31 @@ def test_vector_recall(spark, hot, monkeypatch):
     assert np.mean(recall) >= 0.9
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_leaves_grow_beyond_the_sample(spark, monkeypatch, hot):
+    """A sample too small for the table's leaves: they are split again, and each leaf holds few rows."""
+    monkeypatch.setattr(vector_search, "FIT_ROWS", 80)
+    monkeypatch.setattr(vector_search, "FIT_PER_LEAF", 6)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 1, (40, 8))
+    rows = [(i, (centres[0] if hot and i % 3 else centres[i % 40] + rng.normal(0, 0.05, 8)).tolist()) for i in range(1500)]
+    vectors = vector_search.clean_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    tree, index, counts = vector_search.build_index(vectors)
+    leaves = int(vector_search.LEAVES_PER_ROOT * 1500**0.5)
+    assert counts.sum() == index.count() == 1500 and (tree["leaf"] >= 0).sum() == len(counts)
+    assert len(counts) > 80 // 6 * 2 and len(counts) <= 1.5 * leaves
+    if not hot:
+        assert counts.max() < 1500 / 20
+    points, leaf = np.array([v for _, v in rows]), {r["vec_id"]: r["leaf"] for r in index.collect()}
+    assert vector_search.leaves_of(points, tree).tolist() == [leaf[i] for i, _ in rows]
+    found = collections.defaultdict(set)
+    for r in vector_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    ids = np.arange(1500)
+    true = {i: set(brute_nearest(ids, points, i, 5)[0].tolist()) for i in range(0, 1500, 20)}
+    assert np.mean([len(found[i] & true[i]) / 5 for i in true]) >= 0.9
+
+
 # ---- lines, items, near copies -----------------------------------------------------------------------------------------
 
 
