@@ -16,8 +16,7 @@ from plantmetrics.functions.ordered import small
 
 BINS = 1024
 FEW_VALUES = 5_000  # so many different values of one bin are listed with their counts
-BUCKET_DIGITS = 4
-PREFIX_DIGITS = (3, 6)  # hexadecimal digits of a hash that are counted before the rows of one bucket are ranked
+BUCKET_DIGITS = 4  # hexadecimal digits of a hash by which rows are counted before those of one bucket are ranked
 
 
 def kth_values(df: DataFrame, column: str, ranks: Sequence[int]) -> list[float]:
@@ -88,19 +87,19 @@ def hash_of(key: Sequence[str], seed: int) -> Column:
 def smallest_hashes(df: DataFrame, group: Sequence[str], key: Sequence[str], wanted: DataFrame, seed: int) -> DataFrame:
     """Per group the cut (struct ``cut`` of hash and key) up to which its ``_wanted`` smallest hashes reach.
 
-    Rows are counted by the first digits of their hashes, then, in the one bucket where the count passes ``_wanted``, by more
-    digits; only the rows of the last bucket, about one in 16 million, are ranked. Groups that want nothing have no cut.
+    Rows are counted by the first digits of their hashes; only the rows of the one bucket in which the count passes ``_wanted``,
+    about one in 65,536, are ranked. Groups that want nothing have no cut.
     """
     keyed = df.select(*group, *key).withColumn("_h", hash_of(key, seed))
-    open_ = small(wanted.where(F.col("_wanted") > 0))
-    for digits in PREFIX_DIGITS:
-        counts = _meet(keyed, open_, group).groupBy(*group, F.substring("_h", 1, digits).alias("_prefix"), "_wanted").count()
-        upto = F.sum("count").over(W.partitionBy(*group).orderBy("_prefix"))
-        open_ = small(
-            counts.withColumn("_upto", upto)
-            .where((F.col("_upto") >= F.col("_wanted")) & (F.col("_upto") - F.col("count") < F.col("_wanted")))
-            .select(*group, "_prefix", (F.col("_wanted") - F.col("_upto") + F.col("count")).alias("_wanted"))
-        )
+    wanted = small(wanted.where(F.col("_wanted") > 0))
+    prefix = F.substring("_h", 1, BUCKET_DIGITS).alias("_prefix")
+    counts = _meet(keyed, wanted, group).groupBy(*group, prefix, "_wanted").count()
+    upto = F.sum("count").over(W.partitionBy(*group).orderBy("_prefix"))
+    open_ = small(
+        counts.withColumn("_upto", upto)
+        .where((F.col("_upto") >= F.col("_wanted")) & (F.col("_upto") - F.col("count") < F.col("_wanted")))
+        .select(*group, "_prefix", (F.col("_wanted") - F.col("_upto") + F.col("count")).alias("_wanted"))
+    )
     order = W.partitionBy(*group).orderBy("_h", *key)
     last = _meet(keyed, open_, group).withColumn("_rank", F.row_number().over(order))
     return last.where(F.col("_rank") == F.col("_wanted")).select(*group, F.struct("_h", *key).alias("cut"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from plantmetrics.session import materialise
 
-SEGMENT_CHUNKS = 128
+SEGMENT_CHUNKS = 256
 TASK_QUESTIONS = 2048  # questions that meet a segment in one task
 BLOCK_QUESTIONS = 512  # of which so many are scored together
 MERGE_PARTS = 32  # hits of a question are merged in two levels
@@ -159,11 +159,13 @@ def score_segments(
 
 def dense(questions: pd.DataFrame, terms: np.ndarray) -> np.ndarray:
     """The questions' weights of a segment's terms, which are sorted."""
+    sizes = questions["cols"].map(len).to_numpy()
+    row = np.repeat(np.arange(len(questions)), sizes)
+    cols, vals = (np.concatenate(questions[c].tolist()) for c in ("cols", "vals"))
+    at = np.minimum(np.searchsorted(terms, cols), len(terms) - 1)
+    known = terms[at] == cols
     matrix = np.zeros((len(questions), len(terms)))
-    for i, (cols, vals) in enumerate(zip(questions["cols"], questions["vals"], strict=True)):
-        at = np.minimum(np.searchsorted(terms, cols), len(terms) - 1)
-        known = terms[at] == cols
-        matrix[i, at[known]] = np.asarray(vals)[known]
+    matrix[row[known], at[known]] = vals[known]
     return matrix
 
 
