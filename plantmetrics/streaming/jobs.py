@@ -73,10 +73,11 @@ def replace_table(batch: DataFrame, path: str, batch_id: int) -> None:
 
     The rows go to a folder of their own, then a pointer with the batch id is renamed into place, which is what readers follow.
     A job that dies before that leaves the old content in force, and the replayed batch writes a new folder; one that dies after
-    it is replayed with an id that the pointer has reached, and nothing is written. Folders of batches before the last are removed.
+    it is replayed with an id that the pointer has reached, and only its state is computed. Folders of batches before the last are removed.
     """
     spark = batch.sparkSession
     if current_batch(spark, path) >= batch_id:
+        batch.write.format("noop").mode("overwrite").save()  # a batch must be read, or its state is not committed
         return
     folder = f"{path}/batches/{batch_id:012d}-{uuid.uuid4().hex}"
     batch.write.parquet(folder)
