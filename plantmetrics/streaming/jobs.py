@@ -79,12 +79,12 @@ def replace_table(batch: DataFrame, path: str, batch_id: int) -> None:
     if current_batch(spark, path) >= batch_id:
         batch.write.format("noop").mode("overwrite").save()  # a batch must be read, or its state is not committed
         return
-    folder = f"{path}/batches/{batch_id:012d}-{uuid.uuid4().hex}"
+    folder = f"{path}/batch={batch_id:012d}-{uuid.uuid4().hex}"
     batch.write.parquet(folder)
     switch_pointer(spark, path, batch_id, folder)
     files, hadoop_path = _files(spark, path)
-    for status in files.listStatus(hadoop_path(f"{path}/batches")):
-        if int(status.getPath().getName().split("-")[0]) < batch_id - 1:
+    for status in files.globStatus(hadoop_path(f"{path}/batch=*")):
+        if int(status.getPath().getName().removeprefix("batch=").split("-")[0]) < batch_id - 1:
             files.delete(status.getPath(), True)
 
 
@@ -109,7 +109,7 @@ def read_current(spark: SparkSession, path: str) -> DataFrame:
     names = _pointers(spark, path)
     if not names:
         raise FileNotFoundError(f"no batch was completed in {path}")
-    return spark.read.parquet(f"{path}/batches/{max(names).split('@')[1]}")
+    return spark.read.parquet(f"{path}/{max(names).split('@')[1]}")
 
 
 def _pointers(spark: SparkSession, path: str) -> list[str]:
