@@ -1,13 +1,16 @@
 """Inverted index of chunk vectors, cut into segments with the largest weight of each term, and its search.
 
-A segment holds the postings of some hundred chunks, term by term; the postings of one term in one segment are a block. A search
-first bounds from above what a question can score in a segment, from the blocks' largest weights alone, and then looks only into
-segments whose bound reaches the k-th best score that the question is already sure of (block maxima with MaxScore).
+A segment holds the postings of some hundred chunks, term by term; the postings of one term in one segment are a block. The
+segments stay where they are, and questions come to them in rounds of bounded size. A task bounds from above what a question can
+score in a segment, from the blocks' largest weights alone, and scores it only if this reaches the k-th best score that the task
+has found for the question. No row is made for a pair of a question and a segment: a task gives k rows a question.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -19,8 +22,9 @@ from pyspark.sql import functions as F
 from plantmetrics.session import materialise
 
 SEGMENT_CHUNKS = 256
-TASK_QUESTIONS = 2048  # questions that meet a segment in one task
+TASK_QUESTIONS = 16_384  # questions of a round; their vectors, some megabytes, are sent to every task
 BLOCK_QUESTIONS = 512  # of which so many are scored together
+TASK_SEGMENTS = 16  # segments that a task unpacks at once
 MERGE_PARTS = 32  # hits of a question are merged in two levels
 SLACK = 2e-6  # scores are rounded to six digits before they are ranked
 SEGMENT_SCHEMA = (
@@ -58,8 +62,8 @@ def heaviest(row_cols: np.ndarray, row_vals: np.ndarray) -> int:
 def build_segments(vectors: DataFrame, chunks: int = SEGMENT_CHUNKS) -> DataFrame:
     """One row per segment of ``vectors`` (chunk_id, cols, vals); chunks are packed in the tasks where they are.
 
-    Within what a task holds at once, chunks with the same heaviest term lie side by side, so that a segment's largest weights
-    are high for few terms.
+    Within what a task holds at once, chunks with the same most common and the same heaviest term lie side by side: the former
+    tells languages apart, so that a segment has fewer terms, and for the latter its largest weights are high for few of them.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,7 +73,9 @@ def build_segments(vectors: DataFrame, chunks: int = SEGMENT_CHUNKS) -> DataFram
             if batch.empty:
                 continue
             lead = [heaviest(c, v) for c, v in zip(batch["cols"], batch["vals"], strict=True)]
-            batch = batch.assign(lead=lead).sort_values(["lead", "chunk_id"])
+            # columns are numbered from the most common term on
+            common = [int(c[0]) for c in batch["cols"]]
+            batch = batch.assign(common=common, lead=lead).sort_values(["common", "lead", "chunk_id"])
             rows = []
             for start in range(0, len(batch), chunks):
                 rows.append(pack_segment(first + made, batch[start : start + chunks]))
@@ -94,8 +100,9 @@ def term_limits(maxima: DataFrame, k: int) -> DataFrame:
 
 
 def bound_segments(asked: DataFrame, maxima: DataFrame, k: int) -> DataFrame:
-    """question_id, segment, bound and floor for the segments in which a question may find one of its k best chunks.
+    """question_id, segment, bound and floor for the segments in which a question may find one of its k best chunks, as a table.
 
+    It has a row for each such pair, so it is for looking at bounds; the search works them out inside its tasks.
     ``floor`` is a score that k chunks are known to reach. A question's terms are taken from the weakest on as long as all of
     them together stay below the floor: a chunk with only these cannot be a hit, so their blocks are not looked at, and their
     largest weights stand in for them. The other terms' blocks are summed by segment.
@@ -121,62 +128,123 @@ def bound_segments(asked: DataFrame, maxima: DataFrame, k: int) -> DataFrame:
     )
 
 
-def score_segments(
-    pairs: DataFrame, asked: DataFrame, segments: DataFrame, k: int, together: int = BLOCK_QUESTIONS
-) -> DataFrame:
-    """The k best chunks of each (question_id, segment): question_id, segment, chunk_id, score.
-
-    Segments that many questions want are copied to several tasks, between which their questions are dealt.
+class Block(NamedTuple):
+    """Questions that are scored together: their ids, the terms of them all, and row, place among the terms and weight of each."""
+
+    ids: np.ndarray
+    terms: np.ndarray
+    rows: np.ndarray
+    places: np.ndarray
+    weights: np.ndarray
+
+    def matrix(self) -> np.ndarray:
+        out = np.zeros((len(self.ids), len(self.terms)))
+        out[self.rows, self.places] = self.weights
+        return out
+
+
+def question_blocks(asked: DataFrame, together: int = BLOCK_QUESTIONS) -> list[Block]:
+    """The questions of a round in blocks; those with the same most common terms side by side, so that a block has few terms."""
+    table = asked.select("question_id", "cols", "vals").toArrow().combine_chunks()
+    rows = pd.DataFrame({name: table.column(name).to_numpy() for name in table.column_names})
+    for i in range(3):
+        rows[i] = [int(c[i]) if len(c) > i else -1 for c in rows["cols"]]
+    rows = rows.sort_values([0, 1, 2, "question_id"])
+    blocks = []
+    for start in range(0, len(rows), together):
+        some = rows[start : start + together]
+        sizes = some["cols"].map(len).to_numpy()
+        terms, places = np.unique(np.concatenate(some["cols"].tolist()), return_inverse=True)
+        row = np.repeat(np.arange(len(some)), sizes)
+        blocks.append(Block(some["question_id"].to_numpy(), terms, row, places, np.concatenate(some["vals"].tolist())))
+    return blocks
+
+
+class Segment(NamedTuple):
+    chunk_ids: np.ndarray
+    terms: np.ndarray
+    largest: np.ndarray
+    table: np.ndarray  # terms x chunks
+
+
+def unpack_segment(row) -> Segment:
+    terms, chunk_ids = np.asarray(row.terms), np.asarray(row.chunk_ids, dtype=object)
+    place, weight = np.frombuffer(row.places, np.int32), np.frombuffer(row.weights, np.float64)
+    block = np.repeat(np.arange(len(terms)), np.diff(np.r_[row.starts, len(place)]))
+    table = np.zeros((len(terms), len(chunk_ids)))
+    table[block, place] = weight
+    return Segment(chunk_ids, terms, np.asarray(row.largest), table)
+
+
+class Best:
+    """The k best chunks that a task has found for each question of a block."""
+
+    def __init__(self, questions: int, k: int) -> None:
+        self.k = k
+        self.top = np.zeros((questions, k))  # the k best scores
+        self.floor = np.zeros(questions)  # the lowest of them, 0 as long as there are fewer
+        self.found = [pd.DataFrame({"q": np.array([], np.int64), "score": np.array([], float), "chunk_id": np.array([], object)})]
+
+    def look(self, matrix: np.ndarray, terms: np.ndarray, segment: Segment) -> None:
+        """Score the questions whose bound in the segment reaches their floor."""
+        _, ours, theirs = np.intersect1d(terms, segment.terms, assume_unique=True, return_indices=True)
+        if not len(ours):
+            return
+        weights = matrix[:, ours]
+        bound = weights @ segment.largest[theirs]
+        rows = np.flatnonzero((bound > 0) & (bound >= self.floor - SLACK))
+        if not len(rows):
+            return
+        weights = weights if len(rows) == len(weights) else weights[rows]
+        raw = weights @ segment.table[theirs]
+        near = raw.max(axis=1) >= self.floor[rows] - SLACK
+        rows, scores = rows[near], np.round(raw[near], 6)
+        if not len(rows):
+            return
+        keep = min(self.k, scores.shape[1])
+        high = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep :]
+        least = np.maximum(high.min(axis=1), self.floor[rows])
+        q, c = np.nonzero((scores >= least[:, None]) & (scores > 0))
+        self.found.append(pd.DataFrame({"q": rows[q], "score": scores[q, c], "chunk_id": segment.chunk_ids[c]}))
+        both = np.concatenate([self.top[rows], high], axis=1)
+        self.top[rows] = np.partition(both, keep, axis=1)[:, keep:]
+        self.floor[rows] = self.top[rows].min(axis=1)
+
+    def prune(self) -> pd.DataFrame:
+        """The k best of what was found, ties to the lower id; all else is forgotten."""
+        if len(self.found) > 1:
+            every = pd.concat(self.found)
+            every = every[every["score"].to_numpy() >= self.floor[every["q"].to_numpy()]]
+            every = every.sort_values(["q", "score", "chunk_id"], ascending=[True, False, True])
+            self.found = [every.groupby("q", sort=False).head(self.k)]
+        return self.found[0]
+
+
+def score_segments(asked: DataFrame, segments: DataFrame, k: int, together: int = BLOCK_QUESTIONS) -> DataFrame:
+    """The k best chunks of each question in each task's segments: question_id, chunk_id, score; scores above 0.
+
+    The segments are read where they lie; ``asked`` is collected, so it is a round of at most about TASK_QUESTIONS questions.
     """
-    loads = pairs.groupBy("segment").agg((F.floor(F.count(F.lit(1)) / TASK_QUESTIONS) + 1).cast("int").alias("salts"))
-    salt = F.pmod(F.xxhash64("question_id"), F.col("salts")).cast("int").alias("salt")
-    wanted = pairs.select("question_id", "segment").join(loads, "segment").join(asked, "question_id")
-    wanted = wanted.select("segment", salt, "question_id", "cols", "vals")
-    copies = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
-    dealt = segments.join(loads, "segment").select(
-        "segment", copies, "chunk_ids", "terms", "starts", "places", "weights"
-    )
+    shared = asked.sparkSession.sparkContext.broadcast(question_blocks(asked, together))
+    at_once = TASK_SEGMENTS
 
-    def compare(own: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
-        none = np.array([], object)
-        parts = [pd.DataFrame({"question_id": none, "segment": np.array([], np.int64), "chunk_id": none, "score": np.array([], float)})]
-        for row in own.itertuples(index=False):
-            terms, chunk_ids = np.asarray(row.terms), np.asarray(row.chunk_ids, dtype=object)
-            place, weight = np.frombuffer(row.places, np.int32), np.frombuffer(row.weights, np.float64)
-            block = np.repeat(np.arange(len(terms)), np.diff(np.r_[row.starts, len(place)]))
-            table = np.zeros((len(terms), len(chunk_ids)))
-            table[block, place] = weight
-            for start in range(0, len(questions), together):
-                some = questions[start : start + together]
-                found = top_scores(some["question_id"].to_numpy(), chunk_ids, np.round(dense(some, terms) @ table, 6), k)
-                parts.append(found.assign(segment=row.segment))
-        return pd.concat(parts)[["question_id", "segment", "chunk_id", "score"]]
-
-    keys = ["segment", "salt"]
-    schema = "question_id string, segment long, chunk_id string, score double"
-    return dealt.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(compare, schema)
-
-
-def dense(questions: pd.DataFrame, terms: np.ndarray) -> np.ndarray:
-    """The questions' weights of a segment's terms, which are sorted."""
-    sizes = questions["cols"].map(len).to_numpy()
-    row = np.repeat(np.arange(len(questions)), sizes)
-    cols, vals = (np.concatenate(questions[c].tolist()) for c in ("cols", "vals"))
-    at = np.minimum(np.searchsorted(terms, cols), len(terms) - 1)
-    known = terms[at] == cols
-    matrix = np.zeros((len(questions), len(terms)))
-    matrix[row[known], at[known]] = vals[known]
-    return matrix
-
-
-def top_scores(question_ids: np.ndarray, chunk_ids: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best chunks of every question, ties to the lower id; only positive scores."""
-    keep = min(k, scores.shape[1])
-    floor = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
-    q, c = np.nonzero((scores >= floor[:, None]) & (scores > 0))
-    found = pd.DataFrame({"question_id": question_ids[q], "chunk_id": chunk_ids[c], "score": scores[q, c]})
-    ordered = found.sort_values(["question_id", "score", "chunk_id"], ascending=[True, False, True])
-    return ordered.groupby("question_id", sort=False).head(k)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blocks = shared.value
+        best = [Best(len(block.ids), k) for block in blocks]
+        for batch in batches:
+            for start in range(0, len(batch), at_once):
+                some = [unpack_segment(row) for row in batch[start : start + at_once].itertuples(index=False)]
+                for block, kept in zip(blocks, best, strict=True):
+                    matrix = block.matrix()
+                    for segment in some:
+                        kept.look(matrix, block.terms, segment)
+                    kept.prune()
+        for block, kept in zip(blocks, best, strict=True):
+            found = kept.prune()
+            yield found.assign(question_id=block.ids[found["q"].to_numpy()])[["question_id", "chunk_id", "score"]]
+
+    columns = segments.select("chunk_ids", "terms", "largest", "starts", "places", "weights")
+    return columns.mapInPandas(run, "question_id string, chunk_id string, score double")
 
 
 def search_segments(
@@ -184,32 +252,26 @@ def search_segments(
 ) -> DataFrame:
     """question_id, rank, chunk_id and score of the k best chunks of ``asked`` (question_id, cols, vals), scores above 0.
 
-    Every question first looks into the one segment with its highest bound. The k-th score found there raises its floor, and
-    only segments whose bound still reaches it are looked into. No pair of a question and a segment without a block in common
-    is ever made.
+    Questions are dealt by a hash of their id into rounds, and each round passes all segments. Only a round's vectors are on the
+    driver and in the tasks at a time, and only k rows a question and task are exchanged.
     """
-    maxima = segments.select("segment", F.inline(F.arrays_zip(F.col("terms").alias("term_no"), "largest")))
     asked = materialise(asked, "asked")
-    bounds = materialise(bound_segments(asked, maxima, k), "bounds")
-    first = bounds.groupBy("question_id").agg(F.max_by("segment", F.struct("bound", "segment")).alias("segment"))
-    tried = materialise(score_segments(first, asked, segments, k, together), "first-hits")
-    floors = tried.groupBy("question_id").agg(
-        F.max("segment").alias("done"), F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(0.0).alias("reached")
-    )
-    open_ = (
-        bounds.join(first.withColumnRenamed("segment", "_tried"), "question_id")
-        .where(F.col("segment") != F.col("_tried"))
-        .join(floors, "question_id", "left")
-        .where(F.col("bound") >= F.greatest("floor", F.coalesce("reached", F.lit(0.0))) - SLACK)
-        .select("question_id", "segment")
-    )
-    hits = tried.unionByName(score_segments(materialise(open_, "open-segments"), asked, segments, k, together))
+    rounds = -(-asked.count() // TASK_QUESTIONS)
+    if rounds > 1:
+        turn = F.pmod(F.xxhash64("question_id"), F.lit(rounds))
+        asked = materialise(asked.withColumn("round", turn).sortWithinPartitions("round"), "rounds")
 
     def best(frame: DataFrame, *keys: str) -> DataFrame:
         # Spark keeps the first k rows of each task before the exchange, as the rank has a limit.
         order = W.partitionBy(*keys).orderBy(F.desc("score"), "chunk_id")
         return frame.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    parts = hits.withColumn("part", F.pmod("segment", F.lit(merge_parts)))
-    ranked = best(best(parts, "question_id", "part").drop("rank"), "question_id")
-    return ranked.select("question_id", "rank", "chunk_id", "score")
+    def ranked(questions: DataFrame) -> DataFrame:
+        hits = score_segments(questions, segments, k, together)
+        parts = hits.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(merge_parts)))
+        merged = best(best(parts, "question_id", "part").drop("rank"), "question_id")
+        return materialise(merged.select("question_id", "rank", "chunk_id", "score"), "hits")
+
+    if rounds <= 1:
+        return ranked(asked)
+    return reduce(DataFrame.unionByName, [ranked(asked.where(F.col("round") == i)) for i in range(rounds)])

@@ -247,13 +247,14 @@ def search_index(questions: DataFrame, segments: DataFrame, idf: DataFrame, k: i
 
 def results(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hits with source file, excerpt of 300 characters and score rounded to four digits."""
-    found = hits.join(chunks.select("chunk_id", "source_file", "text"), "chunk_id", "left")
-    return found.select(
+    # texts are cut before the join, so that it moves excerpts only
+    pieces = chunks.select("chunk_id", "source_file", excerpt(F.col("text"), 300).alias("text"))
+    return hits.join(pieces, "chunk_id", "left").select(
         "question_id",
         "rank",
         "chunk_id",
         "source_file",
-        excerpt(F.col("text"), 300).alias("text"),
+        "text",
         round_to(F.col("score"), 4).alias("similarity_score"),
     )
 

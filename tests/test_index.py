@@ -157,3 +157,19 @@ def test_packed_segments_hold_every_posting():
     assert packed["terms"].tolist() == [0, 1, 4, 9] and packed["largest"].tolist() == [0.1, 0.9, 1.0, 0.2]
     assert np.frombuffer(packed["places"], np.int32).tolist() == [2, 0, 2, 0, 1, 2]
     assert packed["starts"].tolist() == [0, 1, 3, 5]
+
+
+def test_a_task_gives_k_rows_a_question(spark, monkeypatch):
+    """However many segments there are: no row is made for a question and a segment, in any number of rounds."""
+    monkeypatch.setattr(block_index, "TASK_SEGMENTS", 2)
+    chunks, questions = clustered(spark)
+    c = spark.createDataFrame(chunks, "chunk_id string, text string").coalesce(1)
+    q = spark.createDataFrame(questions, "question_id string, question string")
+    vectors, idf = retrieval.build_index(c, max_terms=400)
+    segments = block_index.build_segments(vectors, 10).cache()
+    asked = retrieval.question_vectors(q, idf).cache()
+    hits = block_index.score_segments(asked, segments, 3)
+    assert segments.count() >= 60 and hits.count() <= 3 * len(questions) * segments.rdd.getNumPartitions()
+    whole = sorted(map(tuple, block_index.search_segments(asked, segments, 3).collect()))
+    monkeypatch.setattr(block_index, "TASK_QUESTIONS", 7)
+    assert sorted(map(tuple, block_index.search_segments(asked, segments, 3).collect())) == whole
