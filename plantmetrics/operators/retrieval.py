@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,6 +40,7 @@ NO_ANSWER = "Nemam dovoljno informacija u dostupnim dokumentima za odgovor na ov
 UNKNOWN_SOURCE = "nepoznat izvor"
 ANSWER_FORMAT = "Na osnovu dokumenta [%s]: %s (Izvori: %s)"
 
+COUNT_ROWS = 1000  # texts whose terms are counted at once
 TILE_CHUNKS = block_index.SEGMENT_CHUNKS
 BLOCK_QUESTIONS = block_index.BLOCK_QUESTIONS
 MERGE_PARTS = block_index.MERGE_PARTS
@@ -108,6 +111,48 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.groupBy("term").agg(F.count(F.lit(1)).alias("corpus_count"))
 
 
+def pair_counts(termed: DataFrame, names: DataFrame) -> DataFrame:
+    """term and corpus_count of the pairs of neighbours that are both in ``names``, a written table.
+
+    Up to SMALL_NAMES names are sent to the tasks, which count pairs as pairs of numbers; more are joined to the pairs.
+    """
+    if names.count() > SMALL_NAMES:
+        neighbours = F.zip_with(
+            F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))),
+            F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))),
+            lambda x, y: F.struct(x.alias("a"), y.alias("b")),
+        )
+        pairs = (
+            termed.select(F.inline(neighbours))
+            .join(names.withColumnRenamed("term", "a"), "a", "left_semi")
+            .join(names.withColumnRenamed("term", "b"), "b", "left_semi")
+        )
+        return _counted(pairs.select(F.concat_ws(" ", "a", "b").alias("term")))
+    words = sorted(row["term"] for row in names.select("term").collect())
+    shared = termed.sparkSession.sparkContext.broadcast(words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.array(shared.value, pa.string())
+        for batch in batches:
+            for start in range(0, batch.num_rows, COUNT_ROWS):
+                at, row = word_places(batch.column(0).slice(start, COUNT_ROWS), words)
+                side = (at[:-1] >= 0) & (at[1:] >= 0) & (row[:-1] == row[1:])
+                code, n = np.unique(at[:-1][side] * len(words) + at[1:][side], return_counts=True)
+                first, second = (words.take(pa.array(x)) for x in np.divmod(code, max(len(words), 1)))
+                term = pc.binary_join_element_wise(first, second, " ")
+                yield pa.RecordBatch.from_arrays([term, pa.array(n, pa.int64())], names=["term", "n"])
+
+    counted = termed.select("t").mapInArrow(count, "term string, n long")
+    return counted.groupBy("term").agg(F.sum("n").alias("corpus_count"))
+
+
+def word_places(texts: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of every term of every text its place in ``words``, -1 if it is not there, and the number of its text."""
+    sizes = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)
+    found = pc.index_in(pc.list_flatten(texts).cast(pa.string()), value_set=words)
+    return pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+
+
 def with_terms(frame: DataFrame, key: str, text: str) -> DataFrame:
     """key and ``t``, the text's terms in order: what the steps of an index read, so texts are split once."""
     return frame.select(key, terms(F.col(text)).alias("t"))
@@ -117,50 +162,73 @@ def vocabulary(termed: DataFrame, n: int = MAX_TERMS, store: Callable[[DataFrame
     """The n terms with the highest corpus count, ties by term, with a column number; n rows at most.
 
     ``termed`` holds the terms ``t`` of each text. A pair is never more frequent than its parts. So once n single terms reach
-    a count, pairs with a rarer part cannot be among the n, and only pairs of terms that reach it are counted. The two lookups
-    of a pair's parts are plain semi joins; their side is small on natural text, and the optimizer decides how to join.
+    a count, pairs with a rarer part cannot be among the n, and only pairs of terms that reach it are counted.
     """
     keep = store or (lambda frame: frame)
     counts = keep(_counted(termed.select(F.explode("t").alias("term"))))
     top = counts.orderBy(F.desc("corpus_count"), "term").limit(n)
     bar = top.agg(F.when(F.count(F.lit(1)) == n, F.min("corpus_count")).otherwise(0)).scalar()
-    names = keep(counts.where(F.col("corpus_count") >= bar).select("term"))
-    neighbours = F.zip_with(
-        F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))),
-        F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))),
-        lambda x, y: F.struct(x.alias("a"), y.alias("b")),
-    )
-    pairs = (
-        termed.select(F.inline(neighbours))
-        .join(names.withColumnRenamed("term", "a"), "a", "left_semi")
-        .join(names.withColumnRenamed("term", "b"), "b", "left_semi")
-        .select(F.concat_ws(" ", "a", "b").alias("term"))
-    )
-    best = top.unionByName(_counted(pairs)).orderBy(F.desc("corpus_count"), "term").limit(n)
+    names = materialise(counts.where(F.col("corpus_count") >= bar).select("term"), "frequent-terms")
+    best = top.unionByName(pair_counts(termed, names)).orderBy(F.desc("corpus_count"), "term").limit(n)
     return best.withColumn("term_no", F.row_number().over(W.orderBy(F.desc("corpus_count"), "term")) - 1)
 
 
 def term_vectors(termed: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
     """One row per key with a known term: ``v``, the (term_no, tf) pairs of the vocabulary's terms in term order.
 
-    Every text is one row of ``termed``, so its terms are counted where it is, against the vocabulary of at most n terms.
+    Every text is one row of ``termed``, so its terms are counted where it is, against the vocabulary of at most n terms. Terms
+    become numbers in one lookup a batch, and pairs are looked up as pairs of numbers.
     """
-    numbers = {row["term"]: row["term_no"] for row in vocab.select("term", "term_no").collect()}
-    shared = termed.sparkSession.sparkContext.broadcast(numbers)
+    rows = vocab.select("term", "term_no").collect()
+    shared = termed.sparkSession.sparkContext.broadcast(Numbers.of({row["term"]: row["term_no"] for row in rows}))
+    kind = pa.list_(pa.struct([("term_no", pa.int32()), ("tf", pa.int32())]))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = shared.value.get
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for t in batch["t"]:
-                t = [] if t is None else list(t)
-                found = Counter(map(number, [*t, *map(" ".join, zip(t, t[1:]))]))
-                found.pop(None, None)
-                rows.append([{"term_no": k, "tf": n} for k, n in sorted(found.items())])
-            out = pd.DataFrame({key: batch[key], "v": rows})
-            yield out[out["v"].map(len) > 0]
-
-    return termed.select(key, "t").mapInPandas(count, f"{key} string, v array<struct<term_no: int, tf: int>>")
+            for start in range(0, batch.num_rows, COUNT_ROWS):
+                some = batch.slice(start, COUNT_ROWS)
+                starts, term_no, tf = shared.value.count(some.column(1))
+                v = pa.ListArray.from_arrays(starts, pa.StructArray.from_arrays([term_no, tf], fields=list(kind.value_type)))
+                out = pa.RecordBatch.from_arrays([some.column(0), v], names=[key, "v"])
+                yield out.filter(pa.array(np.diff(starts.to_numpy()) > 0))
+
+    return termed.select(F.col(key).cast("string").alias(key), "t").mapInArrow(count, f"{key} string, v array<struct<term_no: int, tf: int>>")
+
+
+class Numbers(NamedTuple):
+    """A vocabulary for counting: its words and the parts of its pairs, and the numbers of the words and of the pairs."""
+
+    words: list[str]
+    word_no: np.ndarray  # by place among the words; -1 for a word that is only part of a pair
+    pairs: np.ndarray  # place of the first part * number of words + place of the second, ascending
+    pair_no: np.ndarray
+
+    @classmethod
+    def of(cls, numbers: dict[str, int]) -> Numbers:
+        words = sorted({word for term in numbers for word in term.split(" ")})
+        place = {word: i for i, word in enumerate(words)}
+        parts = [(term.split(" "), no) for term, no in numbers.items()]
+        pairs = sorted((place[p[0]] * len(words) + place[p[1]], no) for p, no in parts if len(p) == 2)
+        word_no = np.array([numbers.get(word, -1) for word in words], np.int64)
+        return cls(words, word_no, *(np.array([p[i] for p in pairs], np.int64) for i in (0, 1)))
+
+    def count(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Where each text's terms start, their numbers in order, and how often each occurs."""
+        at, row = word_places(texts, pa.array(self.words, pa.string()))
+        known = at >= 0
+        number = np.full(len(at), -1, np.int64)
+        number[known] = self.word_no[at[known]]
+        side = known[:-1] & known[1:] & (row[:-1] == row[1:])
+        pair, pair_row = at[:-1][side] * len(self.words) + at[1:][side], row[:-1][side]
+        place = np.minimum(np.searchsorted(self.pairs, pair), max(len(self.pairs) - 1, 0))
+        hit = self.pairs[place] == pair if len(self.pairs) else np.zeros(len(pair), bool)
+        rows = np.concatenate([row[number >= 0], pair_row[hit]])
+        numbers = np.concatenate([number[number >= 0], self.pair_no[place[hit]]]) if hit.any() else number[number >= 0]
+        width = int(max(self.word_no.max(initial=-1), self.pair_no.max(initial=-1))) + 1
+        cells, tf = np.unique(rows * max(width, 1) + numbers, return_counts=True)
+        starts = np.searchsorted(cells, np.arange(len(texts) + 1) * max(width, 1))
+        numbers = (cells % max(width, 1)).astype(np.int32)
+        return pa.array(starts, pa.int32()), pa.array(numbers), pa.array(tf, pa.int32())
 
 
 def inverse_frequencies(vectors: DataFrame, vocab: DataFrame, documents: DataFrame) -> DataFrame:

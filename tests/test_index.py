@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_scale_blocks import brute_search
@@ -173,3 +174,24 @@ def test_a_task_gives_k_rows_a_question(spark, monkeypatch):
     whole = sorted(map(tuple, block_index.search_segments(asked, segments, 3).collect()))
     monkeypatch.setattr(block_index, "TASK_QUESTIONS", 7)
     assert sorted(map(tuple, block_index.search_segments(asked, segments, 3).collect())) == whole
+
+
+def test_terms_are_counted_as_numbers(spark, monkeypatch):
+    """Counts in batches of any size, with null and empty texts, unknown words, and pairs whose parts are not words of the vocabulary."""
+    numbers = {"a": 0, "b c": 1, "c": 2, "a a": 3, "c a": 4}
+    texts = [["a", "b", "c", "a", "a", "a"], None, ["x"], [], ["b"], ["c", "x", "a", "c"]]
+    starts, term_no, tf = (x.to_pylist() for x in retrieval.Numbers.of(numbers).count(pa.array(texts, pa.list_(pa.string()))))
+    got = [list(zip(term_no[i:j], tf[i:j])) for i, j in zip(starts, starts[1:])]
+    assert got == [[(0, 4), (1, 1), (2, 1), (3, 2), (4, 1)], [], [], [], [], [(0, 1), (2, 2)]]
+    assert all(len(x) <= 1 for x in retrieval.Numbers.of({}).count(pa.array([None, []], pa.list_(pa.string())))[1:])
+    monkeypatch.setattr(retrieval, "COUNT_ROWS", 2)
+    vocab = spark.createDataFrame(list(numbers.items()), "term string, term_no int")
+    termed = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "k string, t array<string>")
+    rows = retrieval.term_vectors(termed, "k", vocab).collect()
+    assert {r.k: [tuple(x) for x in r.v] for r in rows} == {"0": got[0], "5": got[5]}
+    # few names are sent to the tasks, many are joined
+    names = vocab.where("term in ('a', 'c')").select("term")
+    want = {"a a": 2, "c a": 1, "a c": 1}
+    assert dict(map(tuple, retrieval.pair_counts(termed, names).collect())) == want
+    monkeypatch.setattr(retrieval, "SMALL_NAMES", 1)
+    assert dict(map(tuple, retrieval.pair_counts(termed, names).collect())) == want
