@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from plantmetrics.session import materialise
 
 PLACE_BITS = 33  # the lower bits of Spark's increasing ids count the rows of a partition
+PART_ROWS = 500_000  # rows of a range partition, about; a task sorts them and reads nothing else
 SMALL_TABLE = 1_000_000  # rows of a table of groups and partitions that may be sent to every task
 
 Scan = Callable[[pa.RecordBatch, "Runs"], dict[str, pa.Array]]
@@ -71,13 +72,16 @@ def in_order(
 ) -> DataFrame:
     """The frame written in ``order``, with ``_at``: partition and place, increasing along the order.
 
-    The partitions are balanced by a sample of the order columns, whatever share of the rows one key or one day holds, and
-    there are as many as the session's shuffles have. They are written, since a second computation could draw other bounds.
-    ``scan`` adds the columns ``adds`` to each batch, in order.
+    The partitions are balanced by a sample of the order columns, whatever share of the rows one key or one day holds. There
+    are as many as the session's shuffles have, or more where these would get over PART_ROWS rows, so that a task's share does
+    not grow with the table. They are written, since a second computation could draw other bounds. ``scan`` adds the columns
+    ``adds`` to each batch, in order.
     """
-    placed = (
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    )
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = -(-df.count() // PART_ROWS)
+    # with a number of their own, partitions are not joined again, so few rows keep the session's
+    ranged = df.repartitionByRange(wanted, *order) if wanted > usual else df.repartitionByRange(*order)
+    placed = ranged.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     if scan is None:
         return materialise(placed, "ordered")
     added = T.StructType.fromDDL(adds)

@@ -181,3 +181,14 @@ def test_draws_with_replacement(spark):
     order = [k for _, k in sorted((hashlib.md5(f"{k}-42".encode()).hexdigest(), k) for k, _ in rows)]
     want = {d: order[int(hashlib.md5(f"{d}-42".encode()).hexdigest()[:15], 16) % 700] for d in range(300)}
     assert {r["draw"]: r["k"] for r in got} == want and len(got) == 300
+
+
+def test_parts_do_not_grow_with_the_table(spark, monkeypatch):
+    """A table of more rows gets more range partitions, not larger ones."""
+    monkeypatch.setattr(ordered, "PART_ROWS", 100)
+    rows = spark.range(3000).select((F.col("id") % 2).alias("g"), "id", F.lit(1).alias("v"))
+    placed = ordered.in_order(rows, ["g", "id"])
+    sizes = [r["count"] for r in placed.groupBy(ordered.part_of(F.col("_at"))).count().collect()]
+    assert len(sizes) > 20 and max(sizes) <= 300
+    summed = ordered.with_running_sum(rows, ["g"], ["id"], "v", "s")
+    assert summed.where(F.col("s") != F.floor(F.col("id") / 2) + 1).count() == 0
