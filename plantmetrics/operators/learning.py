@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import (
     IDF,
+    Bucketizer,
     CountVectorizer,
     NGram,
     Normalizer,
@@ -31,11 +33,15 @@ from plantmetrics.functions.relational import attach_row, with_row_index, with_t
 from plantmetrics.functions.selection import mark_smallest
 from plantmetrics.functions.text import TERM
 from plantmetrics.operators.kernel_svm import KernelSVM
+from plantmetrics.session import materialise
 
 # Model settings and feature lists.
 SEED = 42
 TREES, DEPTH = 100, 10
 BOOST_ROUNDS, BOOST_DEPTH, BOOST_STEP = 200, 5, 0.1
+MAX_BINS = 32  # Spark's own number
+QUANTILE_ERROR = 0.001
+ROWS_PER_TASK = 100_000  # binned rows that one task sums in each step of a fit
 CLASS_TREES, CLASS_BOOST_DEPTH = 200, 4
 TEXT_DEPTH, TEXT_LEAF = 30, 2  # Spark's deepest tree; a split of three rows leaves two on one side
 DOWNTIME_FEATURES = [
@@ -211,6 +217,43 @@ def fit_and_predict(frame: DataFrame, pipeline: Pipeline) -> tuple[PipelineModel
     return model, model.transform(frame.where(~F.col("is_train")))
 
 
+def fit_binned(frame: DataFrame, features: Sequence[str], target: str, estimator) -> tuple[PipelineModel, DataFrame]:
+    """Fit a boosted regressor on training rows and predict test rows; rows with equal bins are fitted as one weighted row.
+
+    The trees see a feature only by the bin it falls into, of which there are MAX_BINS at most. So each feature becomes the number
+    of its bin first, and rows with the same bins count as one row with their number as weight and their mean as target. For
+    squared errors this gives every split the same gain and every leaf the same value: what differs is the spread inside such a
+    group, which no split can change. The rounds then pass over the different rows, however often each occurs.
+    """
+    training = frame.where("is_train")
+    binned = [f"{c}_bin" for c in features]
+    bins = Bucketizer(inputCols=list(features), outputCols=binned, splitsArray=bin_edges(training, features), handleInvalid="error")
+    grouped = bins.transform(training.select(*features, target)).groupBy(*binned).agg(
+        F.avg(target).alias(target), F.count(F.lit(1)).cast("double").alias("_rows")
+    )
+    assembler = VectorAssembler(inputCols=binned, outputCol="features")
+    grouped = materialise(grouped, "binned-rows")
+    # a round is some short jobs, so few rows go to few tasks
+    grouped = grouped.coalesce(grouped.count() // ROWS_PER_TASK + 1)
+    learned = estimator.setFeaturesCol("features").setWeightCol("_rows").setMaxBins(MAX_BINS).fit(assembler.transform(grouped))
+    model = PipelineModel(stages=[bins, assembler, learned])
+    return model, model.transform(frame.where(~F.col("is_train")))
+
+
+def bin_edges(rows: DataFrame, features: Sequence[str], bins: int = MAX_BINS) -> list[list[float]]:
+    """Edges of at most ``bins`` bins per feature: one bin per value where these are few, else quantiles of nearly equal counts."""
+    edges = []
+    for c in features:
+        values = [r[0] for r in rows.select(F.col(c).cast("double")).distinct().limit(bins + 1).collect()]
+        if len(values) <= bins:
+            values = sorted(values)
+            cuts = [(a + b) / 2 for a, b in zip(values, values[1:])]
+        else:
+            cuts = rows.stat.approxQuantile(c, [i / bins for i in range(1, bins)], QUANTILE_ERROR)
+        edges.append([-math.inf, *sorted(set(cuts)), math.inf])
+    return edges
+
+
 def defect_classifiers(trees: int = CLASS_TREES, rounds: int = BOOST_ROUNDS) -> dict[str, object]:
     return {
         "random_forest": RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=DEPTH, seed=SEED),

@@ -283,8 +283,8 @@ def importance_sorted(t):
 
 @query("defect_rate_model")
 def defect_rate_model(t):
-    pipeline = learning.boosted_regressor(learning.DEFECT_FEATURES, "defect_rate")
-    _, predicted = learning.fit_and_predict(prepared_log(t), pipeline)
+    boosted = learning.boosted_regressor(learning.DEFECT_FEATURES, "defect_rate").getStages()[-1]
+    _, predicted = learning.fit_binned(prepared_log(t), learning.DEFECT_FEATURES, "defect_rate", boosted)
     return learning.regression_metrics(predicted, "defect_rate", "prediction")
 
 

@@ -206,3 +206,29 @@ def test_lines_go_to_the_brand_of_the_full_grid(spark):
     slots = planning.slot_grid(log, 1)
     lanes = planning.lanes(slots, orders.select("brand"), log).select("line_id", "brand").distinct()
     assert sorted(map(tuple, planning.line_brands(slots, orders, log).select("line_id", "brand").collect())) == sorted(map(tuple, lanes.collect()))
+
+
+# ---- boosted trees on binned rows ----------------------------------------------------------------------------------------
+
+
+def test_rows_with_equal_bins_are_fitted_as_one(spark, monkeypatch):
+    """The same predictions as from all rows with their bins, from as many rows as there are different bins."""
+    rng = np.random.default_rng(4)
+    n = 3000
+    x = np.column_stack([rng.integers(0, 4, n), rng.integers(0, 200, n), rng.integers(0, 3, n)]).astype(float)
+    y = x[:, 0] * 2 + np.sin(x[:, 1] / 20) + rng.normal(0, 0.3, n)
+    rows = [(i, *map(float, r), float(v), i % 5 > 0) for i, (r, v) in enumerate(zip(x, y))]
+    frame = spark.createDataFrame(rows, "id int, a double, b double, c double, y double, is_train boolean").cache()
+    edges = learning.bin_edges(frame.where("is_train"), "abc")
+    assert [len(e) - 1 for e in edges] == [4, 32, 3] and edges[0][1:-1] == [0.5, 1.5, 2.5]
+    fitted = []
+    real = learning.materialise
+    monkeypatch.setattr(learning, "materialise", lambda f, name: fitted.append(real(f, name)) or fitted[-1])
+    model, predicted = learning.fit_binned(frame, "abc", "y", learning.boosted_regressor("abc", "y", 5).getStages()[-1])
+    assert fitted[0].count() <= 4 * 32 * 3 and fitted[0].agg(F.sum("_rows")).first()[0] == frame.where("is_train").count()
+    binned = PipelineModel(stages=model.stages[:2]).transform(frame)
+    plain = learning.boosted_regressor("abc", "y", 5).getStages()[-1].setFeaturesCol("features").fit(binned.where("is_train"))
+    want = {r.id: r.prediction for r in plain.transform(binned.where("not is_train")).collect()}
+    got = {r.id: r.prediction for r in predicted.collect()}
+    assert got == {i: pytest.approx(v) for i, v in want.items()}
+    assert np.mean([(got[i] - y[i]) ** 2 for i in got]) < 0.5 * y.var()
