@@ -20,6 +20,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plantmetrics.session import materialise
+
 # The weight of margin errors.
 PENALTY = 10.0
 LANDMARKS = 256
@@ -123,10 +125,8 @@ class KernelSVM:
             regParam=1.0 / math.sqrt(max(n, 1)) / 100,
             maxIter=CURVE_ITERATIONS,
         )
+        # the learners get a plain table, as the trees do: their plans then hold no function and no cached relation of this session
+        mapped = materialise(kernel.transform(frame.select(self.features, self.label)), "kernel-rows")
         # a step is one short job, so few rows go to few tasks
-        mapped = kernel.transform(frame.select(self.features, self.label)).coalesce(n // ROWS_PER_TASK + 1).cache()
-        try:
-            fitted = Pipeline(stages=[machine, curve]).fit(mapped)
-        finally:
-            mapped.unpersist()
+        fitted = Pipeline(stages=[machine, curve]).fit(mapped.coalesce(n // ROWS_PER_TASK + 1))
         return PipelineModel(stages=[kernel, *fitted.stages])

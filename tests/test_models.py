@@ -232,3 +232,13 @@ def test_rows_with_equal_bins_are_fitted_as_one(spark, monkeypatch):
     got = {r.id: r.prediction for r in predicted.collect()}
     assert got == {i: pytest.approx(v) for i, v in want.items()}
     assert np.mean([(got[i] - y[i]) ** 2 for i in got]) < 0.5 * y.var()
+
+
+def test_the_machine_learns_from_a_plain_table(spark, monkeypatch):
+    """What is handed to the learners is a scan, without task functions or cached relations of the session."""
+    plans = []
+    real = kernel_svm.Pipeline.fit
+    monkeypatch.setattr(kernel_svm.Pipeline, "fit", lambda self, frame: plans.append(frame._jdf.queryExecution().toString()) or real(self, frame))
+    x, y = rings(60)
+    kernel_svm.KernelSVM(landmarks=20).fit(labelled(spark, x, y))
+    assert len(plans) == 1 and "parquet" in plans[0] and not any(n in plans[0] for n in ("InMemoryRelation", "InMemoryTableScan", "ArrowEvalPython", "UDF("))
