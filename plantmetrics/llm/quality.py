@@ -25,6 +25,7 @@ FOLDS = 4
 BINS = 3000
 RAW_RANGE = (-1.0, 2.0)
 THRESHOLD = 0.7
+JUDGED_ROWS = 1000  # texts that are judged at once
 
 UPPER_BYTES = bytes(range(65, 91))
 DIGIT_BYTES = bytes(range(48, 58))
@@ -239,8 +240,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, train: Column) -> DataFr
 def keep_good(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
     """The documents that the classifier accepts, with their columns as they were.
 
-    The texts are read a second time instead of joining the scores back, so no text is shuffled. Where no training row has a
-    label, there is nothing to judge by, and that is an error; only an empty table needs no labels.
+    The texts are read a second time instead of joining the scores back, so no text is shuffled. One pass computes statistics
+    and scores and lets accepted rows through, so a text goes to one worker, once. Where no training row has a label, there is
+    nothing to judge by, and that is an error; only an empty table needs no labels.
     """
     stats = materialise(with_statistics(docs.select("doc_id", "text")).drop("text"), "statistics")
     model = fit(label_rows(stats, labels, train))
@@ -248,6 +250,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
         if stats.isEmpty():
             return docs
         raise ValueError("no training document has a quality label, so no document can be judged")
-    packed = docs.select("text", F.struct(*[F.col(c) for c in docs.columns]).alias("document"))
-    scored = with_score(with_statistics(packed).drop("text"), model)
-    return scored.filter(F.col("score") >= THRESHOLD).select("document.*")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, JUDGED_ROWS):
+                some = batch.slice(start, JUDGED_ROWS)
+                values = np.array([statistics(t) for t in some.column("text").to_pylist()], float)
+                yield some.filter(pa.array(scores(values, shared.value) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -600,3 +600,21 @@ def test_pipeline_stages(spark, tmp_path):
     gone = {r["doc_id"] for r in documents(spark).collect()} - set(kept["quality"])
     assert np.mean([labels[d] == 0 for d in gone if d in labels]) > 0.9
     assert kept["sharding"] == kept["mixing"]
+
+
+def test_good_documents_are_kept_in_one_pass(spark, monkeypatch):
+    """The rows that the scores accept, with one pass of the texts through task functions."""
+    from plantmetrics.llm import quality
+    from plantmetrics.llm.common import in_fold
+
+    monkeypatch.setattr(quality, "JUDGED_ROWS", 7)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    train = ~in_fold(F.col("doc_id"), 4, 2)
+    kept = quality.keep_good(docs, labels, train)
+    stats = quality.with_statistics(docs.select("doc_id", "text"))
+    model = quality.fit(quality.label_rows(stats.drop("text"), labels, train))
+    wanted = quality.with_score(stats.drop("text"), model).where(F.col("score") >= quality.THRESHOLD)
+    assert kept.schema == docs.schema and 0 < kept.count() < docs.count()
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in wanted.collect()}
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
