@@ -25,11 +25,12 @@ SEGMENT_CHUNKS = 256
 TASK_QUESTIONS = 16_384  # questions of a round; their vectors, some megabytes, are sent to every task
 BLOCK_QUESTIONS = 512  # of which so many are scored together
 TASK_SEGMENTS = 16  # segments that a task unpacks at once
-MERGE_PARTS = 32  # hits of a question are merged in two levels
+TASKS_A_CORE, LEAST_TASKS = 2, 32  # tasks of a round; a task goes through any number of segments one after the other
+MERGE_PARTS = 32  # hits of a question are merged in two levels if a round has more tasks than that
 SLACK = 2e-6  # scores are rounded to six digits before they are ranked
 SEGMENT_SCHEMA = (
-    "segment long, chunk_ids array<string>, terms array<int>, largest array<double>, starts array<int>, places binary,"
-    " weights binary"
+    "segment long, chunk_ids array<string>, norms array<double>, terms array<int>, largest array<double>, starts array<int>,"
+    " places binary, weights binary"
 )
 
 
@@ -37,8 +38,13 @@ SEGMENT_SCHEMA = (
 
 
 def pack_segment(segment: int, rows: pd.DataFrame) -> dict:
-    """The postings of some chunks by term: where each term's block starts, and place and weight of every posting."""
+    """The postings of some chunks by term: where each term's block starts, and place and weight of every posting.
+
+    Weights are kept as they are before they are divided by their chunk's ``norm`` (1 without that column): a term has few
+    different ones, so they take little room on disk.
+    """
     sizes = rows["cols"].map(len).to_numpy()
+    norms = rows["norm"].to_numpy() if "norm" in rows else np.ones(len(rows))
     place = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     term, weight = np.concatenate(rows["cols"].tolist()), np.concatenate(rows["vals"].tolist())
     order = np.argsort(term, kind="stable")
@@ -47,8 +53,9 @@ def pack_segment(segment: int, rows: pd.DataFrame) -> dict:
     return {
         "segment": segment,
         "chunk_ids": rows["chunk_id"].tolist(),
+        "norms": norms.astype(np.float64),
         "terms": term[starts].astype(np.int32),
-        "largest": np.maximum.reduceat(weight, starts),
+        "largest": np.maximum.reduceat(weight / norms[place[order]], starts),
         "starts": starts.astype(np.int32),
         "places": place[order].tobytes(),
         "weights": weight.astype(np.float64).tobytes(),
@@ -60,7 +67,8 @@ def heaviest(row_cols: np.ndarray, row_vals: np.ndarray) -> int:
 
 
 def build_segments(vectors: DataFrame, chunks: int = SEGMENT_CHUNKS) -> DataFrame:
-    """One row per segment of ``vectors`` (chunk_id, cols, vals); chunks are packed in the tasks where they are.
+    """One row per segment of ``vectors`` (chunk_id, cols, vals, and norm if vals are still to be divided by it); chunks are
+    packed in the tasks where they are.
 
     Within what a task holds at once, chunks with the same most common and the same heaviest term lie side by side: the former
     tells languages apart, so that a segment has fewer terms, and for the latter its largest weights are high for few of them.
@@ -82,7 +90,8 @@ def build_segments(vectors: DataFrame, chunks: int = SEGMENT_CHUNKS) -> DataFram
                 made += 1
             yield pd.DataFrame(rows)
 
-    return vectors.select("chunk_id", "cols", "vals").mapInPandas(run, SEGMENT_SCHEMA)
+    norm = [c for c in vectors.columns if c == "norm"]
+    return vectors.select("chunk_id", "cols", "vals", *norm).mapInPandas(run, SEGMENT_SCHEMA)
 
 
 # ---- search ------------------------------------------------------------------------------------------------------------
@@ -172,7 +181,7 @@ def unpack_segment(row) -> Segment:
     place, weight = np.frombuffer(row.places, np.int32), np.frombuffer(row.weights, np.float64)
     block = np.repeat(np.arange(len(terms)), np.diff(np.r_[row.starts, len(place)]))
     table = np.zeros((len(terms), len(chunk_ids)))
-    table[block, place] = weight
+    table[block, place] = weight / np.asarray(row.norms)[place]
     return Segment(chunk_ids, terms, np.asarray(row.largest), table)
 
 
@@ -220,6 +229,11 @@ class Best:
         return self.found[0]
 
 
+def search_tasks(segments: DataFrame) -> int:
+    """Tasks of a round, at most: they give k rows a question each, so they follow the cores and not the number of segments."""
+    return max(TASKS_A_CORE * segments.sparkSession.sparkContext.defaultParallelism, LEAST_TASKS)
+
+
 def score_segments(asked: DataFrame, segments: DataFrame, k: int, together: int = BLOCK_QUESTIONS) -> DataFrame:
     """The k best chunks of each question in each task's segments: question_id, chunk_id, score; scores above 0.
 
@@ -243,8 +257,8 @@ def score_segments(asked: DataFrame, segments: DataFrame, k: int, together: int
             found = kept.prune()
             yield found.assign(question_id=block.ids[found["q"].to_numpy()])[["question_id", "chunk_id", "score"]]
 
-    columns = segments.select("chunk_ids", "terms", "largest", "starts", "places", "weights")
-    return columns.mapInPandas(run, "question_id string, chunk_id string, score double")
+    columns = segments.select("chunk_ids", "norms", "terms", "largest", "starts", "places", "weights")
+    return columns.coalesce(search_tasks(segments)).mapInPandas(run, "question_id string, chunk_id string, score double")
 
 
 def search_segments(
@@ -268,8 +282,10 @@ def search_segments(
 
     def ranked(questions: DataFrame) -> DataFrame:
         hits = score_segments(questions, segments, k, together)
-        parts = hits.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(merge_parts)))
-        merged = best(best(parts, "question_id", "part").drop("rank"), "question_id")
+        if search_tasks(segments) > merge_parts:
+            parts = hits.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(merge_parts)))
+            hits = best(parts, "question_id", "part").drop("rank", "part")
+        merged = best(hits, "question_id")
         return materialise(merged.select("question_id", "rank", "chunk_id", "score"), "hits")
 
     if rounds <= 1:

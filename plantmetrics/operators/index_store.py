@@ -4,7 +4,7 @@ Folder of an index::
 
     deltas/<id>/chunks        chunks of the documents that were new or changed at one time, with their terms
     versions/<n>/documents    the live documents: name, mark, delta that holds their chunks, number
-    versions/<n>/idf, segments, vectors
+    versions/<n>/idf, segments, counts
     versions/<n>/manifest     written last; a version without it does not exist
 
 Nothing is overwritten in place, so a reader keeps the version it has opened, and a writer that dies leaves only folders that
@@ -24,6 +24,7 @@ from plantmetrics.session import materialise
 
 MAX_DELTAS = 8  # more are merged into one
 MAX_DEAD_SHARE = 0.5  # of the stored chunks may belong to documents that are gone or changed; then all are rewritten
+COMPRESSION = "zstd"  # the index is a multiple of the texts, so it is packed well
 DELTAS_SCHEMA = "delta string, chunks long"
 
 
@@ -55,6 +56,10 @@ def _paths(spark: SparkSession, pattern: str) -> list[str]:
     return [status.getPath().toString() for status in found or []]
 
 
+def _write(frame: DataFrame, place: str) -> None:
+    frame.write.option("compression", COMPRESSION).parquet(place)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -82,8 +87,8 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> Index:
     version = known[-1] if version is None else version
     place = f"{path}/versions/{version:08d}"
     chunks = _stored_chunks(spark, path, _documents(spark, path, version), list(_deltas(spark, path, version)))
-    vectors, idf, segments = (spark.read.parquet(f"{place}/{name}") for name in ("vectors", "idf", "segments"))
-    return Index(version, retrieval.named_chunks(chunks), vectors, idf, segments)
+    counts, idf, segments = (spark.read.parquet(f"{place}/{name}") for name in ("counts", "idf", "segments"))
+    return Index(version, retrieval.named_chunks(chunks), retrieval.weigh(counts, idf, "chunk_id"), idf, segments)
 
 
 def _stored_chunks(spark: SparkSession, path: str, owners: DataFrame, deltas: list[str]) -> DataFrame:
@@ -97,7 +102,7 @@ def _write_delta(cut: DataFrame, path: str) -> tuple[str, int]:
     """Chunks with their terms in a new folder; its name and their number."""
     delta = uuid.uuid4().hex
     place = f"{path}/deltas/{delta}/chunks"
-    cut.withColumn("delta", F.lit(delta)).write.parquet(place)
+    _write(cut.withColumn("delta", F.lit(delta)), place)
     return delta, cut.sparkSession.read.parquet(place).count()
 
 
@@ -146,12 +151,21 @@ def refresh(docs: DataFrame, path: str, max_terms: int = retrieval.MAX_TERMS) ->
 
 
 def _write_weights(termed: DataFrame, place: str, max_terms: int) -> None:
-    """Inverse frequencies, vectors and segments from stored terms; no text is read."""
+    """Term counts, inverse frequencies and segments from stored terms; no text is read.
+
+    Weights are not stored a second time as vectors: they follow from the counts and the inverse frequencies.
+    """
     spark = termed.sparkSession
-    counted, idf = retrieval.count_index(termed, max_terms, lambda frame: materialise(frame, "index"))
-    idf.write.parquet(f"{place}/idf")
-    retrieval.weigh(counted, spark.read.parquet(f"{place}/idf"), "chunk_id").write.parquet(f"{place}/vectors")
-    block_index.build_segments(spark.read.parquet(f"{place}/vectors")).write.parquet(f"{place}/segments")
+
+    def keep(frame: DataFrame) -> DataFrame:
+        return materialise(frame, "index")
+
+    vocab = keep(retrieval.vocabulary(termed, max_terms, keep))
+    _write(retrieval.term_vectors(termed, "chunk_id", vocab), f"{place}/counts")
+    counted = spark.read.parquet(f"{place}/counts")
+    _write(retrieval.inverse_frequencies(counted, vocab, termed), f"{place}/idf")
+    weighed = retrieval.weigh_parts(counted, spark.read.parquet(f"{place}/idf"), "chunk_id")
+    _write(block_index.build_segments(weighed), f"{place}/segments")
 
 
 def vacuum(spark: SparkSession, path: str, keep: int = 1) -> None:

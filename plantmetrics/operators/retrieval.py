@@ -241,18 +241,21 @@ def inverse_frequencies(vectors: DataFrame, vocab: DataFrame, documents: DataFra
     )
 
 
-def weigh(vectors: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """(1 + ln tf) * idf scaled to length 1: key, cols, vals. Works inside the row, on the idf list of n numbers."""
+def weigh_parts(vectors: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    """(1 + ln tf) * idf and the length to divide it by: key, cols, vals, norm. Works inside the row, on the idf list of n numbers."""
     listed = idf.agg(F.array_sort(F.collect_list(F.struct("term_no", "idf"))).alias("l"))
     table = listed.select(F.transform("l", lambda x: x["idf"]).alias("idf"))
     raw = F.transform("v", lambda x: (1 + F.log(x["tf"])) * F.get("_i.idf", x["term_no"]))
-    framed = attach_row(vectors, table, "_i").select(key, "v", raw.alias("raw"))
-    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda total, x: total + x * x))
+    framed = attach_row(vectors, table, "_i").select(key, F.col("v.term_no").alias("cols"), raw.alias("vals"))
+    return framed.withColumn("norm", F.sqrt(F.aggregate("vals", F.lit(0.0), lambda total, x: total + x * x)))
+
+
+def weigh(vectors: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    """(1 + ln tf) * idf scaled to length 1: key, cols, vals."""
     # the norm is handed over as an array: named inside the lambda it would be computed for every element
-    norms = F.array_repeat(norm, F.size("raw"))
-    return framed.select(
-        key, F.col("v.term_no").alias("cols"), F.zip_with("raw", norms, lambda x, n: x / n).alias("vals")
-    )
+    norms = F.array_repeat("norm", F.size("vals"))
+    parts = weigh_parts(vectors, idf, key)
+    return parts.select(key, "cols", F.zip_with("vals", norms, lambda x, n: x / n).alias("vals"))
 
 
 def count_index(

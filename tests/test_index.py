@@ -195,3 +195,41 @@ def test_terms_are_counted_as_numbers(spark, monkeypatch):
     assert dict(map(tuple, retrieval.pair_counts(termed, names).collect())) == want
     monkeypatch.setattr(retrieval, "SMALL_NAMES", 1)
     assert dict(map(tuple, retrieval.pair_counts(termed, names).collect())) == want
+
+
+def test_weights_are_stored_once_and_packed(spark, tmp_path):
+    """A posting takes few bytes on disk: counts and undivided weights have few different values, and vectors follow from them."""
+    rng = random.Random(1)
+    words = [f"word{i}" for i in range(1500)]
+    docs = {f"doc{i:04d}.txt": " ".join(rng.choice(words) for _ in range(300)) for i in range(500)}
+    path = tmp_path / "index"
+    index_store.refresh(frame(spark, docs), str(path))
+    found = index_store.load(spark, str(path))
+    postings = found.vectors.select(F.sum(F.size("cols"))).first()[0]
+    stored = sum(f.stat().st_size for f in path.glob("versions/*/*/*.parquet"))
+    assert stored < 10 * postings
+    # the segments give the same weights as the vectors, to the last digit
+    vectors = {r.chunk_id: dict(zip(r.cols, r.vals)) for r in found.vectors.collect()}
+    for row in found.segments.collect():
+        segment = block_index.unpack_segment(row)
+        assert (segment.table.max(axis=1) == segment.largest).all()
+        for i, chunk in enumerate(segment.chunk_ids):
+            held = np.flatnonzero(segment.table[:, i])
+            assert dict(zip(segment.terms[held].tolist(), segment.table[held, i].tolist())) == vectors.pop(chunk)
+    assert not vectors
+
+
+def test_tasks_of_a_round_do_not_grow_with_the_segments(spark, monkeypatch):
+    """So what a round exchanges grows with its questions only; the hits are the same with any number of tasks."""
+    chunks, questions = clustered(spark)
+    c = spark.createDataFrame(chunks, "chunk_id string, text string").repartition(12)
+    q = spark.createDataFrame(questions, "question_id string, question string")
+    vectors, idf = retrieval.build_index(c, max_terms=400)
+    segments = block_index.build_segments(vectors, 10).cache()
+    asked = retrieval.question_vectors(q, idf).cache()
+    whole = sorted(map(tuple, block_index.search_segments(asked, segments, 3).collect()))
+    monkeypatch.setattr(block_index, "TASKS_A_CORE", 0)
+    monkeypatch.setattr(block_index, "LEAST_TASKS", 3)
+    assert block_index.score_segments(asked, segments, 3).rdd.getNumPartitions() == 3
+    for parts in (2, 32):
+        assert sorted(map(tuple, block_index.search_segments(asked, segments, 3, merge_parts=parts).collect())) == whole
