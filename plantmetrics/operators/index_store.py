@@ -134,8 +134,9 @@ def refresh(docs: DataFrame, path: str, max_terms: int = retrieval.MAX_TERMS) ->
     deltas[delta] = deltas_size
     fresh = now.join(kept.select("file_name"), "file_name", "left_anti").withColumn("delta", F.lit(delta))
     live = materialise(kept.select("file_name", "mark", "delta").unionByName(fresh), "live-documents")
-    n_live = _stored_chunks(spark, path, live, list(deltas)).count()
-    stored = sum(deltas.values())
+    alive = {r["delta"]: r["count"] for r in _stored_chunks(spark, path, live, list(deltas)).groupBy("delta").count().collect()}
+    deltas = {d: size for d, size in deltas.items() if d in alive or d == delta}  # what is dead as a whole is left out
+    n_live, stored = sum(alive.values()), sum(deltas.values())
     if len(deltas) > MAX_DELTAS or stored - n_live > MAX_DEAD_SHARE * stored:
         merged, size = _write_delta(_stored_chunks(spark, path, live, list(deltas)).drop("mark"), path)
         live, deltas = live.withColumn("delta", F.lit(merged)), {merged: size}
