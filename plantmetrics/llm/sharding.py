@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plantmetrics.session import materialise
+from plantmetrics.functions.ordered import in_order, part_of, place_of
+from plantmetrics.functions.relational import attach_row
 
 
 def shard(docs: DataFrame, shards: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
     """Cut the documents, in the order of doc_id, into ``shards`` runs of nearly equal bytes.
 
-    One range exchange puts the rows in order. Each partition's total is summed, the totals (one row per partition) are
-    turned into offsets, and a window inside each partition adds its own running sum, so no task sees all rows. A document
-    goes to the shard in which its middle byte lies, so a shard misses the equal target by less than one document.
+    One range exchange puts the rows in order; it is the only time that texts move. Each partition's total is summed, the totals
+    (one row per partition) are turned into offsets, and a window over places and sizes inside each partition adds its own
+    running sum, so no task sees all rows. This tells the place at which each shard begins, which every row is compared with. A
+    document goes to the shard in which its middle byte lies, so a shard misses the equal target by less than one document.
 
     Returns doc_id, size (UTF-8 bytes + 1), text_crc32, law ``bytes``, shard, slot (from 0 in each shard) and grown_shard
     (null), and with ``carry`` those columns of the documents in the struct ``document``, whatever their names.
@@ -32,11 +34,10 @@ def shard(docs: DataFrame, shards: int = 16, carry: tuple[str, ...] = ()) -> Dat
     if carry:
         columns.append(F.struct(*[F.col(c) for c in carry]).alias("document"))
     order = ["doc_id", "size", "text_crc32"]
-    parts = docs.select(*columns).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    rows = materialise(parts, "shard-rows")
+    rows = in_order(docs.select(*columns), order).withColumn("part", part_of(F.col("_at")))
 
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
+    totals = F.broadcast(  # one row per range partition
         rows.groupBy("part")
         .agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
         .select(
@@ -46,21 +47,28 @@ def shard(docs: DataFrame, shards: int = 16, carry: tuple[str, ...] = ()) -> Dat
             F.sum("bytes").over(Window.partitionBy()).alias("bytes_total"),
         )
     )
-    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = (
-        rows.join(totals, "part")
-        .withColumn("position", F.col("rows_before") + F.count(F.lit(1)).over(inside) - 1)
+    position = F.col("rows_before") + place_of(F.col("_at"))
+    inside = Window.partitionBy("part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = (
+        rows.select("part", "_at", "size")
+        .join(totals, "part")
         .withColumn("end", F.col("bytes_before") + F.sum("size").over(inside))
         .withColumn("shard", F.expr(f"cast((2 * end - size) * {shards} div (2 * bytes_total) as int)"))
+        .groupBy("shard")
+        .agg(F.min("_at").alias("at"), F.min(position).alias("first"))
+        .agg(F.sort_array(F.collect_list(F.struct("at", "shard", "first"))).alias("all"))
     )
-    first = placed.groupBy("shard").agg(F.min("position").alias("first"))
-    return placed.join(F.broadcast(first), "shard").select(
+    # the shards' first places are compared with the rows where they are, so no text is exchanged again
+    begun = attach_row(rows.join(totals, "part"), starts, "_starts").withColumn(
+        "_own", F.element_at(F.filter("_starts.all", lambda s: s["at"] <= F.col("_at")), -1)
+    )
+    return begun.select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
-        "shard",
-        (F.col("position") - F.col("first")).alias("slot"),
+        F.col("_own.shard").alias("shard"),
+        (position - F.col("_own.first")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         *(["document"] if carry else []),
     )

@@ -515,6 +515,30 @@ def test_shards_are_native(spark):
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", plan)
 
 
+def test_texts_are_exchanged_once_for_shards(spark):
+    """In the range exchange, before the rows are written; what reads them only exchanges places and sizes."""
+    docs = documents(spark)
+    placed = sharding.shard(docs, 4, carry=tuple(docs.columns))
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = placed._jdf.queryExecution().explainString(mode)
+    moved = re.findall(r"\) (?:Broadcast)?Exchange\s*\nInput \[\d+\]: \[(.*)\]", plan)
+    assert moved and not any("document" in columns for columns in moved)
+
+
+def test_shards_of_equal_rows_and_ids(spark):
+    """Rows that repeat an id, or all of a row, are each placed once, in slots without gaps; so is a table of one row."""
+    rows = [(i % 5 if i % 7 else None, "x" * (i % 4) if i % 3 else "same") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sharding.shard(docs, 3, carry=("doc_id", "text")).collect()
+    assert collections.Counter((r["document"]["doc_id"], r["document"]["text"]) for r in got) == collections.Counter(rows)
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert sorted(slots) == [0, 1, 2] and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert [(r["shard"], r["slot"]) for r in sharding.shard(docs.limit(1), 3).collect()] == [(1, 0)]
+    assert sharding.shard(docs.limit(0), 3).collect() == []
+
+
 def test_written_shards(spark, tmp_path):
     docs = documents(spark)
     sharding.write_shards(sharding.shard(docs, 4, carry=tuple(docs.columns)), str(tmp_path / "shards"))
