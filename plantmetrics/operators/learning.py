@@ -41,7 +41,7 @@ TREES, DEPTH = 100, 10
 BOOST_ROUNDS, BOOST_DEPTH, BOOST_STEP = 200, 5, 0.1
 MAX_BINS = 32  # Spark's own number
 QUANTILE_ERROR = 0.001
-ROWS_PER_TASK = 100_000  # binned rows that one task sums in each step of a fit
+ROWS_PER_TASK = 100_000  # rows that one task sums in each step of a fit
 CLASS_TREES, CLASS_BOOST_DEPTH = 200, 4
 TEXT_DEPTH, TEXT_LEAF = 30, 2  # Spark's deepest tree; a split of three rows leaves two on one side
 DOWNTIME_FEATURES = [
@@ -295,6 +295,16 @@ class Sublinear(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, D
         return dataset.withColumn(self.getOutputCol(), array_to_vector(damped))
 
 
+def deal_rows(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt over all cores by their key, at most about ROWS_PER_TASK to a task, and in its order.
+
+    A forest passes over its rows once per level or more, and a small written table would be a single task in each pass. In
+    this order the same rows are drawn each time.
+    """
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // ROWS_PER_TASK + 1)
+    return rows.repartition(tasks, key).sortWithinPartitions(key)
+
+
 def text_classifier(text: str, label: str, max_terms: int = 500, trees: int = CLASS_TREES) -> Pipeline:
     """TF-IDF with damped counts over terms and pairs, then a deep forest with class weights."""
     damped = Sublinear()
@@ -317,6 +327,7 @@ def text_classifier(text: str, label: str, max_terms: int = 500, trees: int = CL
             numTrees=trees,
             maxDepth=TEXT_DEPTH,
             minInstancesPerNode=TEXT_LEAF,
+            cacheNodeIds=True,  # each row remembers its nodes, instead of going down all trees again for every level
             seed=SEED,
         ),
     ]

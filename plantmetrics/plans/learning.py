@@ -209,7 +209,8 @@ def classified_texts(t):
     lines = t.tariff_lines.select("line_no", "product_description", "correct_hs_code")
     split = learning.stratified_split(lines, "correct_hs_code", "line_no")
     frame = materialise(learning.with_class_weight(split, "correct_hs_code"), "texts")
-    model = learning.text_classifier("product_description", "correct_hs_code").fit(frame.where("is_train"))
+    training = learning.deal_rows(frame.where("is_train"), "line_no")
+    model = learning.text_classifier("product_description", "correct_hs_code").fit(training)
     return model, model.transform(frame.where(~F.col("is_train")))
 
 

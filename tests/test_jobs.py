@@ -133,3 +133,20 @@ def test_topk_classes(spark):
     row = learning.top_classes(frame.withColumn("probability", array_to_vector("p")), "id", ["a", "b", "c"]).first()
     assert (row.best, row.confidence) == ("b", 0.6)
     assert [(a.code, a.confidence) for a in row.alternatives] == [("c", 0.395)]
+
+
+def test_training_texts_are_dealt_over_all_cores(spark, tmp_path, monkeypatch):
+    """One small file is one task of each pass otherwise; the rows stay the same."""
+    rows = [(i, f"{'steel' if i % 2 else 'wood'} part{i % 5}", "ab"[i % 2], 1.0) for i in range(120)]
+    schema = "line_no long, words string, code string, weight double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "texts"))
+    frame = spark.read.parquet(str(tmp_path / "texts"))
+    dealt = learning.deal_rows(frame, "line_no")
+    parts = dealt.rdd.glom().map(len).collect()
+    assert len(parts) >= spark.sparkContext.defaultParallelism and max(parts) < 60
+    assert sorted(map(tuple, dealt.collect())) == rows
+    monkeypatch.setattr(learning, "ROWS_PER_TASK", 5)
+    assert learning.deal_rows(frame, "line_no").rdd.getNumPartitions() == 25
+    model = learning.text_classifier("words", "code", trees=3).fit(dealt)
+    assert model.transform(frame).where("label_no = prediction").count() == 120
+    assert model.stages[-1].getCacheNodeIds()
