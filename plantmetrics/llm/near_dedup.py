@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plantmetrics.llm.common import LOWER_BYTES, mix
+from plantmetrics.llm.common import LOWER_BYTES, mix, row_filter
 from plantmetrics.llm.components import components
 from plantmetrics.session import materialise
 
@@ -190,9 +190,14 @@ def close_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """node and shingle hashes of the wanted nodes, from the texts of the rows that stand for them."""
-    rows = wanted.join(classes, "node").select("node", "row.doc_id", "row.text_hash")
-    texts = keyed_rows(docs).alias("t").join(
+    """node and shingle hashes of the wanted nodes, from the texts of the rows that stand for them.
+
+    A filter of the wanted rows goes first, so the exchange moves their texts and few others. Repeated rows are dropped as
+    texts, which are shorter than their hashes.
+    """
+    rows = materialise(wanted.join(classes, "node").select("node", "row.doc_id", "row.text_hash"), "wanted-rows")
+    is_wanted = row_filter(rows.select("doc_id", "text_hash"))
+    texts = keyed_rows(docs).filter(is_wanted("doc_id", "text_hash")).alias("t").join(
         rows.alias("r"),
         F.col("t.text_hash").eqNullSafe(F.col("r.text_hash")) & F.col("t.doc_id").eqNullSafe(F.col("r.doc_id")),
     )
@@ -207,8 +212,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, words: int)
                 [batch.column("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["node", "hashes"]
             )
 
-    found = texts.select("r.node", "t.text").mapInArrow(run, "node long, hashes array<long>")
-    return materialise(found.dropDuplicates(["node"]), "shingle-sets")
+    once = texts.select("r.node", "t.text").dropDuplicates(["node"])
+    return materialise(once.mapInArrow(run, "node long, hashes array<long>"), "shingle-sets")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -472,7 +477,7 @@ def keep_one(
     The first document has the group's smallest doc_id and, among rows of that id or in a group without ids, the smallest
     text_hash. Rows without an id that have one text leave one row. Rows that repeat an id and a text stay together or go
     together; without ``repeats`` they leave one row too. Of equal rows, the one whose other columns come first as JSON stays.
-    Texts without words are in no group and all stay.
+    Texts without words are in no group and all stay. Only rows that may have to go, told by a filter, are exchanged whole.
     """
     found = materialise(grouped(docs, words, numerator, denominator), "near-groups")
     first = found.filter("kept and class is not null").groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
@@ -498,9 +503,12 @@ def keep_one(
     def same(other: str):
         return F.col("d.doc_id").eqNullSafe(F.col(f"{other}.doc_id")) & F.col("d.text_hash").eqNullSafe(F.col(f"{other}.text_hash"))
 
-    alone = packed.join(gone.union(several).alias("g"), same("g"), "left_anti").select("document")
+    named = gone.union(several)
+    may_go = row_filter(named)("doc_id", "text_hash")
+    suspects = packed.filter(may_go).alias("d")
+    alone = suspects.join(named.alias("g"), same("g"), "left_anti").union(packed.filter(~may_go)).select("document")
     if several.isEmpty():
         return alone.select("document.*")
     rest = F.to_json(F.struct(F.lit(0).alias("-"), *[F.col(f"d.document.`{c}`") for c in docs.columns if c != "text"]))
-    one = packed.join(several.alias("s"), same("s"), "left_semi").groupBy("doc_id", "text_hash")
+    one = suspects.join(several.alias("s"), same("s"), "left_semi").groupBy("doc_id", "text_hash")
     return alone.union(one.agg(F.min_by("document", rest).alias("document")).select("document")).select("document.*")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plantmetrics.llm import (
+    common,
     decontamination,
     language_id,
     line_dedup,
@@ -164,6 +165,74 @@ def test_one_row_of_each_group(spark, docs):
     assert sorted(str(r["doc_id"]) for r in apart.collect()) == ["1", "2", "3", "4", "5", "6", "None"]
 
 
+def exchanged_rows(frame):
+    """The rows that the exchanges of a collected frame wrote, and what it gave."""
+    got = frame.collect()
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        below = node.children()
+        own = node.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+        return own + sum(walk(below.apply(i)) for i in range(below.size()))
+
+    return walk(frame._jdf.queryExecution().executedPlan()), got
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def lone_texts_and_copies(spark):
+    texts = [" ".join(f"word{i}_{j}" for j in range(30)) for i in range(400)]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(1000 + i, texts[i] + " end", "y") for i in range(8)]
+    rows += [(None, texts[399] + " end", "z"), (1000, texts[0] + " end", "y")]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def test_texts_without_copies_are_not_exchanged(spark, no_broadcasts):
+    """Of 410 rows, 10 go: only they, what the filter takes for them, and the ids of those that go are exchanged."""
+    rows, frame = lone_texts_and_copies(spark)
+    moved, got = exchanged_rows(near_dedup.keep_one(frame, 2, repeats=False))
+    assert sorted(tuple(r) for r in got) == rows[:400]
+    assert moved < 100
+
+
+def test_sets_are_taken_from_the_wanted_texts_alone(spark, no_broadcasts, monkeypatch):
+    rows, frame = lone_texts_and_copies(spark)
+    classes = near_dedup.classes_of(near_dedup.sign(frame, 2))
+    wanted = classes.filter("first_doc < 8 or first_doc is null").select("node")
+    numbers = {r["node"]: r["row"] for r in classes.join(wanted, "node").collect()}
+    monkeypatch.setattr(near_dedup, "materialise", lambda df, name: df)
+    moved, got = exchanged_rows(near_dedup.sets_of(frame, wanted, classes, 2))
+    texts = {r[0]: r[1] for r in rows}
+    assert len(got) == len(numbers) == 9
+    for r in got:
+        assert r["hashes"] == near_dedup.shingle_hashes(texts[numbers[r["node"]]["doc_id"]], 2, {}).view("int64").tolist()
+    # The wanted numbers and the classes meet in an exchange of their own, of 9 and 409 rows.
+    assert moved < 409 + 9 + 100
+
+
+@pytest.mark.parametrize("most", [64, 1 << 25])
+def test_row_filter_holds_for_its_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_BITS", most)
+    frame = spark.range(3000).select(F.when(F.col("id") > 0, F.col("id")).alias("doc_id"), F.xxhash64("id").alias("text_hash"))
+    few, none = (frame.filter(x) for x in ("coalesce(doc_id, 0) % 50 = 0", "false"))
+    holds = common.row_filter(few)("doc_id", "text_hash")
+    passed = {r["doc_id"] for r in frame.filter(holds).collect()}
+    assert passed >= {r["doc_id"] for r in few.collect()} and None in passed
+    assert len(passed) + frame.filter(~holds).count() == 3000
+    assert len(passed) < 60 + 3000 / 10 or most == 64
+    assert frame.filter(common.row_filter(none)("doc_id", "text_hash")).count() == 0
+
+
 def test_filters_keep_the_columns(docs, tables):
     for kept in (
         decontamination.decontaminate(docs, tables["items"]),
