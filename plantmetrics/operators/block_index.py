@@ -2,8 +2,10 @@
 
 A segment holds the postings of some hundred chunks, term by term; the postings of one term in one segment are a block. The
 segments stay where they are, and questions come to them in rounds of bounded size. A task bounds from above what a question can
-score in a segment, from the blocks' largest weights alone, and scores it only if this reaches the k-th best score that the task
-has found for the question. No row is made for a pair of a question and a segment: a task gives k rows a question.
+score in some segments, from the blocks' largest weights alone, and scores it only if this reaches the k-th best score that the
+task has found for the question. Scores are first worked out in single precision, for terms that many questions share by a product
+of matrices and for the others from the few rows that a question names; what may be among the k best is scored again in double
+precision. No row is made for a pair of a question and a segment: a task gives k rows a question.
 """
 
 from __future__ import annotations
@@ -24,10 +26,14 @@ from plantmetrics.session import materialise
 SEGMENT_CHUNKS = 256
 TASK_QUESTIONS = 16_384  # questions of a round; their vectors, some megabytes, are sent to every task
 BLOCK_QUESTIONS = 512  # of which so many are scored together
-TASK_SEGMENTS = 16  # segments that a task unpacks at once
+SHARED = 0.08  # of a block's questions have a term, and it is a column of their matrix
+TASK_SEGMENTS = 16  # segments that a task unpacks at once,
+TILE_CELLS = 8_000_000  # if their table has no more cells than that; a cell takes 12 bytes
+EXACT_PAIRS = 100_000  # pairs of a question and a chunk that are scored again at once
 TASKS_A_CORE, LEAST_TASKS = 2, 32  # tasks of a round; a task goes through any number of segments one after the other
 MERGE_PARTS = 32  # hits of a question are merged in two levels if a round has more tasks than that
 SLACK = 2e-6  # scores are rounded to six digits before they are ranked
+SMALLEST = 1e-7  # what is lower is rounded to 0
 SEGMENT_SCHEMA = (
     "segment long, chunk_ids array<string>, norms array<double>, terms array<int>, largest array<double>, starts array<int>,"
     " places binary, weights binary"
@@ -138,35 +144,46 @@ def bound_segments(asked: DataFrame, maxima: DataFrame, k: int) -> DataFrame:
 
 
 class Block(NamedTuple):
-    """Questions that are scored together: their ids, the terms of them all, and row, place among the terms and weight of each."""
+    """Questions that are scored together: their ids, and their terms and weights one after the other.
+
+    Terms that a good part of the block shares are columns of ``matrix``; the rest of each question's terms stay a list.
+    """
 
     ids: np.ndarray
+    starts: np.ndarray  # of each question's terms, and the end
     terms: np.ndarray
-    rows: np.ndarray
-    places: np.ndarray
     weights: np.ndarray
-
-    def matrix(self) -> np.ndarray:
-        out = np.zeros((len(self.ids), len(self.terms)))
-        out[self.rows, self.places] = self.weights
-        return out
+    shared: np.ndarray
+    matrix: np.ndarray  # questions x shared terms
+    rest_starts: np.ndarray
+    rest_terms: np.ndarray
+    rest_weights: np.ndarray
+
+
+def question_block(some: pd.DataFrame) -> Block:
+    sizes = some["cols"].map(len).to_numpy()
+    terms, weights = np.concatenate(some["cols"].tolist()).astype(np.int64), np.concatenate(some["vals"].tolist())
+    row = np.repeat(np.arange(len(some)), sizes)
+    known, place, uses = np.unique(terms, return_inverse=True, return_counts=True)
+    common = uses >= SHARED * len(some)
+    column = np.cumsum(common) - 1
+    dense = common[place]
+    matrix = np.zeros((len(some), int(common.sum())), np.float32)
+    matrix[row[dense], column[place[dense]]] = weights[dense]
+    rest_starts = np.r_[0, np.cumsum(np.bincount(row[~dense], minlength=len(some)))]
+    rest = terms[~dense], weights[~dense].astype(np.float32)
+    return Block(some["question_id"].to_numpy(), np.r_[0, np.cumsum(sizes)], terms, weights, known[common], matrix, rest_starts, *rest)
 
 
 def question_blocks(asked: DataFrame, together: int = BLOCK_QUESTIONS) -> list[Block]:
-    """The questions of a round in blocks; those with the same most common terms side by side, so that a block has few terms."""
+    """The questions of a round in blocks; those with the same most common terms side by side, so that a block shares terms."""
     table = asked.select("question_id", "cols", "vals").toArrow().combine_chunks()
     rows = pd.DataFrame({name: table.column(name).to_numpy() for name in table.column_names})
+    rows = rows[rows["cols"].map(len) > 0]
     for i in range(3):
         rows[i] = [int(c[i]) if len(c) > i else -1 for c in rows["cols"]]
     rows = rows.sort_values([0, 1, 2, "question_id"])
-    blocks = []
-    for start in range(0, len(rows), together):
-        some = rows[start : start + together]
-        sizes = some["cols"].map(len).to_numpy()
-        terms, places = np.unique(np.concatenate(some["cols"].tolist()), return_inverse=True)
-        row = np.repeat(np.arange(len(some)), sizes)
-        blocks.append(Block(some["question_id"].to_numpy(), terms, row, places, np.concatenate(some["vals"].tolist())))
-    return blocks
+    return [question_block(rows[start : start + together]) for start in range(0, len(rows), together)]
 
 
 class Segment(NamedTuple):
@@ -185,39 +202,113 @@ def unpack_segment(row) -> Segment:
     return Segment(chunk_ids, terms, np.asarray(row.largest), table)
 
 
+class Tile(NamedTuple):
+    """Segments that are scored together as one table; its last row is 0 and stands for all terms that it lacks."""
+
+    chunk_ids: np.ndarray
+    row: np.ndarray  # of each term by its number; the last entry is for all higher numbers
+    largest: np.ndarray
+    table: np.ndarray  # rows of terms x chunks
+    rough: np.ndarray  # the same in single precision
+
+    def rows(self, terms: np.ndarray) -> np.ndarray:
+        return self.row[np.minimum(terms, len(self.row) - 1)]
+
+
+def join_segments(segments: list[Segment]) -> Tile:
+    terms = np.unique(np.concatenate([s.terms for s in segments]))
+    row = np.full(int(terms[-1]) + 2, len(terms))
+    row[terms] = np.arange(len(terms))
+    table = np.zeros((len(terms) + 1, sum(len(s.chunk_ids) for s in segments)))
+    largest, start = np.zeros(len(terms) + 1), 0
+    for s in segments:
+        own = row[s.terms]
+        table[own, start : start + len(s.chunk_ids)] = s.table
+        largest[own] = np.maximum(largest[own], s.largest)
+        start += len(s.chunk_ids)
+    return Tile(np.concatenate([s.chunk_ids for s in segments]), row, largest, table, table.astype(np.float32))
+
+
+def tiles(batch: pd.DataFrame) -> Iterator[Tile]:
+    """Neighbouring segments in tiles of at most TASK_SEGMENTS, and of TILE_CELLS cells if it is more than one."""
+    some, terms, chunks = [], np.array([], np.int64), 0
+    for row in batch.itertuples(index=False):
+        both = np.union1d(terms, row.terms)
+        if some and (len(some) == TASK_SEGMENTS or len(both) * (chunks + len(row.chunk_ids)) > TILE_CELLS):
+            yield join_segments(some)
+            some, both, chunks = [], np.asarray(row.terms), 0
+        some.append(unpack_segment(row))
+        terms, chunks = both, chunks + len(row.chunk_ids)
+    if some:
+        yield join_segments(some)
+
+
 class Best:
     """The k best chunks that a task has found for each question of a block."""
 
-    def __init__(self, questions: int, k: int) -> None:
-        self.k = k
-        self.top = np.zeros((questions, k))  # the k best scores
-        self.floor = np.zeros(questions)  # the lowest of them, 0 as long as there are fewer
+    def __init__(self, block: Block, k: int) -> None:
+        self.block, self.k = block, k
+        self.top = np.zeros((len(block.ids), k))  # the k best scores
+        self.floor = np.zeros(len(block.ids))  # the lowest of them, 0 as long as there are fewer
         self.found = [pd.DataFrame({"q": np.array([], np.int64), "score": np.array([], float), "chunk_id": np.array([], object)})]
-
-    def look(self, matrix: np.ndarray, terms: np.ndarray, segment: Segment) -> None:
-        """Score the questions whose bound in the segment reaches their floor."""
-        _, ours, theirs = np.intersect1d(terms, segment.terms, assume_unique=True, return_indices=True)
-        if not len(ours):
-            return
-        weights = matrix[:, ours]
-        bound = weights @ segment.largest[theirs]
-        rows = np.flatnonzero((bound > 0) & (bound >= self.floor - SLACK))
-        if not len(rows):
+        self.rows = 0
+
+    def look(self, tile: Tile) -> None:
+        """Score the questions whose bound in the tile reaches their floor: all chunks in single precision, and in double
+        precision those that may then be among the k best."""
+        bound = np.add.reduceat(self.block.weights * tile.largest[tile.rows(self.block.terms)], self.block.starts[:-1])
+        asked = np.flatnonzero((bound > 0) & (bound >= self.floor - SLACK))
+        if not len(asked):
             return
-        weights = weights if len(rows) == len(weights) else weights[rows]
-        raw = weights @ segment.table[theirs]
-        near = raw.max(axis=1) >= self.floor[rows] - SLACK
-        rows, scores = rows[near], np.round(raw[near], 6)
-        if not len(rows):
-            return
-        keep = min(self.k, scores.shape[1])
-        high = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep :]
-        least = np.maximum(high.min(axis=1), self.floor[rows])
-        q, c = np.nonzero((scores >= least[:, None]) & (scores > 0))
-        self.found.append(pd.DataFrame({"q": rows[q], "score": scores[q, c], "chunk_id": segment.chunk_ids[c]}))
-        both = np.concatenate([self.top[rows], high], axis=1)
-        self.top[rows] = np.partition(both, keep, axis=1)[:, keep:]
-        self.floor[rows] = self.top[rows].min(axis=1)
+        rough = self._rough(tile, asked)
+        # A sum of n products is off by n + 2 roundings of the sum of their sizes at most, which the bound is not below.
+        slack = SLACK + (np.diff(self.block.starts)[asked] + 4) * np.finfo(np.float32).eps * bound[asked]
+        least, new = self.floor[asked], np.flatnonzero(self.floor[asked] == 0)
+        if len(new):
+            keep = rough.shape[1] - min(self.k, rough.shape[1])
+            least[new] = np.partition(rough[new], keep, axis=1)[:, keep] - slack[new]
+        least = np.maximum(least - slack, SMALLEST).astype(np.float32)
+        near = np.flatnonzero(rough.max(axis=1) >= least)
+        q, c = np.divmod(np.flatnonzero(rough[near] >= least[near, None]), rough.shape[1])
+        q = asked[near[q]]
+        for start in range(0, len(q), EXACT_PAIRS):
+            self._keep(tile, q[start : start + EXACT_PAIRS], c[start : start + EXACT_PAIRS])
+
+    def _rough(self, tile: Tile, asked: np.ndarray) -> np.ndarray:
+        block, none = self.block, len(tile.table) - 1
+        shared = tile.rows(block.shared)
+        held = shared < none
+        out = block.matrix[np.ix_(asked, held)] @ tile.rough[shared[held]]
+        rest = tile.rows(block.rest_terms)
+        room = np.empty((int(np.diff(block.rest_starts).max()), out.shape[1]), np.float32)
+        for line, i in zip(out, asked, strict=True):
+            start, end = block.rest_starts[i], block.rest_starts[i + 1]
+            if end > start:
+                # the mode spares a second copy, as no index is out of range
+                np.take(tile.rough, rest[start:end], axis=0, out=room[: end - start], mode="clip")
+                line += block.rest_weights[start:end] @ room[: end - start]
+        return out
+
+    def _keep(self, tile: Tile, q: np.ndarray, c: np.ndarray) -> None:
+        """Add pairs of a question and a chunk whose exact score reaches the floor, and raise the floors."""
+        block = self.block
+        sizes = (block.starts[1:] - block.starts[:-1])[q]
+        firsts = np.r_[0, np.cumsum(sizes)[:-1]]
+        at = np.repeat(block.starts[q] - firsts, sizes) + np.arange(sizes.sum())
+        products = block.weights[at] * tile.table[tile.rows(block.terms[at]), np.repeat(c, sizes)]
+        score = np.round(np.add.reduceat(products, firsts), 6)
+        good = (score > 0) & (score >= self.floor[q])
+        q, c, score = q[good], c[good], score[good]
+        every, scores = np.r_[q, np.repeat(np.arange(len(block.ids)), self.k)], np.r_[score, self.top.ravel()]
+        order = np.lexsort((-scores, every))
+        counts = np.bincount(every, minlength=len(block.ids))
+        self.top = scores[order][(np.cumsum(counts) - counts)[:, None] + np.arange(self.k)]
+        self.floor = self.top[:, -1].copy()
+        good = score >= self.floor[q]
+        self.found.append(pd.DataFrame({"q": q[good], "score": score[good], "chunk_id": tile.chunk_ids[c[good]]}))
+        self.rows += int(good.sum())
+        if self.rows > 2 * self.top.size:
+            self.prune()
 
     def prune(self) -> pd.DataFrame:
         """The k best of what was found, ties to the lower id; all else is forgotten."""
@@ -226,6 +317,7 @@ class Best:
             every = every[every["score"].to_numpy() >= self.floor[every["q"].to_numpy()]]
             every = every.sort_values(["q", "score", "chunk_id"], ascending=[True, False, True])
             self.found = [every.groupby("q", sort=False).head(self.k)]
+            self.rows = 0
         return self.found[0]
 
 
@@ -240,22 +332,16 @@ def score_segments(asked: DataFrame, segments: DataFrame, k: int, together: int
     The segments are read where they lie; ``asked`` is collected, so it is a round of at most about TASK_QUESTIONS questions.
     """
     shared = asked.sparkSession.sparkContext.broadcast(question_blocks(asked, together))
-    at_once = TASK_SEGMENTS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        blocks = shared.value
-        best = [Best(len(block.ids), k) for block in blocks]
+        best = [Best(block, k) for block in shared.value]
         for batch in batches:
-            for start in range(0, len(batch), at_once):
-                some = [unpack_segment(row) for row in batch[start : start + at_once].itertuples(index=False)]
-                for block, kept in zip(blocks, best, strict=True):
-                    matrix = block.matrix()
-                    for segment in some:
-                        kept.look(matrix, block.terms, segment)
-                    kept.prune()
-        for block, kept in zip(blocks, best, strict=True):
+            for tile in tiles(batch):
+                for kept in best:
+                    kept.look(tile)
+        for kept in best:
             found = kept.prune()
-            yield found.assign(question_id=block.ids[found["q"].to_numpy()])[["question_id", "chunk_id", "score"]]
+            yield found.assign(question_id=kept.block.ids[found["q"].to_numpy()])[["question_id", "chunk_id", "score"]]
 
     columns = segments.select("chunk_ids", "norms", "terms", "largest", "starts", "places", "weights")
     return columns.coalesce(search_tasks(segments)).mapInPandas(run, "question_id string, chunk_id string, score double")

@@ -233,3 +233,44 @@ def test_tasks_of_a_round_do_not_grow_with_the_segments(spark, monkeypatch):
     assert block_index.score_segments(asked, segments, 3).rdd.getNumPartitions() == 3
     for parts in (2, 32):
         assert sorted(map(tuple, block_index.search_segments(asked, segments, 3, merge_parts=parts).collect())) == whole
+
+
+def test_scores_cost_a_question_its_own_terms(monkeypatch):
+    """A block's matrix has columns for shared terms only; hits equal double precision, near ties and few hits included."""
+    monkeypatch.setattr(block_index, "TILE_CELLS", 9000)
+    monkeypatch.setattr(block_index, "TASK_SEGMENTS", 3)
+    monkeypatch.setattr(block_index, "EXACT_PAIRS", 3000)
+    rng = np.random.default_rng(5)
+
+    def vectors(n, name, most):
+        cols = [np.unique(np.r_[0, rng.choice(400, rng.integers(1, most), replace=False)]).astype(np.int32) for _ in range(n)]
+        vals = [rng.integers(1, 4, len(c)).astype(float) for c in cols]
+        return pd.DataFrame({name: [f"{name}{i:04d}" for i in range(n)], "cols": cols, "vals": [v / np.sqrt((v * v).sum()) for v in vals]})
+
+    asked, chunks = vectors(150, "question_id", 12), vectors(600, "chunk_id", 60)
+    # scores that differ by less than single precision tells apart, and a term that no other chunk and question has
+    cols, vals, own = list(chunks["cols"]), list(chunks["vals"]), (np.array([900], np.int32), np.array([1.0]))
+    for i in range(0, 300, 2):
+        cols[i], vals[i] = cols[i + 1], vals[i + 1] * (1 - 1.1e-6)
+    cols[9], vals[9] = own
+    chunks["cols"], chunks["vals"] = cols, vals
+    asked["cols"], asked["vals"] = [*asked["cols"][:-1], own[0]], [*asked["vals"][:-1], own[1]]
+    block = block_index.question_block(asked)
+    assert len(block.terms) == asked["cols"].map(len).sum() and block.matrix.shape[1] < 20
+    packed = pd.DataFrame([block_index.pack_segment(i, chunks[i : i + 40]) for i in range(0, 600, 40)])
+    made = list(block_index.tiles(packed))
+    assert len(made) > 5 and sum(len(t.chunk_ids) for t in made) == 600
+    for k in (5, 700):
+        kept = block_index.Best(block, k)
+        for tile in made:
+            kept.look(tile)
+        found = kept.prune()
+        got = {q: list(zip(rows["score"], rows["chunk_id"])) for q, rows in found.groupby("q")}
+        full = np.zeros((2, 600, 901))
+        for side, frame_ in enumerate((asked, chunks)):
+            for i, (c, v) in enumerate(zip(frame_["cols"], frame_["vals"])):
+                full[side, i, c] = v
+        scores = np.round(full[0, :150] @ full[1].T, 6)
+        for q in range(150):
+            ranked = sorted(((-s, c) for s, c in zip(scores[q], chunks["chunk_id"]) if s > 0))[:k]
+            assert [c for _, c in got[q]] == [c for _, c in ranked] and [s for s, _ in got[q]] == pytest.approx([-s for s, _ in ranked])
