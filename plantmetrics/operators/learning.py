@@ -32,6 +32,7 @@ from plantmetrics.functions import safe_div, weekday0
 from plantmetrics.functions.relational import attach_row, with_row_index, with_trailing
 from plantmetrics.functions.selection import mark_smallest
 from plantmetrics.functions.text import TERM
+from plantmetrics.operators.binned_forest import fit_forest
 from plantmetrics.operators.kernel_svm import KernelSVM
 from plantmetrics.session import materialise
 
@@ -217,6 +218,18 @@ def fit_and_predict(frame: DataFrame, pipeline: Pipeline) -> tuple[PipelineModel
     return model, model.transform(frame.where(~F.col("is_train")))
 
 
+def fit_packed(frame: DataFrame, features: Sequence[str], target: str, forest: RandomForestRegressor) -> tuple[PipelineModel, DataFrame]:
+    """Fit a forest on training rows and predict test rows; the rows are binned and packed once for all its passes.
+
+    Test rows may lie in few files, as those of the last lines do, so they are dealt over all cores before they go down the trees.
+    """
+    training = frame.where("is_train")
+    learned = fit_forest(training, features, target, forest.setMaxBins(MAX_BINS), bin_edges(training, features))
+    model = PipelineModel(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), learned])
+    tasks = max(frame.sparkSession.sparkContext.defaultParallelism, frame.count() // ROWS_PER_TASK + 1)
+    return model, model.transform(frame.where(~F.col("is_train")).repartition(tasks))
+
+
 def fit_binned(frame: DataFrame, features: Sequence[str], target: str, estimator) -> tuple[PipelineModel, DataFrame]:
     """Fit a boosted regressor on training rows and predict test rows; rows with equal bins are fitted as one weighted row.
 

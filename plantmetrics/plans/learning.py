@@ -258,9 +258,12 @@ def regression_rows(t):
 
 
 def downtime(t):
-    frame = prepared_log(t)
-    pipeline = learning.forest_regressor(learning.DOWNTIME_FEATURES, "downtime_minutes")
-    return learning.fit_and_predict(frame, pipeline)
+    return fitted_downtime(prepared_log(t))
+
+
+def fitted_downtime(frame):
+    forest = learning.forest_regressor(learning.DOWNTIME_FEATURES, "downtime_minutes").getStages()[-1]
+    return learning.fit_packed(frame, learning.DOWNTIME_FEATURES, "downtime_minutes", forest)
 
 
 @query("downtime_model")
@@ -293,7 +296,7 @@ def defect_rate_model(t):
 def sink_models(t):
     """A fitted pipeline is saved, loaded again and used."""
     frame = prepared_log(t)
-    model, _ = learning.fit_and_predict(frame, learning.forest_regressor(learning.DOWNTIME_FEATURES, "downtime_minutes"))
+    model, _ = fitted_downtime(frame)
     path = folder(t, "models")
     model.write().overwrite().save(path)
     loaded = PipelineModel.load(path).transform(frame.where(~F.col("is_train")))

@@ -1,16 +1,18 @@
 """The kernel machine against the exact kernel, joint smoothing against the search it replaces, exclusive slots against a greedy run."""
 
 import datetime as dt
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from plantmetrics.operators import forecasting, kernel_svm, learning, planning
+from plantmetrics.operators import binned_forest, forecasting, kernel_svm, learning, planning
 
 
 def rings(n=200, seed=1):
@@ -77,6 +79,8 @@ def test_few_landmarks_come_near(spark):
 def test_the_machine_is_saved_and_loaded(spark, machine, tmp_path):
     x, y, model = machine
     frame = labelled(spark, x, y)
+    third, _ = learning.fit_packed(frame, ["a", "b", "c"], "y", forest.setFeatureSubsetStrategy("auto"))
+    assert {t._call_java("rootNode").split().featureIndex() for t in third.stages[-1].trees} == {0, 1, 2}
     model.write().overwrite().save(str(tmp_path / "model"))
     again = PipelineModel.load(str(tmp_path / "model"))
     before, after = (sorted((r["id"], r["prediction"]) for r in m.transform(frame).collect()) for m in (model, again))
@@ -242,3 +246,58 @@ def test_the_machine_learns_from_a_plain_table(spark, monkeypatch):
     x, y = rings(60)
     kernel_svm.KernelSVM(landmarks=20).fit(labelled(spark, x, y))
     assert len(plans) == 1 and "parquet" in plans[0] and not any(n in plans[0] for n in ("InMemoryRelation", "InMemoryTableScan", "ArrowEvalPython", "UDF("))
+
+
+def packed_rows(spark, n=4000, seed=4):
+    rng = np.random.default_rng(seed)
+    a, b, c = rng.integers(0, 9, n), rng.integers(0, 30, n) / 4, rng.integers(0, 3, n)
+    y = 5.0 * (a > 4) + b * (c == 1) + a * b / 9 + rng.integers(0, 3, n)
+    return spark.createDataFrame([(int(i), *map(float, r)) for i, r in enumerate(zip(a, b, c, y))], "i int, a double, b double, c double, y double")
+
+
+def test_a_packed_tree_is_sparks_tree(spark, monkeypatch):
+    """With all rows and features the same splits and predictions, though rows lie in several blocks, files and tasks."""
+    for name, value in (("BLOCK_ROWS", 300), ("PACK_ROWS", 1500), ("PASS_ROWS", 2000), ("FILE_BYTES", 4096)):
+        monkeypatch.setattr(binned_forest, name, value)
+    frame = packed_rows(spark).withColumn("is_train", F.col("i") % 5 != 0).cache()
+    own = RandomForestRegressor(labelCol="y", numTrees=1, maxDepth=6, bootstrap=False, featureSubsetStrategy="all", seed=3)
+    model, predicted = learning.fit_packed(frame, ["a", "b", "c"], "y", own)
+    theirs, wanted = learning.fit_and_predict(frame, learning._regression(["a", "b", "c"], own.copy()))
+    got = {r.i: r.prediction for r in predicted.collect()}
+    assert got == pytest.approx({r.i: r.prediction for r in wanted.collect()}) and len(got) == 800
+    assert model.stages[-1].toDebugString.splitlines()[2:5] == theirs.stages[-1].toDebugString.splitlines()[2:5]
+    assert model.stages[-1].featureImportances.toArray() == pytest.approx(theirs.stages[-1].featureImportances.toArray())
+
+
+def test_a_packed_forest_draws_rows_and_features(spark, tmp_path):
+    """Every row is drawn by itself, as often as a Poisson number; the forest is as good as Spark's, and is saved and loaded."""
+    drawn = binned_forest.draw(np.random.default_rng(1), 2_000_000, binned_forest.chances(1.0))
+    counts = np.bincount(drawn.astype(int), minlength=9)[:9] / len(drawn)
+    assert counts == pytest.approx([math.exp(-1) / math.factorial(i) for i in range(9)], abs=1e-3) and counts[7] > 0
+    frame = packed_rows(spark).withColumn("is_train", F.col("i") % 5 != 0).cache()
+    forest = RandomForestRegressor(labelCol="y", numTrees=20, maxDepth=6, featureSubsetStrategy="all", seed=3)
+    model, predicted = learning.fit_packed(frame, ["a", "b", "c"], "y", forest)
+    _, wanted = learning.fit_and_predict(frame, learning._regression(["a", "b", "c"], forest.copy()))
+    errors = [learning.regression_metrics(x, "y", "prediction").first() for x in (predicted, wanted)]
+    assert errors[0].rmse == pytest.approx(errors[1].rmse, rel=0.03)
+    trees = model.stages[-1].trees
+    rows = [t._call_java("rootNode").impurityStats().stats() for t in trees]
+    assert len(trees) == 20 and len({tuple(r) for r in rows}) == 20
+    assert np.mean([r[0] for r in rows]) == pytest.approx(3200, rel=0.02)
+    third, _ = learning.fit_packed(frame, ["a", "b", "c"], "y", forest.setFeatureSubsetStrategy("auto"))
+    assert {t._call_java("rootNode").split().featureIndex() for t in third.stages[-1].trees} == {0, 1, 2}
+    model.write().overwrite().save(str(tmp_path / "model"))
+    again = PipelineModel.load(str(tmp_path / "model")).transform(frame.where("not is_train"))
+    assert sorted(map(tuple, again.select("i", "prediction").collect())) == sorted(map(tuple, predicted.select("i", "prediction").collect()))
+
+
+def test_trees_of_few_rows_grow_in_several_tasks(spark):
+    """One file with a single block would be one task; each tree's sums come from one of them."""
+    binned = spark.createDataFrame([(i % 7, float(i % 5)) for i in range(3000)], "w0 long, target double").coalesce(1)
+    blocks = binned_forest.materialise(binned_forest.pack_rows(binned, 1, 3000), "packed")
+    trees = {i: binned_forest.Tree().plain(np.array([[0]])) for i in range(20)}
+    passed = binned_forest.pass_level(blocks, trees, 1, 0, None, 1, 4, 1)
+    assert blocks.count() == 1 and passed.rdd.getNumPartitions() >= 4
+    rows = passed.collect()
+    sums = [np.frombuffer(r.sums).reshape(3, 32) for r in rows]
+    assert len(rows) == 20 and all(x[0, :7].tolist() == [429, 429, 429, 429, 428, 428, 428] and x[1].sum() == 6000 for x in sums)
